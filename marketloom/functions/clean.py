@@ -18,7 +18,9 @@ def finite(c: str | Column, default: float | None = None) -> Column:
 
 
 def clip(c: str | Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), as_col(c)))
+    """``c`` limited to [low, high]; NULL stays NULL (``greatest`` and ``least`` alone would skip it)."""
+    value = as_col(c)
+    return F.when(value.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import clip, finite, safe_ratio
+from ..session import interim
 from .quantile import exact_quantile
 from .series import BLOCK, SeriesLayout, compound
 
@@ -46,12 +47,19 @@ def performance_metrics(
     ret: str = "net_return",
     benchmark_ret: str | None = None,
     periods: int = PERIODS,
+    stored: bool = False,
 ) -> DataFrame:
-    """13 metrics per series. ``benchmark_ret`` is a column aligned to the rows (NULL counts as 0)."""
+    """13 metrics per series. ``benchmark_ret`` is a column aligned to the rows (NULL counts as 0).
+
+    The rows are read several times (curve, moments, quantile, tail), so they are stored first unless
+    the caller says they already are.
+    """
     keys = list(layout.keys)
     bench = finite(benchmark_ret, 0.0) if benchmark_ret else F.lit(None).cast("double")
     passed = [c for c in df.columns if c in ("row_idx", BLOCK)]
     rows = df.select(*keys, *layout.order, *passed, finite(ret, 0.0).alias("_x"), bench.alias("_b"))
+    if not stored:
+        rows = interim(rows)
     curve = drawdown_curve(rows, layout, "_x")
     r, b = F.col("_x"), F.col("_b")
     year = math.sqrt(periods)
@@ -127,8 +135,10 @@ def cost_metrics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def full_metrics(df: DataFrame, layout: SeriesLayout, ret: str = "net_return", benchmark_ret: str | None = None) -> DataFrame:
     """Performance, turnover and cost, and monthly stability of backtest rows, one row per series."""
     keys = list(layout.keys)
+    wanted = {*keys, *layout.order, ret, "turnover", "cost_rate", "row_idx"} | ({benchmark_ret} if benchmark_ret else set())
+    df = interim(df.select(*[c for c in df.columns if c in wanted]))
     parts = [
-        performance_metrics(df, layout, ret, benchmark_ret),
+        performance_metrics(df, layout, ret, benchmark_ret, stored=True),
         cost_metrics(df, keys),
         stability_metrics(df, keys, ret, layout.order[0]),
     ]

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 BINS = 4096
 
 
@@ -27,11 +29,15 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: st
         F.floor(q * (F.col("_n") - 1)).alias("_k"),
         (q * (F.col("_n") - 1) - F.floor(q * (F.col("_n") - 1))).alias("_frac"),
     )
-    done = []
-    for level in range(passes + 1):
-        picked = _pick(rows, target, keys, distinct=level == passes)
+    done, level = [], 0
+    while True:
+        # One row per group; cutting here keeps every pass a single scan of the rows.
+        picked = cut(_pick(rows, target, keys, distinct=level >= passes))
         done.append(picked.where(F.col("_b").isNotNull()).select(*keys, "_a", "_b", "_frac"))
         target = picked.where(F.col("_b").isNull()).select(*keys, "_lo", "_hi", "_k", "_frac")
+        level += 1
+        if target.isEmpty():
+            break
     both = reduce(DataFrame.unionByName, done)
     return both.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_frac")).alias(out))
 

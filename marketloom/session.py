@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def interim(df: DataFrame) -> DataFrame:
+    """Store a result that several later scans read, as a columnar table in the shared folder.
+
+    Unlike a cache it survives lost executors; unlike a checkpoint later reads prune columns and push
+    filters.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/interim/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
