@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("research",)
+MODULES = ("research", "decisions")
 
 
 def load_all() -> None:
