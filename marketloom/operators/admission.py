@@ -66,6 +66,7 @@ def admit(
     config: SafeguardConfig = SafeguardConfig(),
     count_orders: bool = True,
     extra_ok: str | None = None,
+    fail_reason: str | None = "SHADOW_PERSISTENCE_FAILED",
 ) -> DataFrame:
     """Walk ranked intents per cycle; accepted ones use up risk, gross and (paper) order budget.
 
@@ -73,7 +74,8 @@ def admit(
     notional and orders are the values before the cycle. Output: those columns as seen by each row, plus
     the safeguard values, ``reasons`` and ``approved``. Greedy acceptance is order-dependent, so each
     cycle is one ordered fold; every rule that does not depend on order is settled beforehand by columns.
-    ``extra_ok`` names a boolean column a row also needs to use up budget.
+    ``extra_ok`` names a boolean column a row also needs to use up budget; ``fail_reason`` is reported
+    where only that is missing.
     """
     fixed = [rule for rule in safeguard_rules(config) if rule[1] not in ORDER_DEPENDENT]
     flagged = ranked.withColumn("_open", passes(reason_codes(fixed)))
@@ -112,11 +114,9 @@ def admit(
     slim = flagged.withColumn("orders_last_minute", F.col("orders_last_minute").cast("int"))
     walked = ordered_fold(slim, keys, ["rank"], make_step, ddl_of(slim)).drop("_open")
     decided = walked.withColumns(safeguard_values()).withColumn("reasons", reason_codes(safeguard_rules(config)))
-    if extra_ok:
+    if extra_ok and fail_reason:
         failed = passes(F.col("reasons")) & ~F.col(extra_ok)
-        decided = decided.withColumn(
-            "reasons", F.when(failed, F.array(F.lit("SHADOW_PERSISTENCE_FAILED"))).otherwise(F.col("reasons"))
-        )
+        decided = decided.withColumn("reasons", F.when(failed, F.array(F.lit(fail_reason))).otherwise(F.col("reasons")))
     return decided.withColumn("approved", passes(F.col("reasons")))
 
 

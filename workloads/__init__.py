@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("research", "decisions")
+MODULES = ("research", "decisions", "models")
 
 
 def load_all() -> None:
