@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("research", "decisions", "models")
+MODULES = ("research", "decisions", "models", "live")
 
 
 def load_all() -> None:

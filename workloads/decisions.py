@@ -197,9 +197,10 @@ def new_journal_rows(spark, sf):
     return AD.new_decisions(p.where("status = 'O'"), p.where("status = 'F'"), ("ordinal",)).select("decision_id", "ordinal")
 
 
-def quotes(spark, sf):
+def quotes(spark, sf, lines=None):
     bid = c("l_extendedprice") / c("l_quantity")
-    return table(spark, sf, "lineitem").select(
+    lines = table(spark, sf, "lineitem") if lines is None else lines
+    return lines.select(
         c("l_partkey").cast("string").alias("symbol"), bid.alias("bid"), (bid * 1.001).alias("ask"),
         c("l_shipdate").cast("timestamp").alias("ts"), c("l_orderkey").alias("seq"), F.lit("lines").alias("source"),
     )
@@ -250,10 +251,11 @@ def market_checks(spark, sf):
         r(F.sum(PR.effective_cost("expected_cost", PR.spread_fraction())), 6).alias("effective_cost"))
 
 
-def positions(spark, sf):
+def positions(spark, sf, lines=None):
     """Every line opens a position at its own quote."""
     ask = c("l_extendedprice") / c("l_quantity") * 1.001
-    base = table(spark, sf, "lineitem").select(
+    lines = table(spark, sf, "lineitem") if lines is None else lines
+    base = lines.select(
         F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("decision_id"),
         c("l_partkey").cast("string").alias("symbol"), ask.alias("ask"), c("l_shipdate").cast("timestamp").alias("opened_at"),
         (c("l_quantity") * 100).alias("notional_usd"),
