@@ -101,11 +101,13 @@ def bar_rules() -> Column:
 
 
 def quote_rules() -> Column:
+    # NaN compares as larger than everything, so ordering rules look at finite prices only.
+    unknown = not_finite(c("bid")) | not_finite(c("ask"))
     return reason_codes([
         (is_blank(c("symbol")), "SYMBOL_REQUIRED"),
-        (not_finite(c("bid")) | not_finite(c("ask")), "PRICE_NOT_FINITE"),
-        ((c("bid") <= 0.0) | (c("ask") <= 0.0), "PRICE_NOT_POSITIVE"),
-        (c("ask") < c("bid"), "CROSSED_QUOTE"),
+        (unknown, "PRICE_NOT_FINITE"),
+        (~unknown & ((c("bid") <= 0.0) | (c("ask") <= 0.0)), "PRICE_NOT_POSITIVE"),
+        (~unknown & (c("ask") < c("bid")), "CROSSED_QUOTE"),
         (c("ts").isNull(), "TIMESTAMP_REQUIRED"),
     ])
 

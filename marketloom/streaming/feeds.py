@@ -10,10 +10,10 @@ from ..operators.quality import LiveLimits, live_quote_rules
 
 def stream_snapshots(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Snapshot documents as they arrive; the parsers of ``sources.snapshots`` take the result as is."""
-    reader = spark.readStream.option("wholetext", "true")
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
-    return reader.text(path).select(F.col("_metadata.file_path").alias("snapshot_id"), "value")
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("snapshot_id"), "value")
 
 
 def closed_bars(
