@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.reasons import passes, reason_codes
-from .fold import ddl_of, ordered_fold
+from ..session import interim
+from .fold import FOLD_ROWS, accepted_in_rounds, ddl_of, ordered_fold, split_by_size, state_before
 from .gates import ORDER_DEPENDENT, SafeguardConfig, safeguard_rules, safeguard_values
 
 
@@ -67,13 +68,15 @@ def admit(
     count_orders: bool = True,
     extra_ok: str | None = None,
     fail_reason: str | None = "SHADOW_PERSISTENCE_FAILED",
+    fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
     """Walk ranked intents per cycle; accepted ones use up risk, gross and (paper) order budget.
 
     Input: ``rank``, the intent and state columns of :func:`gates.safeguard`, where open risk, gross
     notional and orders are the values before the cycle. Output: those columns as seen by each row, plus
-    the safeguard values, ``reasons`` and ``approved``. Greedy acceptance is order-dependent, so each
-    cycle is one ordered fold; every rule that does not depend on order is settled beforehand by columns.
+    the safeguard values, ``reasons`` and ``approved``. Greedy acceptance is order-dependent: cycles of up to
+    ``fold_rows`` plans are ordered folds, larger ones go through distributed rounds. Every rule that does
+    not depend on order is settled beforehand by columns.
     ``extra_ok`` names a boolean column a row also needs to use up budget; ``fail_reason`` is reported
     where only that is missing.
     """
@@ -111,8 +114,11 @@ def admit(
 
         return step
 
-    slim = flagged.withColumn("orders_last_minute", F.col("orders_last_minute").cast("int"))
-    walked = ordered_fold(slim, keys, ["rank"], make_step, ddl_of(slim)).drop("_open")
+    slim = interim(flagged.withColumn("orders_last_minute", F.col("orders_last_minute").cast("int")))
+    usual, hot = split_by_size(slim, keys, fold_rows)
+    walked = ordered_fold(usual, keys, ["rank"], make_step, ddl_of(slim)).drop("_open")
+    if hot is not None:
+        walked = walked.unionByName(_admit_in_rounds(hot, keys, config, count_orders).select(*walked.columns))
     decided = walked.withColumns(safeguard_values()).withColumn("reasons", reason_codes(safeguard_rules(config)))
     if extra_ok and fail_reason:
         failed = passes(F.col("reasons")) & ~F.col(extra_ok)
@@ -120,6 +126,28 @@ def admit(
     return decided.withColumn("approved", passes(F.col("reasons")))
 
 
+BUDGET = ("open_risk_usd", "gross_notional_usd", "orders_last_minute")
+
+
+def _admit_in_rounds(hot: DataFrame, keys: Sequence[str], config: SafeguardConfig, count_orders: bool) -> DataFrame:
+    """Budget columns as each row of a huge cycle meets them."""
+    start = hot.groupBy(*keys).agg(*[F.min_by(x, "rank").alias(x) for x in BUDGET])
+    plan = hot.where("_open").select(*keys, "rank", "estimated_risk_usd", "notional_usd", "equity_usd")
+    equity = F.greatest("equity_usd", F.lit(1e-12))
+    feasible = (
+        (F.col("orders_last_minute") < config.max_orders_per_minute)
+        & ((F.col("open_risk_usd") + F.col("estimated_risk_usd")) / equity <= config.max_total_open_risk_pct)
+        & ((F.col("gross_notional_usd") + F.col("notional_usd")) / equity <= config.max_gross_notional_multiple)
+    )
+    after = {
+        "open_risk_usd": F.col("open_risk_usd") + F.col("estimated_risk_usd"),
+        "gross_notional_usd": F.col("gross_notional_usd") + F.col("notional_usd"),
+        "orders_last_minute": F.col("orders_last_minute") + (1 if count_orders else 0),
+    }
+    accepted = accepted_in_rounds(plan, keys, "rank", start, feasible, after)
+    return state_before(hot, keys, "rank", start, accepted, BUDGET).drop("_taken", "_open")
+
+
 def cycle_counts(decisions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return decisions.groupBy(*keys).agg(
         F.count_if(F.col("approved")).alias("accepted"), F.count_if(~F.col("approved")).alias("rejected")

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import finite
-from .fold import ddl_of, ordered_fold
+from ..session import interim
+from .fold import FOLD_ROWS, accepted_in_rounds, ddl_of, ordered_fold, split_by_size
 
 
 @dataclass(frozen=True)
@@ -51,12 +52,17 @@ def champion_of_leaderboard(
 
 
 def promote_in_order(
-    df: DataFrame, keys: Sequence[str], order: str = "ordinal", criteria: PromotionCriteria = PromotionCriteria()
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str = "ordinal",
+    criteria: PromotionCriteria = PromotionCriteria(),
+    fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
     """Walk nominations in order and add ``promoted``: thresholds, a score margin over the champion, and no
     worse drawdown or month-loss rate than allowed.
 
-    Rows that fail the thresholds never touch the champion, so only qualified rows enter the fold.
+    Rows that fail the thresholds never touch the champion, so only qualified rows are walked: families of
+    up to ``fold_rows`` of them by an ordered fold, larger ones by rounds (one per promotion).
     """
 
     def make_step():
@@ -81,13 +87,30 @@ def promote_in_order(
 
         return step
 
-    flagged = df.withColumn("_qualified", qualifies(criteria))
+    flagged = interim(df.withColumn("_qualified", qualifies(criteria)))
     candidates = flagged.where("_qualified").drop("_qualified")
-    walked = ordered_fold(candidates, keys, [order], make_step, ddl_of(df, "promoted boolean"))
+    usual, hot = split_by_size(candidates, keys, fold_rows)
+    walked = ordered_fold(usual, keys, [order], make_step, ddl_of(df, "promoted boolean"))
+    if hot is not None:
+        walked = walked.unionByName(_promote_in_rounds(hot, list(keys), order, criteria).select(*walked.columns))
     failed = flagged.where(~F.col("_qualified")).drop("_qualified").withColumn("promoted", F.lit(False))
     return walked.unionByName(failed)
 
 
+def _promote_in_rounds(hot: DataFrame, keys: list[str], order: str, criteria: PromotionCriteria) -> DataFrame:
+    champion = {"_score": "score", "_dd": "max_drawdown", "_months": "negative_month_rate"}
+    start = hot.select(*keys).distinct().select(*keys, *[F.lit(None).cast("double").alias(x) for x in champion])
+    beats = F.col("_score").isNull() | (
+        (F.col("score") >= F.col("_score") + criteria.score_margin)
+        & (F.col("max_drawdown") <= F.col("_dd") + criteria.max_drawdown_deterioration)
+        & (F.col("negative_month_rate") <= F.col("_months") + criteria.max_negative_month_deterioration)
+    )
+    slim = hot.select(*keys, order, *champion.values())
+    won = accepted_in_rounds(slim, keys, order, start, beats, {k: F.col(v) for k, v in champion.items()})
+    winners = won.select(*keys, order).withColumn("promoted", F.lit(True))
+    return hot.join(winners, [*keys, order], "left").fillna(False, ["promoted"])
+
+
 def reigning_champion(promoted: DataFrame, keys: Sequence[str], name: str = "name", order: str = "ordinal") -> DataFrame:
     last = F.max(F.when(F.col("promoted"), F.struct(F.col(order), F.col(name))))
     return promoted.groupBy(*keys).agg(last.alias("_b")).select(*keys, F.col(f"_b.{name}").alias("champion"))

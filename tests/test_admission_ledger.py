@@ -45,12 +45,19 @@ def test_repeated_symbol_and_source_fail(spark):
         paper_cycle(plans, states(spark, ["a"])).collect()
 
 
-def test_admission_equals_loop(spark):
+@pytest.mark.parametrize("fold_rows", [1000, 30])
+def test_admission_equals_loop(spark, monkeypatch, fold_rows):
+    """Both ways: small cycles as folds, large ones (over 30 ranked plans here) in rounds."""
+    import marketloom.plans.cycle as cycle_module
+
+    monkeypatch.setattr(cycle_module, "admit", lambda *a, **k: AD.admit(*a, **k, fold_rows=fold_rows))
     rng = random.Random(7)
-    rows = [plan(i, ret=rng.random() * 0.05, risk=rng.random() * 0.006, notional=rng.random() * 0.8, account=f"a{i % 7}",
+    rows = [plan(i, ret=rng.random() * 0.05, risk=rng.random() * 0.006, notional=rng.random() * 0.8, account=f"a{min(i % 9, 6)}",
                  cost=rng.random() * 0.01, conf=0.5 + rng.random() / 2) for i in range(300)]
     out = paper_cycle(spark.createDataFrame(rows, PLAN).repartition(6), states(spark, [f"a{k}" for k in range(7)])).collect()
     got = {r.decision_id: r.accepted for r in out}
+    budget = {r.decision_id: r.orders_last_minute for r in out}
+    met = {}
     want, cfg, eq = {}, SafeguardConfig(), 1000.0
     for a in {r[0] for r in rows}:
         mine = [(r[11] * (r[6] - r[7]), r) for r in rows if r[0] == a]
@@ -61,9 +68,10 @@ def test_admission_equals_loop(spark):
             rk, nt = eq * r[12], eq * r[13]
             ok = (rk / eq <= cfg.max_order_risk_pct and (risk + rk) / eq <= cfg.max_total_open_risk_pct and orders < 10
                   and (gross + nt) / eq <= cfg.max_gross_notional_multiple and r[6] * nt - r[7] * nt > 0)
-            want[r[3]] = ok
+            want[r[3]], met[r[3]] = ok, orders
             if ok:
                 risk, gross, orders = risk + rk, gross + nt, orders + 1
+    assert budget == met
     assert got == want and any(want.values()) and not all(want.values())
 
 
