@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pricing import age_seconds, effective_cost, long_geometry, pnl, signal_score, spread_fraction
+from ..functions.pricing import (
+    age_seconds, effective_cost, event_id, long_geometry, pnl, signal_score, spread_fraction,
+)
 from ..functions.reasons import first_reason, passes
 from ..operators.admission import admit, flag_duplicates, intents
 from ..operators.gates import SafeguardConfig
@@ -13,6 +15,7 @@ from ..operators.quality import (
     LiveLimits, account_rules, live_account_rules, live_quote_rules, live_symbol_rules, quote_rules, spec_rules,
 )
 from ..operators.ranking import OpportunityPolicy, Tie, net_edge, rank_opportunities
+from ..session import interim
 
 KEYS = ("account_id", "cycle_id")
 c = F.col
@@ -47,6 +50,7 @@ def refresh_books(
         F.when(passes(c("mark_issues")), first_reason([
             (c("bid") <= c("stop_loss"), "STOP_LOSS"), (c("bid") >= c("take_profit"), "TAKE_PROFIT")])),
     ).withColumn("mark_pnl_usd", F.when(passes(c("mark_issues")), pnl("quantity", "bid", "entry_price")))
+    marked = interim(marked)  # books, next positions and lifecycle events all read it
     closed, zero = c("exit_reason").isNotNull(), F.lit(0.0)
     today = F.to_date("quote_ts") == F.to_date("now")
 
@@ -96,12 +100,12 @@ def refresh_books(
     books = books.withColumn(
         "equity_peak_usd", F.greatest("refreshed_peak_usd", F.coalesce("equity_peak_usd", zero), "equity_usd")
     )
-    return books.drop("_sound"), marked
+    return interim(books.drop("_sound")), marked
 
 
 OUTPUT = (
     "account_id", "cycle_id", "ordinal", "decision_id", "symbol", "approved", "reasons", "rank", "net_edge", "expected_cost",
-    "signal_score", "regime", "quantity", "entry_price", "stop_loss", "take_profit", "notional_usd", "estimated_risk_usd",
+    "signal_score", "source", "confidence", "expected_return", "risk_fraction", "regime", "opened_at", "quantity", "entry_price", "stop_loss", "take_profit", "notional_usd", "estimated_risk_usd",
 )
 
 
@@ -118,7 +122,8 @@ def shadow_cycle(
 ) -> DataFrame:
     """Decide every plan: duplicate, cycle gate, market data, net edge, then budget admission in rank order.
 
-    ``books`` comes from :func:`refresh_books`. Only plans that pass all gates are ranked and folded.
+    ``books`` comes from :func:`refresh_books`. Only plans that pass all gates are ranked and folded. Gated
+    plans are stored once, then read by the refusals and the ranking.
     """
     flagged = flag_duplicates(plans, journal, ("cycle_id", "ordinal"), scope=("account_id",))
     book_columns = [
@@ -145,7 +150,7 @@ def shadow_cycle(
     priced = F.when(c("gate").isNull(), effective_cost("expected_cost", spread_fraction())).otherwise(c("expected_cost"))
     rows = rows.withColumn("expected_cost", priced).withColumn("net_edge", net_edge(policy))
     below = c("gate").isNull() & ~(c("net_edge") > policy.minimum_net_edge)
-    rows = rows.withColumn("gate", F.when(below, F.array(F.lit("BELOW_MINIMUM_NET_EDGE"))).otherwise(c("gate")))
+    rows = interim(rows.withColumn("gate", F.when(below, F.array(F.lit("BELOW_MINIMUM_NET_EDGE"))).otherwise(c("gate"))))
 
     unlimited = OpportunityPolicy(
         policy.risk_penalty, policy.correlation_penalty, policy.uncertainty_penalty, policy.minimum_net_edge
@@ -157,7 +162,7 @@ def shadow_cycle(
     geometry = long_geometry("ask", "notional_usd", "estimated_risk_usd", "reward_risk")
     sized = sized.withColumns({
         "fits": geometry.valid, "quantity": geometry.quantity, "entry_price": geometry.entry_price,
-        "stop_loss": geometry.stop_loss, "take_profit": geometry.take_profit,
+        "stop_loss": geometry.stop_loss, "take_profit": geometry.take_profit, "opened_at": c("quote_ts"),
     })
     over = c("rank") > policy.max_opportunities if policy.max_opportunities else F.lit(False)
     decided = admit(sized.where(~over).drop("gate", "cycle_reasons"), KEYS, safeguard, count_orders=False, extra_ok="fits")
@@ -168,7 +173,7 @@ def shadow_cycle(
         crowded = sized.where(over).select(*rows.columns).withColumn("reasons", F.array(F.lit("BELOW_MINIMUM_NET_EDGE")))
         refused = refused.unionByName(crowded)
     refused = refused.withColumns({
-        "approved": F.lit(False), "rank": F.lit(None).cast("bigint"), **{x: F.lit(None).cast("double") for x in opened},
+        "approved": F.lit(False), "rank": F.lit(None).cast("bigint"), "opened_at": F.lit(None).cast("timestamp"), **{x: F.lit(None).cast("double") for x in opened},
     })
     out = decided.withColumn("signal_score", signal_score("expected_return")).select(*OUTPUT)
     return out.unionByName(refused.withColumn("signal_score", signal_score("expected_return")).select(*OUTPUT))
@@ -194,3 +199,39 @@ def paper_cycle(
     sized = intents(ranked).withColumn("fits", c("mode") != "live")
     decided = admit(sized, KEYS, safeguard, count_orders=True, extra_ok="fits", fail_reason=None)
     return decided.withColumn("accepted", c("approved") & c("fits")).withColumn("signal_score", signal_score("net_edge"))
+
+
+def next_states(books: DataFrame) -> DataFrame:
+    """Portfolio state per account after the refresh, as input of the account's next cycle."""
+    return books.where(F.size("account_reasons") == 0).select(
+        "account_id", "base_equity_usd", c("realized_total_usd").alias("realized_pnl_usd"),
+        c("refreshed_peak_usd").alias("equity_peak_usd"), c("ts").alias("updated_at"),
+    )
+
+
+POSITION = (
+    "account_id", "decision_id", "symbol", "notional_usd", "estimated_risk_usd", "quantity", "entry_price", "stop_loss",
+    "take_profit", "opened_at",
+)
+
+
+def next_positions(marked: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Open positions after the cycle: those that did not exit, and the newly approved ones."""
+    return marked.where(c("exit_reason").isNull()).select(*POSITION).unionByName(
+        decisions.where("approved").select(*POSITION)
+    )
+
+
+def lifecycle_rows(marked: DataFrame, decisions: DataFrame) -> DataFrame:
+    """OPEN and CLOSE events of a cycle for the lifecycle journal."""
+    closed = marked.where(c("exit_reason").isNotNull()).select(
+        "account_id", event_id("decision_id", "CLOSE").alias("event_id"), "decision_id", F.lit("CLOSE").alias("event_type"),
+        c("quote_ts").alias("ts"), "symbol", c("bid").alias("price"), c("mark_pnl_usd").alias("pnl_usd"),
+        F.to_json(F.struct(c("exit_reason").alias("reason"))).alias("metadata"),
+    )
+    opened = decisions.where("approved").select(
+        "account_id", event_id("decision_id", "OPEN").alias("event_id"), "decision_id", F.lit("OPEN").alias("event_type"),
+        c("opened_at").alias("ts"), "symbol", c("entry_price").alias("price"), F.lit(0.0).alias("pnl_usd"),
+        F.to_json(F.struct("stop_loss", "take_profit", "notional_usd", "estimated_risk_usd")).alias("metadata"),
+    )
+    return closed.unionByName(opened)
