@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import finite
+from ..session import interim
 from .folds import ExpandingFolds, PurgedFolds, with_date_numbers
 from .series import BLOCK, ROW, SeriesLayout, index_rows, running_sum
 
@@ -191,12 +192,13 @@ def walk_forward_ridge(
     fold = F.floor(offset / step)
     whole = F.col("_train") + embargo + fold * step + test_size <= F.col("_n")
     tested = (offset >= 0) & (offset - fold * step < test_size) & whole & (F.col("_n") >= minimum_rows)
-    rows = rows.withColumn("fold", F.when(tested, fold).cast("bigint"))
+    rows = rows.withColumn("fold", F.when(tested, fold).cast("bigint")).withColumn("_segment", segment)
+    rows = interim(rows)  # segments, needed folds and predictions all read the numbered rows
 
     # One Gram row per training segment, then running sums along the folds. Segments are numbered without
     # gaps, so they are a series of their own and block like any other.
     segments = (
-        rows.withColumn("fold", segment)
+        rows.withColumn("fold", F.col("_segment"))
         .groupBy(*keys, "fold")
         .agg(*[F.sum(v).alias(f"_s_{k}") for k, v in terms.items()])
         .withColumn(ROW, F.col("fold") + 1)
@@ -210,7 +212,7 @@ def walk_forward_ridge(
     # Rows outside tests get distinct stand-in folds, so they do not pile up on one NULL join key.
     spread = rows.withColumn("_fold", F.coalesce("fold", -F.col(ROW)))
     out = spread.join(coefs.withColumnRenamed("fold", "_fold"), [*keys, "_fold"], "left")
-    return out.withColumn("prediction", linear_prediction(features)).drop("coef", "_n", "_train", "_pos", "_fold")
+    return out.withColumn("prediction", linear_prediction(features)).drop("coef", "_n", "_train", "_pos", "_fold", "_segment")
 
 
 def coverage(df: DataFrame, keys: Sequence[str] = (), prediction: str = "prediction") -> DataFrame:

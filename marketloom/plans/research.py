@@ -54,7 +54,7 @@ def run_research(
     """
     keys, ts = list(layout.keys), layout.order[0]
     names = [s.name for s in strategies]
-    features = technical_features(bars, layout)
+    features = interim(technical_features(bars, layout))
     complete = supervised_rows(features.select(*keys, ts, "row_idx", "close", *TECHNICAL_COLUMNS), TECHNICAL_COLUMNS, 5, layout)
     learned = walk_forward_ridge(complete.drop("row_idx"), TECHNICAL_COLUMNS, "target", layout)
     predictions = learned.where(F.col("prediction").isNotNull()).select(*keys, ts, "prediction")
