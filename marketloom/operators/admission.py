@@ -91,26 +91,22 @@ def admit(
 
         def step(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
             nonlocal risk, gross, orders
-            may = pdf["_open"].to_numpy(dtype=bool)
-            cost, size = pdf["estimated_risk_usd"].to_numpy(), pdf["notional_usd"].to_numpy()
-            equity = np.maximum(pdf["equity_usd"].to_numpy(), 1e-12)
-            risk0, gross0 = pdf["open_risk_usd"].to_numpy(), pdf["gross_notional_usd"].to_numpy()
-            orders0 = pdf["orders_last_minute"].to_numpy()
-            n = len(pdf)
-            seen_risk, seen_gross, seen_orders = np.empty(n), np.empty(n), np.empty(n, dtype="int32")
-            for i in range(n):
-                if starts[i]:
-                    risk, gross, orders = float(risk0[i]), float(gross0[i]), int(orders0[i])
-                seen_risk[i], seen_gross[i], seen_orders[i] = risk, gross, orders
+            equity = np.maximum(pdf["equity_usd"].to_numpy(), 1e-12).tolist()
+            columns = [pdf[x].tolist() for x in ("_open", "estimated_risk_usd", "notional_usd", *BUDGET)]
+            met = []
+            for first, eq, may, cost, size, risk0, gross0, orders0 in zip(starts.tolist(), equity, *columns):
+                if first:
+                    risk, gross, orders = risk0, gross0, orders0
+                met.append((risk, gross, orders))
                 if (
-                    may[i]
+                    may
                     and orders < config.max_orders_per_minute
-                    and (risk + cost[i]) / equity[i] <= config.max_total_open_risk_pct
-                    and (gross + size[i]) / equity[i] <= config.max_gross_notional_multiple
+                    and (risk + cost) / eq <= config.max_total_open_risk_pct
+                    and (gross + size) / eq <= config.max_gross_notional_multiple
                 ):
-                    risk, gross = risk + cost[i], gross + size[i]
+                    risk, gross = risk + cost, gross + size
                     orders += 1 if count_orders else 0
-            return pdf.assign(open_risk_usd=seen_risk, gross_notional_usd=seen_gross, orders_last_minute=seen_orders)
+            return pdf.assign(**dict(zip(BUDGET, map(list, zip(*met)))))
 
         return step
 

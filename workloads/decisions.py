@@ -145,7 +145,7 @@ def _admission_input(spark, sf):
     })
 
 
-@query("budget_admission", f"""WITH RECURSIVE {PLANS}, {ranked_sql('PARTITION BY account_id')},
+ADMISSION = f"""WITH RECURSIVE {PLANS}, {ranked_sql('PARTITION BY account_id')},
 sized AS (
   SELECT ranked.*, o_totalprice AS equity, o_totalprice*risk_fraction AS risk, o_totalprice*notional_fraction AS notional,
     expected_return*(o_totalprice*notional_fraction) AS edge, expected_cost*(o_totalprice*notional_fraction) AS cost
@@ -166,13 +166,17 @@ walk AS (
         CASE WHEN s.edge - s.cost <= 0 THEN 'NO_POSITIVE_NET_EDGE' END,
         CASE WHEN s.edge > 0 AND s.cost >= s.edge THEN 'COST_CONSUMES_EDGE' END) AS reasons
     FROM walk w JOIN sized s ON s.account_id = w.account_id AND s.rank = w.rank + 1) x)
-SELECT account_id, ordinal, rank, reasons = '' AS approved, reasons FROM walk WHERE rank > 0""")
+"""
+
+
+@query("budget_admission", ADMISSION + "SELECT account_id, ordinal, rank, reasons = '' AS approved, reasons FROM walk WHERE rank > 0")
 def budget_admission(spark, sf):
     out = AD.admit(_admission_input(spark, sf), CYCLE)
     return out.select("account_id", "ordinal", "rank", "approved", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("cycle_counts", None)
+@query("cycle_counts", ADMISSION.replace("w.n_orders + 1", "w.n_orders").replace("x.n_orders + 1", "x.n_orders") + """
+SELECT account_id, count(*) FILTER (WHERE reasons = '') AS accepted, count(*) FILTER (WHERE reasons <> '') AS rejected FROM walk WHERE rank > 0 GROUP BY 1""")
 def cycle_counts(spark, sf):
     return AD.cycle_counts(AD.admit(_admission_input(spark, sf), CYCLE, count_orders=False), CYCLE)
 

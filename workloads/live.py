@@ -24,9 +24,9 @@ from marketloom.streaming.sinks import drain
 
 from . import sql
 from .decisions import EXITS, INTENTS, PLANS, POSITIONS, QUOTES, journal_lines, latest_quotes, plans, positions, quotes, specs
-from .models import GATED
+from .models import ANALOGUE, EDGE
 from .registry import query, r, rs, sql_round, wall_clock
-from .research import backtest_rows
+from .research import BT_DAILY, STRATEGIES, backtest_rows
 from .tables import bars, benchmark_bars, daily_bars, table
 
 c = F.col
@@ -145,6 +145,39 @@ def research_leaderboard(spark, sf):
     return run.leaderboard.select("symbol", "strategy", "rank", *rs(BOARD, 6))
 
 
+RULE_BOARD = ("score", "robustness", "cagr", "max_drawdown", "excess_return", "beta", "turnover", "negative_month_rate")
+GATED_DAILY = f"""WITH RECURSIVE {sql.DAILY}, {sql.FEATURES}, {sql.SIGNALS}, {sql.LONG},
+e0 AS (SELECT *, coalesce(close/lag(close) OVER w - 1, 0) AS ret, coalesce(lag(signal) OVER w, 0.0e0) AS q, row_number() OVER w AS k
+  FROM long WINDOW w AS (PARTITION BY symbol, strategy ORDER BY ts)),
+e AS (SELECT *, CASE WHEN count(ret) OVER p >= 5 THEN stddev_pop(ret) OVER p*sqrt(252.0e0) ELSE 0.0e0 END >= 0.80e0 AS wild
+  FROM e0 WINDOW p AS (PARTITION BY symbol, strategy ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+walk AS (
+  SELECT symbol, strategy, NULL::TIMESTAMP AS ts, 0::BIGINT AS k, 10000.0e0 AS equity, 10000.0e0 AS peak, 0.0e0 AS position, 0.0e0 AS turnover, 0.0e0 AS net_return FROM e WHERE k = 1
+  UNION ALL
+  SELECT symbol, strategy, ts, k, equity*(1 + net), greatest(peak, equity*(1 + net)), w, turn, net FROM (
+    SELECT *, w*ret - turn*3.0e0/10000.0e0 AS net FROM (
+      SELECT *, abs(w - before) AS turn FROM (
+        SELECT e.symbol, e.strategy, e.ts, e.k, e.ret, walk.equity, walk.peak, walk.position AS before,
+          CASE WHEN walk.net_return <= -0.04e0 OR greatest(0.0e0, 1 - walk.equity/walk.peak) >= 0.10e0 OR e.wild THEN 0.0e0 ELSE e.q END AS w
+        FROM walk JOIN e ON e.symbol = walk.symbol AND e.strategy = walk.strategy AND e.k = walk.k + 1)))),
+bp AS (SELECT ts, round(avg(close), 6) AS close FROM bars GROUP BY ts),
+bench AS (SELECT ts, coalesce(close/lag(close) OVER (ORDER BY ts) - 1, 0) AS bench_return FROM bp),
+gated AS (SELECT walk.*, bench_return FROM walk LEFT JOIN bench USING (ts) WHERE k > 0),
+{sql.metrics("gated", "symbol, strategy", bench="bench_return")},
+costs AS (SELECT symbol, strategy, sum(turnover) AS turnover FROM gated GROUP BY 1, 2),
+rob AS (SELECT *, greatest(0.0e0, least(1.0e0, (1 - max_drawdown)*(1 - negative_month_rate))) AS robustness
+  FROM metrics JOIN stability USING (symbol, strategy) JOIN costs USING (symbol, strategy)),
+scored AS (SELECT *, {sql.SCORE} AS score FROM rob)"""
+
+
+@query("research_rule_strategies", f"{GATED_DAILY} SELECT symbol, strategy, {sql_round(RULE_BOARD, 6)} FROM scored")
+def research_rule_strategies(spark, sf):
+    """The rule strategies of a whole research run; the learned one has no SQL twin."""
+    b = daily_bars(spark, sf)
+    board = run_research(b, benchmark_bars(b)).leaderboard
+    return board.where(c("strategy").isin(*STRATEGIES)).select("symbol", "strategy", *rs(RULE_BOARD, 6))
+
+
 @query("research_summary")
 def research_summary(spark, sf):
     run = run_research(bars(spark, sf))
@@ -165,12 +198,29 @@ def training_artifacts(spark, sf):
     return run_training(bars(spark, sf), meta, (ModelConfig("ridge", {"alpha": 2.0}),)).artifacts.drop("metrics", "model_params")
 
 
-@query("live_plans", None)
+RECENT = f"""{sql.DAILY.replace("bars AS (", "all_bars AS (")},
+bars AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM all_bars) WHERE back <= 250)"""
+LIVE = ANALOGUE.replace(sql.BARS, RECENT)
+
+
+@query("live_analysis", f"WITH {LIVE} SELECT symbol, regime, sample_count, eligible, {sql_round(EDGE)} FROM edges")
+def live_analysis(spark, sf):
+    return analyse(daily_bars(spark, sf)).select("symbol", "regime", "sample_count", "eligible", *rs(EDGE))
+
+
+@query("live_plans", f"""WITH {LIVE} SELECT concat_ws(':', 'live-v1', symbol, CAST(epoch(last_ts) AS BIGINT)) AS decision_id, symbol, regime AS market_regime,
+  {sql_round(EDGE)}, 0.003e0 AS risk_fraction, 0.25e0 AS notional_fraction FROM edges WHERE eligible""")
 def live_plans(spark, sf):
-    return plan_trades(analyse(bars(spark, sf)))
+    return plan_trades(analyse(daily_bars(spark, sf))).select(
+        "decision_id", "symbol", "market_regime", *rs(EDGE), "risk_fraction", "notional_fraction")
 
 
-@query("daily_learning_report", None)
+@query("daily_learning_report", f"""{BT_DAILY}, {sql.metrics("backtest", "symbol, strategy")},
+facts AS (SELECT c_mktsegment AS symbol, l_discount - l_tax AS real, l_discount - 0.03e0 AS alt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+reg AS (SELECT symbol, count(*) AS n, coalesce(sum(greatest(0.0e0, alt)) FILTER (WHERE real = 0), 0) AS gain, coalesce(sum(-real) FILTER (WHERE real < 0 AND alt >= 0), 0) AS loss FROM facts GROUP BY 1),
+x AS (SELECT s.symbol, negative_month_rate >= 0.30e0 AS m, n >= 3 AND (gain > 0 OR loss > 0) AS d FROM stability s JOIN reg USING (symbol) WHERE strategy = 'trend'),
+y AS (SELECT symbol, unnest([CASE WHEN m THEN 'monthly_stability' END, CASE WHEN d THEN 'decision_regret' END, CASE WHEN NOT m AND NOT d THEN 'machine_learning' END]) AS category FROM x)
+SELECT symbol, category FROM y WHERE category IS NOT NULL""")
 def daily_learning_report(spark, sf):
     rows = backtest_rows(spark, sf, daily=True)
     facts = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), c("l_orderkey") == c("o_orderkey")).join(
@@ -193,7 +243,7 @@ LONG_LIMITS = LiveLimits(max_quote_age_seconds=400 * 86_400.0, max_account_age_s
 CYCLE_SQL = f"""WITH {PLANS}, {QUOTES},
 pl AS (SELECT *, row_number() OVER (PARTITION BY account_id, decision_id ORDER BY ordinal) AS copy FROM plans),
 g AS (SELECT p.*, o_totalprice AS equity, o_orderpriority = '5-LOW' AS kill, q.bid, q.ask, (q.ask - q.bid)/((q.ask + q.bid)/2) AS sf,
-    epoch_us(TIMESTAMP '2001-06-01') - epoch_us(q.ts) > 34560000e6 AS stale, p_size, copy > 1 AS dup
+    epoch_us(TIMESTAMP '2001-06-01') - epoch_us(q.ts) > 34560000e6 AS stale, q.ts AS quote_ts, p_size, copy > 1 AS dup
   FROM pl p JOIN orders ON o_orderkey = account_id LEFT JOIN latest q USING (symbol) LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = p.symbol),
 h AS (SELECT *, greatest(expected_cost, sf) AS cost, confidence*(expected_return - greatest(expected_cost, sf) - downside_risk - uncertainty) AS edge2 FROM g),
 k AS (SELECT *, CASE WHEN dup THEN 'DUPLICATE_DECISION_ID' WHEN bid IS NULL OR p_size IS NULL THEN 'MARKET_DATA_UNAVAILABLE'
@@ -208,7 +258,21 @@ def shadow_cycle_gates(spark, sf):
     return out.where("rank IS NULL").select("account_id", "ordinal", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("shadow_cycle_counts", None)
+@query("shadow_cycle_counts", f"""{CYCLE_SQL.replace("WITH ", "WITH RECURSIVE ", 1)},
+sized AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY edge2 DESC, confidence DESC, expected_return DESC, ordinal ASC) AS rank,
+    equity*risk_fraction AS risk, equity*notional_fraction AS notional, expected_return*(equity*notional_fraction) AS gain, cost*(equity*notional_fraction) AS fee,
+    greatest(0.0e0, (epoch_us(TIMESTAMP '2001-06-01') - epoch_us(quote_ts))/1e6) AS age FROM k WHERE gate IS NULL),
+walk AS (
+  SELECT account_id, 0::BIGINT AS rank, 0.0e0 AS open_risk, 0.0e0 AS gross, '' AS reasons FROM sized WHERE rank = 1
+  UNION ALL
+  SELECT x.account_id, x.rank, CASE WHEN x.reasons = '' THEN x.open_risk + x.risk ELSE x.open_risk END,
+    CASE WHEN x.reasons = '' THEN x.gross + x.notional ELSE x.gross END, x.reasons
+  FROM (SELECT s.*, w.open_risk, w.gross, concat_ws(',', CASE WHEN s.kill THEN 'KILL_SWITCH' END, CASE WHEN s.age > 30 THEN 'STALE_DATA' END,
+        CASE WHEN s.risk/s.equity > 0.005e0 THEN 'ORDER_RISK_LIMIT' END, CASE WHEN (w.open_risk + s.risk)/s.equity > 0.02e0 THEN 'TOTAL_OPEN_RISK_LIMIT' END,
+        CASE WHEN (w.gross + s.notional)/s.equity > 2.0e0 THEN 'GROSS_EXPOSURE_LIMIT' END, CASE WHEN s.gain - s.fee <= 0 THEN 'NO_POSITIVE_NET_EDGE' END,
+        CASE WHEN s.gain > 0 AND s.fee >= s.gain THEN 'COST_CONSUMES_EDGE' END) AS reasons
+    FROM walk w JOIN sized s ON s.account_id = w.account_id AND s.rank = w.rank + 1) x)
+SELECT reasons, reasons = '' AS approved, count(*) AS plans FROM (SELECT reasons FROM walk WHERE rank > 0 UNION ALL SELECT gate FROM k WHERE gate IS NOT NULL) GROUP BY 1, 2""")
 def shadow_cycle_counts(spark, sf):
     out = shadow_decisions(spark, sf)
     return out.groupBy(F.array_join("reasons", ",").alias("reasons"), "approved").agg(F.count(F.lit(1)).alias("plans"))
