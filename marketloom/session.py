@@ -32,13 +32,16 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and interim tables.
+    """Folder for checkpoints and interim tables, which driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder is made only when
-    that setting is absent, which is the single-machine test case.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is made for a
+    ``local`` master only: on a cluster each executor would write to a disk of its own, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
