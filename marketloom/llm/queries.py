@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import exact_dedup, mixing, packing, simhash, toxicity
+from marketloom.llm import exact_dedup, html_text, mixing, packing, simhash, toxicity, vector_graph
 from marketloom.llm.common import WORD, read
 from marketloom.session import use_utc
 
@@ -22,6 +22,16 @@ def query(fn):
     return fn
 
 
+@query
+def op1_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.linked_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 @query
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
