@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import exact_dedup, html_text, mixing, packing, pitman_yor, simhash, toxicity, vector_graph
+from marketloom.llm import exact_dedup, html_text, mixing, packing, pitman_yor, simhash, substring_bytes, substring_words, toxicity, vector_graph
 from marketloom.llm.common import WORD, read
 from marketloom.session import use_utc
 
@@ -52,11 +52,21 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("mixed_source")
 
 
+@query
+def op7_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_bytes.drop_repeated_bytes(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op9_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_words.drop_repeated_passages(read(spark, sf_dir, "documents")).drop("n_spans")
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
