@@ -47,17 +47,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> b
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number."""
+    """doc_id, fp (the fingerprint as a signed 64-bit number) and row, a hash of the text as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = b"".join(fingerprint(t.as_py()) for t in b.column(1))
             fp = np.frombuffer(found, ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], names=["doc_id", "fp", "row"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(run, f"doc_id {kind}, fp long, row long")
 
 
 def variants(nodes: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def _pairs(at: np.ndarray, key: np.ndarray, fp: np.ndarray, max_bits: int) -> pa
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id.
+    """One row per row of ``docs``: doc_id, fp, component_id, root (names the component), row (hash of the text).
 
     ``component_id`` is the smallest id reachable over links, the row's own included. A text without words has
     fingerprint zero and is linked like any other, a null text counts as empty; null ids take no part in the minimum.
@@ -157,12 +157,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(found, nodes.fp == found.node, "left").select(
         nodes.fp, "least", F.coalesce("root", nodes.fp).alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = interim(named.join(least, "root").select(F.col("fp").alias("node_fp"), "component_id"))
-    return rows.join(table, rows.fp == table.node_fp).select("doc_id", "fp", "component_id")
+    table = interim(named.join(least, "root").select(F.col("fp").alias("node_fp"), "root", "component_id"))
+    return rows.join(table, rows.fp == table.node_fp).select("doc_id", "fp", "component_id", "root", "row")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; all columns stay."""
+    """``docs`` with one document of each component, the one with the smallest id; all columns stay.
+
+    A component without ids keeps one row; of rows that share the smallest id, the one with the smallest text hash stays.
+    """
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return one_per_text(put_back(docs, kept, [("doc_id", F.col(id_col))]), id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = found.groupBy("root").agg(first).select("first.doc_id", "first.row")
+    rows = put_back(docs, kept, [("doc_id", F.col(id_col)), ("row", F.xxhash64(F.col(text_col)))])
+    return one_per_text(rows, id_col, text_col)
