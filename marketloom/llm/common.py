@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marketloom.session import interim
 
@@ -49,8 +51,21 @@ def put_back(df: DataFrame, chosen: DataFrame, keys: list[tuple[str, Column]]) -
     return left.join(right, same, "left_semi").drop(*marks)
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def own_texts(texts: pa.Array) -> pa.Array:
+    """Texts with null as empty, in buffers of their own: Arrow's ascii_lower misreads slices of large strings."""
+    kind = pa.large_string()
+    return pa.concat_arrays([pa.array([], kind), pc.fill_null(texts.cast(kind), "")])
+
+
+def slices(b: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch whose texts are at most ``most`` bytes together, or one longer text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        done = sizes[at - 1] if at else 0
+        n = max(1, int(np.searchsorted(sizes, done + most, "right")) - at)
+        yield b.slice(at, n)
+        at += n
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -9,7 +9,9 @@ at full windows; the last rest is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,12 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import own_texts, slices
+
 WINDOW = 2048
 END_ID = 1
 #: Open windows a task holds (their ids are kept in memory: 8 kB a window); the fullest half is closed beyond it.
 MAX_OPEN = 8192
-#: Words whose ids a Python worker remembers.
-MAX_WORDS = 300_000
+#: Bytes of text encoded at once, or one longer text.
+SLICE = 32 << 20
+#: Words whose ids a Python worker remembers, in each of two generations.
+MAX_WORDS = 250_000
+MARKS = ".,;:!?%*#&$"
 SCHEMA = ("doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
@@ -33,39 +40,68 @@ class WordIds:
     """Token ids of texts, encoded word by word.
 
     The tokenizer drops white space and its pattern never crosses it, so a text's ids are the ids of its
-    white-space-separated parts in order; each distinct part is encoded once.
+    white-space-separated parts in order; each distinct part is encoded once. It lower-cases, and cuts between a
+    Latin letter or digit and the marks in ``MARKS``, so parts are told apart in lower case and without such marks.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def of(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MAX_WORDS:
-            self.known.clear()
-            new = words
-        fresh = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def remember(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of all ``words`` as bytes; the last two generations of words are remembered."""
+        out = {}
+        new = []
+        for w in words:
+            ids = self.young.get(w) or self.old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                out[w] = ids
         for at in range(0, len(new), 4096):
             part = new[at: at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                fresh[w] = np.array(e.ids, np.uint32)
-        out = [fresh[w] if w in fresh else self.known[w] for w in words]
-        self.known.update(fresh if len(fresh) <= MAX_WORDS else {})
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                out[w] = array("I", e.ids).tobytes()
+        if len(self.young) + len(out) > MAX_WORDS:
+            self.young, self.old = {}, self.young
+        if len(out) <= MAX_WORDS:
+            self.young.update(out)
         return out
 
+    def of(self, words: list[str], plain: bool) -> list[bytes]:
+        if not plain:
+            known = self.remember(words)
+            return [known[w] for w in words]
+        cuts = []
+        for w in words:
+            head = w.rstrip(MARKS)
+            if len(head) == len(w) or not head or head[-1] >= "\u0250" or not head[-1].isalnum():
+                cuts.append(len(w))
+            else:
+                cuts.append(len(head))
+        parts = {w[:n] for w, n in zip(words, cuts)}
+        parts.update(w[n:] for w, n in zip(words, cuts))
+        parts.discard("")
+        known = self.remember(list(parts))
+        known[""] = b""
+        return [known[w[:n]] + known[w[n:]] for w, n in zip(words, cuts)]
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each followed by the end id, and the bounds of each text."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        parts = pc.ascii_split_whitespace(texts)
+        texts = own_texts(texts)
+        # names of special tokens are matched before anything is lower-cased
+        plain = not pc.any(pc.match_substring(texts, "<|")).as_py()
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if plain else texts)
         offsets = parts.offsets.to_numpy()
         flat = parts.flatten().dictionary_encode()
         codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = self.of(flat.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        table = np.concatenate([np.empty(0, np.uint32), *ids, np.array([END_ID], np.uint32)])
+        ids = self.of(flat.dictionary.to_pylist(), plain)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = np.concatenate((np.frombuffer(b"".join(ids), np.uint32), np.array([END_ID], np.uint32)))
         begins = np.concatenate((np.cumsum(sizes) - sizes, [len(table) - 1]))
         sizes = np.append(sizes, 1)
         offsets = offsets - offsets[0]
@@ -187,8 +223,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             nonlocal shape
             for b in batches:
                 shape = b.schema.field(0).type
-                for at in range(0, b.num_rows, 2000):
-                    part = b.slice(at, 2000)
+                for part in slices(b, 1, SLICE):
                     ids, cuts = words.texts(part.column(1))
                     for i, doc in enumerate(part.column(0).to_pylist()):
                         yield doc, ids[cuts[i]: cuts[i + 1]]

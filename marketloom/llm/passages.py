@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import slices
 from marketloom.session import interim
 
 #: Stands for no smaller id.
@@ -29,6 +30,8 @@ NOBODY = (1 << 63) - 1
 PRIME = 0x9E3779B97F4A7C15
 #: Symbols hashed at once; longer texts are read in blocks that overlap by a window.
 BLOCK = 1 << 20
+#: Bytes of text taken at once, or one longer text.
+SLICE = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -141,8 +144,7 @@ def _scan(docs: DataFrame, p: Passage) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
+            for b in slices(batch, 1, SLICE):
                 texts = _encode(b.column(1))
                 rows = []
                 for doc, text, (codes, content, width, n) in zip(b.column(0).to_pylist(), texts, symbols_of(texts, p)):

@@ -259,3 +259,18 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     plain = Tokenizer.from_file(TOKENIZER)
     assert whole == Counter({r["doc_id"]: times[r["doc_id"]] * (len(plain.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in seen[4]})
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_slices_are_read_right():
+    """Texts in slices of a larger Arrow array give the words they hold."""
+    import pyarrow as pa
+
+    texts = [f"Doc {i} ñandú É% end." for i in range(500)]
+    part = pa.array(texts).slice(200, 50)
+    plain = Tokenizer.from_file(TOKENIZER)
+    ids, cuts = packing.WordIds(TOKENIZER).texts(part)
+    for i, t in enumerate(texts[200:250]):
+        assert ids[cuts[i]: cuts[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids + [1]
+    for big in (part, part.cast(pa.large_string())):
+        hashes, codes, _, bounds = pitman_yor.encode(big, pitman_yor.Settings())
+        assert len(bounds) == 51 and bounds[-1] == 50 * 6 == len(codes) and len(hashes) == 50 + 5
