@@ -18,19 +18,22 @@ def as_of_join(
     available: str = "available_time",
     values: Sequence[str] = ("value",),
     layout: SeriesLayout | None = None,
+    tie: str | None = None,
 ) -> DataFrame:
     """Attach to each decision row the ``values`` of the latest observation with ``available <= ts``.
 
-    Both sides form one series per key. Within a block the last known observation is a window; across
+    Of observations available at one time the one with the largest ``tie`` counts (without ``tie``: with the
+    largest values in column order). Both sides form one series per key. Within a block the last known observation is a window; across
     blocks one value per block is carried, so no key is ever a single task.
     """
     keys, values = list(keys), list(values)
     payload = F.struct(*[F.col(v) for v in values])
-    right = observations.select(*keys, F.col(available).alias("_at"), F.lit(0).alias("_kind"), payload.alias("_obs"))
+    right = observations.select(*keys, F.col(available).alias("_at"), F.lit(0).alias("_kind"), payload.alias("_obs"),
+                                (F.col(tie) if tie else payload).alias("_tie"))
     left = decisions.withColumn("_at", F.col(ts)).withColumn("_kind", F.lit(1))
     both = left.unionByName(right, allowMissingColumns=True)
     layout = (layout or SeriesLayout()).keyed(*keys)
-    layout = SeriesLayout(tuple(keys), ("_at", "_kind"), layout.bucket, layout.block_rows)
+    layout = SeriesLayout(tuple(keys), ("_at", "_kind", "_tie"), layout.bucket, layout.block_rows)
     rows = block_of(both, layout)
     w = layout.block_window.rowsBetween(Window.unboundedPreceding, 0)
     lasts = rows.where(F.col("_obs").isNotNull()).groupBy(*keys, BLOCK).agg(
@@ -41,5 +44,5 @@ def as_of_join(
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(*keys, BLOCK, F.last("_end", ignorenulls=True).over(before).alias("_carry"))
     known = F.coalesce(F.last("_obs", ignorenulls=True).over(w), F.col("_carry"))
-    out = rows.join(carry, [*keys, BLOCK]).withColumn("_known", known).where("_kind = 1")
+    out = rows.join(carry, [*keys, BLOCK], "left").withColumn("_known", known).where("_kind = 1")
     return out.select(*decisions.columns, *[F.col(f"_known.{v}").alias(v) for v in values])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import finite
 from ..session import interim
+from .series import join_keys
 from .fold import FOLD_ROWS, accepted_in_rounds, ddl_of, ordered_fold, split_by_size
 
 
@@ -108,7 +109,7 @@ def _promote_in_rounds(hot: DataFrame, keys: list[str], order: str, criteria: Pr
     slim = hot.select(*keys, order, *champion.values())
     won = accepted_in_rounds(slim, keys, order, start, beats, {k: F.col(v) for k, v in champion.items()})
     winners = won.select(*keys, order).withColumn("promoted", F.lit(True))
-    return hot.join(winners, [*keys, order], "left").fillna(False, ["promoted"])
+    return join_keys(hot, winners, [*keys, order], "left").fillna(False, ["promoted"])
 
 
 def reigning_champion(promoted: DataFrame, keys: Sequence[str], name: str = "name", order: str = "ordinal") -> DataFrame:

@@ -7,7 +7,7 @@ copying a row into every later fold.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,10 +24,21 @@ MIN_TRAIN_ROWS = 10
 BROADCAST_NUMBERS = 1_000_000
 
 
-def gram_columns(features: Sequence[str], target: str) -> dict[str, Column]:
-    """Row-wise terms whose sums are all a linear model needs."""
-    x = [F.col(f).cast("double") for f in features]
-    y = F.col(target).cast("double")
+def typical(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """One value per column near its mean: the mean over all rows, by one small aggregate."""
+    row = df.agg(*[F.avg(finite(x)).alias(f"_{i}") for i, x in enumerate(columns)]).first()
+    return {x: float(row[i] or 0.0) for i, x in enumerate(columns)}
+
+
+def gram_columns(features: Sequence[str], target: str, shift: Mapping[str, float] | None = None) -> dict[str, Column]:
+    """Row-wise terms whose sums are all a linear model needs.
+
+    ``shift`` is taken off every column first. The solution does not depend on it, but a shift near the mean keeps
+    the digits that large values would lose in sums of squares.
+    """
+    shift = shift or {}
+    x = [F.col(f).cast("double") - float(shift.get(f, 0.0)) for f in features]
+    y = F.col(target).cast("double") - float(shift.get(target, 0.0))
     terms = {"n": F.lit(1.0), "y": y, "yy": y * y}
     for i, a in enumerate(x):
         terms[f"x{i}"] = a
@@ -57,8 +68,9 @@ def _standardised(sums: np.ndarray, names: list[str], p: int):
 
 
 def _unscale(beta: np.ndarray, mean: np.ndarray, sd: np.ndarray, ybar: float) -> list[float]:
+    """Value at the means, slopes, means: the intercept is never multiplied out, which would cost digits again."""
     slope = beta / sd
-    return [float(ybar - slope @ mean), *map(float, slope)]
+    return [float(ybar), *map(float, slope), *map(float, mean)]
 
 
 def ridge_solver(names: list[str], p: int, alpha: float):
@@ -83,13 +95,15 @@ def elastic_net_solver(names: list[str], p: int, alpha: float, l1_ratio: float,
                 worst, beta[j] = max(worst, abs(new - beta[j])), new
             if worst < tol:
                 break
+        else:
+            raise ValueError(f"elastic net has not settled after {max_iter} rounds: the last step was {worst:.3g}")
         return _unscale(beta, mean, sd, ybar)
 
     return solve
 
 
 def solve_grams(grams: DataFrame, solver, gram: str = "gram", out: str = "coef") -> DataFrame:
-    """Replace the Gram array by ``[intercept, slopes...]``."""
+    """Replace the Gram array by ``[value at the means, slopes..., means...]`` of the shifted columns."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def fit(column: pd.Series) -> pd.Series:
@@ -98,10 +112,11 @@ def solve_grams(grams: DataFrame, solver, gram: str = "gram", out: str = "coef")
     return grams.withColumn(out, fit(gram)).drop(gram)
 
 
-def linear_prediction(features: Sequence[str], coef: str = "coef") -> Column:
-    value = F.col(coef)[0]
+def linear_prediction(features: Sequence[str], coef: str = "coef", shift: Mapping[str, float] | None = None, target: str = "") -> Column:
+    shift, p = shift or {}, len(features)
+    value = F.col(coef)[0] + float(shift.get(target, 0.0))
     for i, f in enumerate(features):
-        value = value + F.col(coef)[i + 1] * F.col(f)
+        value = value + F.col(coef)[i + 1] * (F.col(f) - float(shift.get(f, 0.0)) - F.col(coef)[i + 1 + p])
     return value
 
 
@@ -146,7 +161,8 @@ def purged_oos(
     """
     total = folds.count(n_dates)
     solver = model_solver(model, params or {}, features, target)
-    terms = gram_columns(features, target)
+    shift = typical(df, [*features, target])
+    terms = gram_columns(features, target, shift)
     usable = df.where(known(features) & finite(target).isNotNull())
     train = usable.withColumn("fold", F.explode(folds.train_folds(F.col("date_idx"), total)))
     grams = (
@@ -158,7 +174,7 @@ def purged_oos(
     if total * (len(features) + 2) <= BROADCAST_NUMBERS:  # one row per fold: the size is known here
         coefs = F.broadcast(coefs)
     tagged = df.withColumn("fold", F.when(known(features), folds.test_fold(F.col("date_idx"), total)))
-    out = tagged.join(coefs, "fold", "left").withColumn("prediction", linear_prediction(features))
+    out = tagged.join(coefs, "fold", "left").withColumn("prediction", linear_prediction(features, shift=shift, target=target))
     return out.withColumn("fold", F.when(F.col("coef").isNotNull(), F.col("fold"))).drop("coef")
 
 
@@ -179,7 +195,8 @@ def walk_forward_ridge(
     80..126) unless given. Adds ``prediction`` (NULL outside test blocks).
     """
     keys = list(layout.keys)
-    terms = gram_columns(features, target)
+    shift = typical(df, [*features, target])
+    terms = gram_columns(features, target, shift)
     rows = index_rows(df.drop(ROW) if ROW in df.columns else df, layout)
     sizes = rows.groupBy(*keys).agg(F.max(ROW).alias("_n"))
     half = F.greatest(F.lit(80), F.floor(F.col("_n") / 2).cast("int"))
@@ -212,7 +229,8 @@ def walk_forward_ridge(
     # Rows outside tests get distinct stand-in folds, so they do not pile up on one NULL join key.
     spread = rows.withColumn("_fold", F.coalesce("fold", -F.col(ROW)))
     out = spread.join(coefs.withColumnRenamed("fold", "_fold"), [*keys, "_fold"], "left")
-    return out.withColumn("prediction", linear_prediction(features)).drop("coef", "_n", "_train", "_pos", "_fold", "_segment")
+    predicted = linear_prediction(features, shift=shift, target=target)
+    return out.withColumn("prediction", predicted).drop("coef", "_n", "_train", "_pos", "_fold", "_segment")
 
 
 def coverage(df: DataFrame, keys: Sequence[str] = (), prediction: str = "prediction") -> DataFrame:

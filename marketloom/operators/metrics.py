@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import clip, finite, safe_ratio
 from ..session import interim
 from .quantile import exact_quantile
-from .series import BLOCK, SeriesLayout, compound
+from .series import BLOCK, SeriesLayout, compound, join_keys
 
 PERIODS = 252
 PERFORMANCE_COLUMNS = (
@@ -79,7 +79,7 @@ def performance_metrics(
         F.covar_pop(r, b).alias("_cov"),
     )
     cut = exact_quantile(rows, keys, "_x", 0.05, "_q")
-    joined = rows.select(*keys, "_x").join(cut, keys)
+    joined = join_keys(rows.select(*keys, "_x"), cut, keys)
     tail = joined.where(F.col("_x") <= F.col("_q")).groupBy(*keys).agg(F.avg("_x").alias("_tail"))
     out = stats.join(tail, keys, "left")
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checks import within
 from ..functions.clean import as_col
 from ..functions.pricing import age_seconds, spread_fraction
 from ..functions.reasons import (
@@ -26,10 +27,7 @@ class LiveLimits:
     max_spread_fraction: float = 0.02
 
     def __post_init__(self) -> None:
-        if self.max_quote_age_seconds <= 0 or self.max_account_age_seconds <= 0:
-            raise ValueError("age limits must be positive")
-        if not 0 < self.max_spread_fraction < 1:
-            raise ValueError("max_spread_fraction must be in (0,1)")
+        within(self, max_spread_fraction="(0, 1)", max_quote_age_seconds="(0,", max_account_age_seconds="(0,")
 
 
 def checked(df: DataFrame, rules: Column, reasons: str = "reasons", ok: str = "ok") -> DataFrame:

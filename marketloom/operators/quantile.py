@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .series import join_keys
 
 BINS = 4096
 
@@ -44,7 +45,7 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: st
 
 def _pick(rows: DataFrame, target: DataFrame, keys: list[str], distinct: bool) -> DataFrame:
     """The bin that holds rank ``_k``; ``_a``/``_b`` are ranks k and k+1 once they are certain."""
-    joined = rows.join(target, keys)
+    joined = join_keys(rows, target, keys)
     inside = joined.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     width = F.col("_hi") - F.col("_lo")
     scaled = F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width) * BINS)

@@ -55,8 +55,22 @@ class SeriesLayout:
 DEFAULT_LAYOUT = SeriesLayout()
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key meets a null key, so that no row is lost for want of a key. It shuffles by keys of
+    its own: a grouped aggregate after it gets an exchange, and a partial sum before that."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(named[f"_r_{k}"])
+    return left.join(named, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def index_rows(df: DataFrame, layout: SeriesLayout = DEFAULT_LAYOUT) -> DataFrame:
-    """Add ``row_idx``: 1, 2, 3 ... along every series."""
+    """Add ``row_idx``: 1, 2, 3 ... along every series. 
+
+    Rows without a time come first. A row without a key belongs to no series: it is kept and numbered inside its
+    bucket only, and running values of it are null.
+    """
     keys = list(layout.keys)
     bucketed = df.withColumn("_bucket", F.date_trunc(layout.bucket, F.col(layout.order[0])))
     counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -65,8 +79,8 @@ def index_rows(df: DataFrame, layout: SeriesLayout = DEFAULT_LAYOUT) -> DataFram
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*layout.order)
     ranked = bucketed.withColumn("_rank", F.row_number().over(inside))
     return (
-        ranked.join(offsets, [*keys, "_bucket"])
-        .withColumn(ROW, F.col("_before") + F.col("_rank"))
+        ranked.join(offsets, [*keys, "_bucket"], "left")  # plain keys: the window's shuffle serves the join too
+        .withColumn(ROW, F.coalesce("_before", F.lit(0)) + F.col("_rank"))
         .drop("_bucket", "_rank", "_before")
         .select(*df.columns, ROW)
     )
@@ -120,7 +134,7 @@ def running_sum(df: DataFrame, layout: SeriesLayout, columns: dict[str, str | Co
         *layout.keys, BLOCK, *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_c_{out}") for out in columns]
     )
     w = layout.block_window.rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(carry, [*layout.keys, BLOCK])
+    joined = rows.join(carry, [*layout.keys, BLOCK], "left")
     for out, c in columns.items():
         joined = joined.withColumn(out, F.col(f"_c_{out}") + F.sum(F.col(c) if isinstance(c, str) else c).over(w))
     return joined.drop(*[f"_c_{out}" for out in columns])
@@ -158,7 +172,7 @@ def compound(
     )
     # Seeding the first factor keeps the multiplication order of a plain running product.
     seeded = F.when(opens_block(layout), F.col("_start") * growth).otherwise(growth)
-    out = rows.join(carry, [*keys, BLOCK]).withColumn(equity, F.product(seeded).over(upto))
+    out = rows.join(carry, [*keys, BLOCK], "left").withColumn(equity, F.product(seeded).over(upto))
     out = out.withColumn(peak, F.greatest(F.col("_peak0"), F.max(equity).over(upto)))
     if before:
         out = out.withColumn(before, F.coalesce(F.lag(equity).over(layout.block_window), F.col("_start")))
@@ -175,6 +189,6 @@ def last_rows(df: DataFrame, layout: SeriesLayout, n: int, minimum: int = 0) ->
     """The last ``n`` rows per series with ``bar_count``; too short a series is flagged, not dropped."""
     rows = df if ROW in df.columns else index_rows(df, layout)
     total = rows.groupBy(*layout.keys).agg(F.max(ROW).alias("series_rows"))
-    tail = rows.join(total, list(layout.keys)).where(F.col(ROW) > F.col("series_rows") - n)
+    tail = join_keys(rows, total, list(layout.keys)).where(F.col(ROW) > F.col("series_rows") - n)
     kept = F.least(F.lit(n), F.col("series_rows"))
     return tail.withColumn("bar_count", kept).withColumn("enough_bars", kept >= minimum).drop("series_rows")

@@ -11,6 +11,7 @@ from ..functions.text import parse_zoned_time
 from ..operators.admission import new_decisions
 from ..operators.fingerprint import DatasetMetadata
 from ..operators.quality import portfolio_state_rules
+from ..session import interim
 from ..schemas import DECISION_EVENT_DDL, LIFECYCLE_EVENT_DDL, PORTFOLIO_STATE_DDL, journal_ddl
 
 STATE_VERSION = 1
@@ -68,13 +69,32 @@ def state_positions(states: DataFrame) -> DataFrame:
 # --- sinks -----------------------------------------------------------------------------------------
 
 
+#: Folders of a journal's table of ids, dealt by hash of the id.
+ID_BUCKETS = 256
+
+
 def append_decisions(batch: DataFrame, path: str, order: Sequence[str] = ("ordinal",), ts: str = "ts") -> None:
-    """Append rows whose decision id the journal does not hold yet; date folders keep reads pruned."""
+    """Append rows whose decision id the journal does not hold yet, however late they come.
+
+    A table of ids beside the journal (``path`` + ``_ids``) answers which ids are known: only its folders of the
+    batch's hashes are read, and of the journal itself only the batch's own dates. Rows are written before their ids,
+    so a batch that broke off between the two finds its rows by date when it is replayed.
+    """
     spark = batch.sparkSession
-    dated = batch.withColumn("dt", F.to_date(ts))
-    known = spark.read.schema(dated.schema).parquet(path) if _exists(spark, path) else dated.where(F.lit(False))
-    fresh = new_decisions(dated, known, order)
-    fresh.write.mode("append").partitionBy("dt").parquet(path)
+    key = "decision_id"
+    dated = interim(batch.withColumns({"dt": F.to_date(ts), "_bucket": F.pmod(F.xxhash64(key), F.lit(ID_BUCKETS)).cast("int")}))
+    ids = f"{path.rstrip('/')}_ids"
+    fresh = dated
+    if _exists(spark, ids):
+        known = spark.read.schema(f"{key} {dated.schema[key].dataType.simpleString()}, _bucket int").parquet(ids)
+        fresh = interim(dated.join(known, ["_bucket", key], "left_anti").select(*dated.columns))
+    rows = fresh.drop("_bucket")
+    held = rows.where(F.lit(False))
+    if _exists(spark, path):
+        days = fresh.select("dt").distinct()
+        held = spark.read.schema(rows.schema).parquet(path).join(days, "dt", "left_semi").select(*rows.columns)
+    new_decisions(rows, held, order).write.mode("append").partitionBy("dt").parquet(path)
+    fresh.select(key, "_bucket").distinct().repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(ids)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

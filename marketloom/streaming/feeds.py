@@ -49,8 +49,3 @@ def daily_pnl(events: DataFrame, keys: tuple[str, ...] = ("account_id",), delay:
         .agg(F.sum("pnl_usd").alias("realized_pnl_usd"))
         .select(*keys, F.to_date("w.start").alias("day"), "realized_pnl_usd")
     )
-
-
-def once_per_decision(decisions: DataFrame, delay: str = "1 hour", key: str = "decision_id") -> DataFrame:
-    """First arrival of each decision id within the watermark; the journal sink's anti-join covers older ones."""
-    return decisions.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])

@@ -13,7 +13,7 @@ from marketloom.operators.fingerprint import DatasetMetadata, dataset_fingerprin
 from marketloom.operators.asof import as_of_join
 from marketloom.operators.series import SeriesLayout
 from marketloom.sources import journals as SJ
-from marketloom.streaming.exits import exit_stream
+from marketloom.streaming.exits import LATE, exit_stream, settle_late
 from marketloom.streaming.sinks import drain
 
 START = datetime(2024, 1, 30, 20, 0)
@@ -69,6 +69,22 @@ def test_streamed_exits_equal_batch_over_several_files(spark, tmp_path):
     assert as_dict(out) == brute(positions, quotes)
 
 
+def test_late_positions_are_settled(spark, tmp_path):
+    """Every position arrives one micro-batch after the quotes it should have met."""
+    positions, quotes = market(n=120, symbols=("HOT",))
+    qdir, pdir = str(tmp_path / "q"), str(tmp_path / "p")
+    half = quotes[len(quotes) // 2][1]
+    for part in ([q for q in quotes if q[1] < half], [q for q in quotes if q[1] >= half]):
+        spark.createDataFrame(part, QUOTE).coalesce(1).write.mode("append").parquet(qdir)
+    spark.createDataFrame([], POS).coalesce(1).write.mode("append").parquet(pdir)
+    spark.createDataFrame(positions, POS).coalesce(1).write.mode("append").parquet(pdir)
+    read = spark.readStream.option("maxFilesPerTrigger", "1")
+    out = drain(exit_stream(read.schema(POS).parquet(pdir), read.schema(QUOTE).parquet(qdir), "seq", salts=2))
+    assert out.where(f"exit_reason = '{LATE}'").count() > 0
+    settled = settle_late(out, spark.createDataFrame(positions, POS), spark.createDataFrame(quotes, QUOTE), "seq")
+    assert as_dict(settled) == brute(positions, quotes)
+
+
 def test_geometry(spark):
     df = spark.createDataFrame([(100.0, 1000.0, 10.0, 2.0), (100.0, 10.0, 10.0, 2.0), (100.0, 0.0, 0.0, 2.0)], "ask double, n double, r double, rr double")
     g = long_geometry("ask", "n", "r", "rr")

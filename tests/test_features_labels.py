@@ -1,10 +1,11 @@
 import math
+from datetime import timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import bars_frame, walk
+from helpers import START, bars_frame, walk
 from marketloom.operators import features as FE
 from marketloom.operators import labels as LA
 from marketloom.operators.series import SeriesLayout, compound, index_rows, last_rows, running_sum
@@ -96,3 +97,18 @@ def test_index_running_and_last_rows(spark):
     assert [r.was for r in got] == pytest.approx([1.0, *wealth[:-1]])
     tail = last_rows(bars, layout, 20, minimum=10).groupBy("symbol").agg(F.count("*").alias("n"), F.min("enough_bars").alias("ok"))
     assert {r.symbol: (r.n, r.ok) for r in tail.collect()} == {"A": (20, True), "B": (20, True), "C": (9, False)}
+
+
+def test_rows_without_key_or_time_are_kept(spark):
+    from marketloom.operators.quantile import exact_quantile
+    from marketloom.operators.series import ROW, index_rows, running_sum
+
+    rows = [("A", START, 1.0), ("A", None, 2.0), (None, START, 3.0), ("A", START + timedelta(days=2), 4.0)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, x double")
+    got = index_rows(df).collect()
+    assert len(got) == 4
+    assert {r["x"]: r[ROW] for r in got if r["symbol"] == "A"} == {2.0: 1, 1.0: 2, 4.0: 3}
+    summed = {r["x"]: r["s"] for r in running_sum(df, SeriesLayout(block_rows=1), {"s": "x"}).collect()}
+    assert len(summed) == 4 and summed[4.0] == 7.0
+    half = {r["symbol"]: r["q"] for r in exact_quantile(df, ["symbol"], "x", 0.5, "q").collect()}
+    assert half == {"A": 2.0, None: 3.0}

@@ -86,7 +86,7 @@ def test_elastic_net_meets_optimality(panel):
     pdf = rows.toPandas()
     x, y = pdf[list(NAMES)].to_numpy(float), pdf.fwd_return_5.to_numpy(float)
     sd = x.std(0)
-    z, beta = (x - x.mean(0)) / sd, coef[1:] * sd
+    z, beta = (x - x.mean(0)) / sd, coef[1:4] * sd
     grad = z.T @ (y - y.mean() - z @ beta) / len(y) - alpha * (1 - l1) * beta
     assert np.all(np.abs(grad) <= alpha * l1 + 1e-9)
     assert np.allclose(grad[beta != 0], alpha * l1 * np.sign(beta[beta != 0]), atol=1e-9)
@@ -175,3 +175,22 @@ def test_top_fraction_keeps_cash_without_positive_predictions(spark):
     rows = [("A", 1, -1.0), ("B", 1, -2.0), ("A", 2, 3.0), ("B", 2, 3.0), ("C", 2, 1.0), ("D", 2, None)]
     out = PA.top_fraction_weights(spark.createDataFrame(rows, "symbol string, ts int, prediction double"), fraction=0.5).collect()
     assert {(r.ts, r.symbol): r.weight for r in out} == {(2, "A"): 0.5, (2, "B"): 0.5}
+
+
+def test_large_values_keep_their_digits(spark):
+    """A feature with mean 1e7 and deviation 1 is fitted like one with mean 0."""
+    rng = np.random.default_rng(12)
+    n = 230
+    x = rng.normal(1e7, 1.0, n)
+    y = 0.5 * (x - 1e7) + rng.normal(0, 0.1, n) + 3e4
+    start = pd.Timestamp("2024-01-01")
+    rows = [("A", (start + pd.Timedelta(hours=i)).to_pydatetime(), float(x[i]), float(y[i]), i) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, x double, target double, date_idx bigint")
+    walked = LI.walk_forward_ridge(df, ("x",), "target", SeriesLayout()).toPandas().sort_values("ts")
+    fit = ridge_by_hand((x[:115] - 1e7)[:, None], y[:115])
+    got = walked.prediction.to_numpy(float)[120:141]
+    assert np.allclose(got, fit((x[120:141] - 1e7)[:, None]), atol=1e-9 * 3e4, rtol=0)
+    purged = LI.purged_oos(df, ("x",), "target", FO.PurgedFolds(100, 20, 5, 5), n).toPandas().sort_values("ts")
+    fit = ridge_by_hand((x[:100] - 1e7)[:, None], y[:100])
+    got = purged.prediction.to_numpy(float)[105:125]
+    assert np.allclose(got, fit((x[105:125] - 1e7)[:, None]), atol=1e-9 * 3e4, rtol=0)

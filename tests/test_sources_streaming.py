@@ -110,12 +110,32 @@ def test_decisions_append_once(spark, tmp_path):
     assert [(r.decision_id, r.ordinal) for r in out] == [("a", 1), ("b", 3), ("c", 2)]
 
 
+def test_late_new_decisions_are_kept(spark, tmp_path):
+    """A new id is journalled however old its time; a lost id table does not let rows in twice."""
+    import shutil
+
+    path, cols = str(tmp_path / "journal"), "decision_id string, ordinal int, ts timestamp"
+    late = [("a", 1, START + timedelta(hours=12)), ("b", 2, START + timedelta(hours=12)), ("c", 3, START + timedelta(hours=9) - timedelta(days=900))]
+    for row in late:
+        SJ.append_decisions(spark.createDataFrame([row], cols), path)
+    shutil.rmtree(path + "_ids")  # a batch that broke off before its ids were written
+    SJ.append_decisions(spark.createDataFrame(late, cols), path)
+    assert sorted(r.decision_id for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+
+
+def test_a_known_id_is_found_without_reading_the_journal(spark, tmp_path):
+    path, cols = str(tmp_path / "journal"), "decision_id string, ordinal int, ts timestamp"
+    SJ.append_decisions(spark.createDataFrame([("a", 1, START)], cols), path)
+    SJ.append_decisions(spark.createDataFrame([("a", 2, START + timedelta(days=50)), ("b", 3, START + timedelta(days=50))], cols), path)
+    assert sorted((r.decision_id, r.ordinal) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3)]
+
+
 def test_decision_stream_is_idempotent(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "journal")
     cols = "decision_id string, ordinal int, ts timestamp"
     spark.createDataFrame([("a", 1, START), ("b", 2, START)], cols).coalesce(1).write.parquet(source)
     for checkpoint in ("one", "two"):  # a lost checkpoint replays the input
-        rows = FD.once_per_decision(spark.readStream.schema(cols).parquet(source))
+        rows = spark.readStream.schema(cols).parquet(source)
         journal_stream(rows, path, str(tmp_path / checkpoint)).awaitTermination()
     assert sorted(r.decision_id for r in spark.read.parquet(path).collect()) == ["a", "b"]
 

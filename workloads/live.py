@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from marketloom.functions import signals as S
@@ -19,8 +21,9 @@ from marketloom.sources import journals as SJ
 from marketloom.sources import snapshots as SN
 from marketloom.sources import vendor as SV
 from marketloom.streaming import feeds as FD
-from marketloom.streaming.exits import exit_stream
-from marketloom.streaming.sinks import drain
+from marketloom.streaming.exits import exit_stream, settle_late
+from marketloom.session import shared_dir
+from marketloom.streaming.sinks import drain, journal_stream
 
 from . import sql
 from .decisions import EXITS, INTENTS, PLANS, POSITIONS, QUOTES, journal_lines, latest_quotes, plans, positions, quotes, specs
@@ -295,16 +298,26 @@ def shadow_decisions(spark, sf):
 # --- streams ---------------------------------------------------------------------------------------
 
 
-def stream(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
+def stream(spark, sf, name, time=None, parts=3):
+    """The whole table as a stream of ``parts`` micro-batches: in order of ``time``, or dealt at random without it."""
+    rows = table(spark, sf, name)
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    if time is None:
+        rows.repartition(parts).write.parquet(base)
+    else:
+        moment = F.unix_micros(c(time).cast("timestamp"))
+        cuts = rows.select(F.percentile_approx(moment, [k / parts for k in range(1, parts)])).first()[0]
+        part = sum((F.when(moment > x, 1).otherwise(0) for x in cuts), F.lit(0))
+        for k in range(parts):  # files are read in the order they were written
+            rows.where(part == k).coalesce(1).write.mode("append").parquet(base)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
 
 
 @query("stream_closed_bars", """WITH t AS (SELECT event_type AS symbol, ts, value FROM events),
 b AS (SELECT symbol, date_trunc('hour', ts) AS start, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume FROM t GROUP BY 1, 2)
 SELECT symbol, start AS ts, open, high, low, close, volume FROM b WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM t) - INTERVAL 10 MINUTE""")
 def stream_closed_bars(spark, sf):
-    ticks = stream(spark, sf, "events").select(c("event_type").alias("symbol"), c("ts").cast("timestamp").alias("ts"), c("value").alias("price"))
+    ticks = stream(spark, sf, "events", "ts").select(c("event_type").alias("symbol"), c("ts").cast("timestamp").alias("ts"), c("value").alias("price"))
     return drain(FD.closed_bars(ticks, "1 hour", "10 minutes"), "bars").withColumn("ts", c("ts").cast("timestamp_ntz"))
 
 
@@ -312,13 +325,15 @@ def stream_closed_bars(spark, sf):
 def stream_unique_decisions(spark, sf):
     rows = stream(spark, sf, "lineitem").select(
         F.concat_ws(":", "l_orderkey", "l_linenumber").alias("decision_id"), c("l_shipdate").cast("timestamp").alias("ts"))
-    return drain(FD.once_per_decision(rows, "3650 days"), "decisions").select("decision_id")
+    base = f"{shared_dir(spark).rstrip('/')}/decisions-{uuid.uuid4().hex}"
+    journal_stream(rows, f"{base}/journal", f"{base}/checkpoint", order=("ts",)).awaitTermination()
+    return spark.read.parquet(f"{base}/journal").select("decision_id")
 
 
 @query("stream_daily_pnl", """WITH t AS (SELECT o_orderstatus AS account_id, CAST(o_orderdate AS DATE) AS day, sum(CAST(round(o_totalprice*100) AS BIGINT)) AS cents, max(o_orderdate) AS ts FROM orders GROUP BY 1, 2)
 SELECT account_id, day, round(cents/100.0e0, 2) + 0.0 AS realized_pnl_usd FROM t WHERE day + INTERVAL 1 DAY <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 HOUR""")
 def stream_daily_pnl(spark, sf):
-    events = stream(spark, sf, "orders").select(
+    events = stream(spark, sf, "orders", "o_orderdate").select(
         c("o_orderstatus").alias("account_id"), F.lit("CLOSE").alias("event_type"), c("o_orderdate").cast("timestamp").alias("ts"),
         F.round(c("o_totalprice") * 100).cast("bigint").alias("pnl_usd"))
     out = drain(FD.daily_pnl(events), "pnl")
@@ -327,7 +342,8 @@ def stream_daily_pnl(spark, sf):
 
 @query("stream_barrier_exits", f"WITH {QUOTES}, {POSITIONS}, {EXITS} SELECT decision_id, exit_reason, closed_at, exit_price, realized_pnl_usd FROM exits")
 def stream_barrier_exits(spark, sf):
-    lines = stream(spark, sf, "lineitem")
+    lines = stream(spark, sf, "lineitem", "l_shipdate")
     live_positions, live_quotes = positions(spark, sf, lines), quotes(spark, sf, lines)
-    out = drain(exit_stream(live_positions, live_quotes, tie="seq", salts=1), "exits")
+    out = drain(exit_stream(live_positions, live_quotes, tie="seq", salts=4), "exits")
+    out = settle_late(out, positions(spark, sf), quotes(spark, sf), tie="seq")
     return out.select("decision_id", "exit_reason", wall_clock("closed_at"), "exit_price", "realized_pnl_usd")
