@@ -57,6 +57,14 @@ def own_texts(texts: pa.Array) -> pa.Array:
     return pa.concat_arrays([pa.array([], kind), pc.fill_null(texts.cast(kind), "")])
 
 
+def forget(stored: DataFrame) -> None:
+    """Delete the files of an interim table that no later result reads."""
+    jvm, conf = stored.sparkSession._jvm, stored.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in stored.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def slices(b: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Rows of a batch whose texts are at most ``most`` bytes together, or one longer text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
