@@ -165,7 +165,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1, SLICE)):
             ids, texts = b.column(0).to_pylist(), _encode(b.column(1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row_key(d, t) for d, t in zip(ids, texts)], pa.int64()), pa.array([pack.compress(t) for t in texts], pa.binary())],
@@ -211,7 +211,7 @@ def _pieces(texts: DataFrame, p: Passage) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 0, SLICE // 8)):
             raw = [unpack.decompress(x) if x else b"" for x in b.column(0).to_pylist()]
             rows = []
             for wanted, (_, content, width, _) in zip(b.column(1).to_pylist(), symbols_of(raw, p)):
@@ -283,7 +283,7 @@ def cut(base: DataFrame, spans: DataFrame, p: Passage) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1, SLICE // 8)):
             rows = []
             for rid, raw, spans in zip(*(c.to_pylist() for c in b.columns)):
                 text = unpack.decompress(raw) if raw else b""
