@@ -1,4 +1,4 @@
-"""Decision cycles: plans in, journalled decisions out, for many accounts and cycles at once."""
+"""Decision cycles: plans in, journalled decisions out, for many accounts at once, one cycle each."""
 
 from __future__ import annotations
 
@@ -35,6 +35,8 @@ def refresh_books(
     Returns ``(books, marked)``: one row per cycle with equity, peak, open risk and gate fields, and the
     positions with their exit or mark issue.
     """
+    if not cycles.groupBy("account_id").count().where("count > 1").isEmpty():
+        raise ValueError("an account may have one cycle in a call: a later cycle depends on what the earlier one opened and closed")
     cyc = cycles.select(*KEYS, c("ts").alias("now"))
     marked = (
         positions.join(cyc, "account_id").join(valid_quotes(quotes), "symbol", "left")

@@ -70,7 +70,7 @@ def state_positions(states: DataFrame) -> DataFrame:
 
 
 #: Folders of a journal's table of ids, dealt by hash of the id.
-ID_BUCKETS = 256
+ID_BUCKETS = 64
 
 
 def append_decisions(batch: DataFrame, path: str, order: Sequence[str] = ("ordinal",), ts: str = "ts") -> None:
@@ -93,7 +93,7 @@ def append_decisions(batch: DataFrame, path: str, order: Sequence[str] = ("ordin
     if _exists(spark, path):
         days = fresh.select("dt").distinct()
         held = spark.read.schema(rows.schema).parquet(path).join(days, "dt", "left_semi").select(*rows.columns)
-    new_decisions(rows, held, order).dropDuplicates([key]).write.mode("append").partitionBy("dt").parquet(path)
+    new_decisions(rows, held, order).dropDuplicates([key]).hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
     fresh.select(key, "_bucket").distinct().repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(ids)
 
 

@@ -194,3 +194,14 @@ def test_large_values_keep_their_digits(spark):
     fit = ridge_by_hand((x[:100] - 1e7)[:, None], y[:100])
     got = purged.prediction.to_numpy(float)[105:125]
     assert np.allclose(got, fit((x[105:125] - 1e7)[:, None]), atol=1e-9 * 3e4, rtol=0)
+
+
+def test_own_estimator_and_refused_parameters(panel):
+    from pyspark.ml.regression import LinearRegression
+
+    folds = FO.PurgedFolds(40, 10, 5, 5)
+    own = ModelConfig("mine", {"regParam": 0.0}, estimator=LinearRegression)
+    out = train_oos(panel, NAMES, "fwd_return_5", folds, 110, own).toPandas()
+    assert len(out) == panel.count() and out.fold.nunique() == folds.count(110) and out.prediction.notna().sum() > 0
+    with pytest.raises(ValueError, match="unsupported"):
+        tree_estimator(ModelConfig("hist_gb", {"l2_regularization": 1.0}), "y")

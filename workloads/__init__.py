@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("research", "decisions", "models", "live")
+MODULES = ("research", "decisions", "models", "live", "rules")
 
 
 def load_all() -> None:

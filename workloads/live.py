@@ -198,7 +198,8 @@ def training_leaderboard(spark, sf):
 @query("training_artifacts")
 def training_artifacts(spark, sf):
     meta = DatasetMetadata("hourly-events", "events", "demo")
-    return run_training(bars(spark, sf), meta, (ModelConfig("ridge", {"alpha": 2.0}),)).artifacts.drop("metrics", "model_params")
+    out = run_training(bars(spark, sf), meta, (ModelConfig("ridge", {"alpha": 2.0}),)).artifacts
+    return out.withColumns({"metrics": F.to_json("metrics"), "model_params": F.to_json("model_params")})
 
 
 RECENT = f"""{sql.DAILY.replace("bars AS (", "all_bars AS (")},
@@ -295,6 +296,31 @@ def shadow_decisions(spark, sf):
     return shadow_cycle(p, books, q, specs(spark, sf), limits=LONG_LIMITS)
 
 
+@query("shadow_cycle_positions", f"""WITH {QUOTES}, {POSITIONS},
+m AS (SELECT CAST(split_part(decision_id, ':', 1) AS BIGINT) AS account_id, p.*  EXCLUDE (account_id), q.bid,
+    epoch_us(TIMESTAMP '2001-06-01') - epoch_us(q.ts) > 34560000e6 AS stale FROM positions p LEFT JOIN latest q USING (symbol)),
+n AS (SELECT *, NOT stale AND (bid <= stop_loss OR bid >= take_profit) AS closed, CASE WHEN NOT stale THEN quantity*(bid - entry_price) END AS mark FROM m),
+s AS (SELECT account_id, count(*) FILTER (WHERE stale) AS mark_issue_count, count(*) FILTER (WHERE closed) AS exits,
+    coalesce(sum(risk) FILTER (WHERE NOT closed), 0) AS open_risk_usd, coalesce(sum(mark), 0) AS pnl, coalesce(sum(mark) FILTER (WHERE closed), 0) AS realized FROM n GROUP BY 1)
+SELECT o_orderkey AS account_id, coalesce(mark_issue_count, 0) AS mark_issue_count, coalesce(exits, 0) AS exits, round(coalesce(open_risk_usd, 0), 4) + 0.0 AS open_risk_usd,
+  round(coalesce(realized, 0), 4) + 0.0 AS realized_total_usd, round(o_totalprice + coalesce(pnl, 0), 4) + 0.0 AS shadow_equity_usd,
+  CASE WHEN coalesce(mark_issue_count, 0) > 0 THEN 'PORTFOLIO_MARK_UNAVAILABLE' WHEN o_totalprice + coalesce(pnl, 0) <= 0 THEN 'SHADOW_EQUITY_NONPOSITIVE' ELSE '' END AS reasons
+FROM orders LEFT JOIN s ON account_id = o_orderkey""")
+def shadow_cycle_positions(spark, sf):
+    """Books of cycles whose accounts hold a position per order line."""
+    held = positions(spark, sf).withColumn("account_id", F.split_part("decision_id", F.lit(":"), F.lit(1)).cast("bigint"))
+    equity = table(spark, sf, "orders").select(
+        c("o_orderkey").alias("account_id"), c("o_totalprice").alias("balance"), c("o_totalprice").alias("equity"),
+        c("o_totalprice").alias("free_margin"), F.lit("2001-06-01").cast("timestamp").alias("ts"), F.lit("USD").alias("currency"))
+    states = equity.select("account_id", c("equity").alias("base_equity_usd"), F.lit(0.0).alias("realized_pnl_usd"),
+                           c("equity").alias("equity_peak_usd"), F.lit(0.0).alias("realized_today_usd"))
+    books, marked = refresh_books(cycles(spark, sf), equity, held.drop("ask", "valid"), latest_quotes(spark, sf), states, LONG_LIMITS)
+    exits = marked.groupBy("account_id").agg(F.count("exit_reason").alias("exits"))
+    return books.join(exits, "account_id", "left").select(
+        "account_id", "mark_issue_count", F.coalesce("exits", F.lit(0)).alias("exits"),
+        *rs(("open_risk_usd", "realized_total_usd", "shadow_equity_usd"), 4), F.array_join("cycle_reasons", ",").alias("reasons"))
+
+
 # --- streams ---------------------------------------------------------------------------------------
 
 
@@ -324,7 +350,7 @@ def stream_closed_bars(spark, sf):
 @query("stream_unique_decisions", "SELECT DISTINCT concat_ws(':', l_orderkey, l_linenumber) AS decision_id FROM lineitem")
 def stream_unique_decisions(spark, sf):
     rows = stream(spark, sf, "lineitem").select(
-        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("decision_id"), c("l_shipdate").cast("timestamp").alias("ts"))
+        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("decision_id"), F.date_trunc("month", c("l_shipdate").cast("timestamp")).alias("ts"))
     base = f"{shared_dir(spark).rstrip('/')}/decisions-{uuid.uuid4().hex}"
     journal_stream(rows, f"{base}/journal", f"{base}/checkpoint", order=("ts",)).awaitTermination()
     return spark.read.parquet(f"{base}/journal").select("decision_id")

@@ -127,13 +127,6 @@ def walk_forward_single_feature(spark, sf):
     return out.select("symbol", wall_clock(), r("prediction", 9))
 
 
-@query("ridge_oos_predictions")
-def ridge_oos_predictions(spark, sf):
-    df = interim(labelled_panel(spark, sf))
-    return LI.purged_oos(df, FE.PANEL_COLUMNS, "fwd_return_5", PURGED, n_dates(df)).select(
-        "symbol", wall_clock(), "fold", r("prediction", 9))
-
-
 @query("elastic_net_oos_predictions")
 def elastic_net_oos_predictions(spark, sf):
     df = interim(labelled_panel(spark, sf))
