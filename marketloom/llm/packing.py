@@ -29,9 +29,9 @@ END_ID = 1
 #: Open windows a task holds (their ids are kept in memory: 8 kB a window); the fullest half is closed beyond it.
 MAX_OPEN = 8192
 #: Bytes of text encoded at once, or one longer text.
-SLICE = 32 << 20
+SLICE = 8 << 20
 #: Words whose ids a Python worker remembers, in each of two generations.
-MAX_WORDS = 250_000
+MAX_WORDS = 150_000
 MARKS = ".,;:!?%*#&$"
 SCHEMA = ("doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
