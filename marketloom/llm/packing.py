@@ -31,7 +31,7 @@ MAX_OPEN = 8192
 #: Bytes of text encoded at once, or one longer text.
 SLICE = 8 << 20
 #: Words whose ids a Python worker remembers, in each of two generations.
-MAX_WORDS = 150_000
+MAX_WORDS = 250_000
 MARKS = ".,;:!?%*#&$"
 SCHEMA = ("doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
