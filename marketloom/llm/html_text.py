@@ -35,6 +35,7 @@ ASIDE_WORDS = frozenset(
     "contentinfo alert".split())
 HEADER_WORDS = frozenset(("header", "head", "site-header"))
 COMMENT_WORDS = frozenset("comment comments reply replies discussion disqus feedback respond".split())
+TEASER_WORDS = frozenset("ad ads advert advertisement promo related sponsored teaser".split())
 LEAF = frozenset("p li dt dd tr td th h1 h2 h3 h4 h5 h6".split())
 MAIN_TAGS = frozenset(("article", "main"))
 
@@ -61,8 +62,10 @@ def _kind(tag: str, rest: str, in_main: bool) -> str:
                     return "aside"
             else:
                 words.update(_WORDS.findall(value))
-    if tag in MAIN_TAGS or "main" in words and tag in ("div", "section"):
-        return "aside" if words & COMMENT_WORDS else "main"
+    if tag in MAIN_TAGS:
+        return "aside" if words & (COMMENT_WORDS | TEASER_WORDS) else "main"
+    if tag in ("div", "section") and "main" in words and not words & ASIDE_WORDS:
+        return "main"
     if tag in ("html", "body"):
         return "plain"
     if tag in ASIDE_TAGS or words & ASIDE_WORDS or not in_main and (tag == "header" or words & HEADER_WORDS):

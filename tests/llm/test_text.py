@@ -126,6 +126,7 @@ def test_html_text(spark):
     want = "A <b> title One boldword here. Next line Café — end."
     assert html_text.main_text(PAGE % f"<article>{article}</article>") == want
     assert html_text.main_text(PAGE % f"<div id='main'>{article}</div>") == want
+    assert html_text.main_text("<div id='main-menu'><p>Home</p></div><article>Text</article><article class='related'>More</article>") == "Text"
     long = "<p>" + "Many words of a long paragraph follow each other here. " * 3 + "</p>"
     assert html_text.main_text(PAGE % f"<div>{long}{long}<p>Short.</p></div>").endswith("Short.")
     assert "Buy" not in html_text.main_text("<p class=ad>Buy this now<p>" + "real text " * 20)
