@@ -4,7 +4,9 @@ Vectors are dealt to overlapping cluster shards of bounded size. Each shard buil
 random shard members are robust-pruned into a short adjacency list. Lists of a vector from its shards are united.
 Every vector then searches each shard it belongs to, greedily from the shard's medoid; once near, the search widens as long as
 what it meets is within range. All hits are verified by cosine in double precision. A bounded set of queries is
-compared with every vector to audit recall, and shards overlap more where it falls short.
+compared with every vector to audit recall. Where it falls short, vectors near their cluster's centre (those of groups larger
+than shards can cover) are compared with each other exactly, block by block; then shards overlap more; at last all vectors are
+compared exactly.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ class Settings:
     slack: float = 0.05  # the range is searched this far below the threshold
     audit: int = 1024  # queries of the recall audit
     recall: float = 0.97
+    core: float = 0.8  # cosine with the centre from which a vector counts as one of a crowd
+    block: int = 2048  # vectors of a crowd compared at once
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -142,8 +146,9 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], s: Settings, chunk: int
         yield a[a != b], b[a != b]
 
 
-def _shards(nodes: DataFrame, s: Settings) -> DataFrame:
-    """(cell, node, copies, v, cells): one row per vector and shard; ``cells`` are all shards of the vector."""
+def _shards(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(cell, node, copies, v, core, cells): one row per vector and shard; ``cells`` are all shards of the vector.
+    And (node, copies, v, home, core): one row per vector, with its nearest cluster and whether it is near the centre."""
     spark = nodes.sparkSession
     n = nodes.count()
     rows = nodes.orderBy(F.xxhash64("node"), "node").limit(s.sample).select("v").collect()
@@ -158,10 +163,13 @@ def _shards(nodes: DataFrame, s: Settings) -> DataFrame:
             for d, part in f.groupby(f.v.map(len)):
                 x = unit(np.stack(part.v.to_list()))
                 own = sent.value.get(d)
-                own = np.zeros((len(x), 1), int) if own is None else nearest_cells(x, own, s.overlap)
-                yield part.assign(cells=[[f"{d}:{c}" for c in row] for row in own])
+                near = np.zeros((len(x), 1), int) if own is None else nearest_cells(x, own, s.overlap)
+                core = np.zeros(len(x), bool) if own is None else np.einsum("ij,ij->i", x, own[near[:, 0]]) >= s.core
+                yield part.assign(core=core, home=[f"{d}:{c}" for c in near[:, 0]], cells=[[f"{d}:{c}" for c in row] for row in near])
 
-    dealt = interim(nodes.mapInPandas(deal, "node long, copies long, v array<double>, cells array<string>"))
+    dealt = interim(nodes.mapInPandas(deal, "node long, copies long, v array<double>, core boolean, home string, cells array<string>"))
+    homes = dealt.select("node", "copies", "v", "home", "core")
+    dealt = dealt.drop("home")
     while True:  # shards beyond the limit are split by clusters of their own
         members = dealt.select(F.explode("cells").alias("cell"), "node")
         large = interim(members.groupBy("cell").count().where(F.col("count") > s.most))
@@ -187,13 +195,26 @@ def _shards(nodes: DataFrame, s: Settings) -> DataFrame:
                     else:
                         x = unit(v[None, :])
                         cells.append([f"{cell}:{c}" for c in nearest_cells(x, np.frombuffer(raw).reshape(-1, x.shape[1]), s.overlap)[0]])
-                yield f[["node", "copies", "v"]].assign(cells=cells)
+                yield f[["node", "copies", "v", "core"]].assign(cells=cells)
 
-        again = dealt.select("node", "copies", "v", F.explode("cells").alias("cell")).join(splits, "cell", "left")
-        parts = again.mapInPandas(split, "node long, copies long, v array<double>, cells array<string>")
+        again = dealt.select("node", "copies", "v", "core", F.explode("cells").alias("cell")).join(splits, "cell", "left")
+        parts = again.mapInPandas(split, "node long, copies long, v array<double>, core boolean, cells array<string>")
         dealt = interim(parts.groupBy("node").agg(
-            F.first("copies").alias("copies"), F.first("v").alias("v"), F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells")))
-    return dealt.select(F.explode("cells").alias("cell"), "node", "copies", "v", F.array_sort("cells").alias("cells"))
+            F.first("copies").alias("copies"), F.first("v").alias("v"), F.first("core").alias("core"), F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells")))
+    return dealt.select(F.explode("cells").alias("cell"), "node", "copies", "v", "core", F.array_sort("cells").alias("cells")), homes
+
+
+def _union(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the parts of each a and b; a part is named by its first member."""
+    while True:
+        p, q = part[a], part[b]
+        apart = p != q
+        if not apart.any():
+            return
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(part, np.maximum(p, q), np.minimum(p, q))
+        while (part != part[part]).any():
+            part[:] = part[part]
 
 
 def _graph(shards: DataFrame, s: Settings) -> DataFrame:
@@ -211,12 +232,12 @@ def _graph(shards: DataFrame, s: Settings) -> DataFrame:
 
 
 def _search(shards: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
-    """(node, found, root) per vector and shard: links not counted in an earlier shard, weighted by copies, and the
-    smallest node the shard's links connect it with."""
+    """(node, found, crowd, root) per vector and shard: links not counted in an earlier shard, weighted by copies, those of
+    them between two vectors near their centres, and the smallest node the shard's links connect it with."""
 
     def search(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("node")
-        ids, copies = f.node.to_numpy(), f.copies.to_numpy()
+        ids, copies, core = f.node.to_numpy(), f.copies.to_numpy(), f.core.to_numpy(bool)
         x = unit(np.stack(f.v.to_list()))
         place = pd.Series(np.arange(len(ids)), index=ids)
         lists = [place.reindex(own).dropna().to_numpy(np.int64) for own in f.near]
@@ -226,22 +247,96 @@ def _search(shards: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
         hit = np.zeros((len(ids), len(ids)), bool)
         for a, b in range_search(x, lists, s):
             hit[a, b] = hit[b, a] = True
-        found, part = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        found, crowd, part = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.arange(len(ids))
         for at in range(0, len(ids), 256):
             a, b = np.nonzero(hit[at: at + 256])
             a = a + at
-            np.add.at(found, a, np.where(first[kind[a], kind[b]], copies[b], 0))
-            while True:
-                p, q = part[a], part[b]
-                apart = p != q
-                if not apart.any():
-                    break
-                np.minimum.at(part, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
-                while (part != part[part]).any():
-                    part = part[part]
-        return pd.DataFrame({"node": ids, "found": found, "root": ids[part]})
+            many = np.where(first[kind[a], kind[b]], copies[b], 0)
+            np.add.at(found, a, many)
+            np.add.at(crowd, a, many * (core[a] & core[b]))
+            _union(part, a, b)
+        return pd.DataFrame({"node": ids, "found": found, "crowd": crowd, "root": ids[part]})
+
+    return shards.join(graph, "node").groupBy("cell").applyInPandas(search, "node long, found long, crowd long, root long")
 
-    return shards.join(graph, "node").groupBy("cell").applyInPandas(search, "node long, found long, root long")
+
+def _exact(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(node, exact): all links among ``nodes``, weighted by copies; and (a, b): edges that connect what these links connect.
+
+    Vectors of a cluster are packed into blocks, one row each. Pairs of blocks that can hold a link, by the angle between
+    their means and their radii, are compared as tasks of their own; what they return is added up per block.
+    """
+    reach = float(np.arccos(min(1.0, s.cosine)))
+    counted = nodes.join(nodes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(s.block)).alias("blocks")), "home")
+    named = counted.withColumn("block", F.concat_ws("/", "home", F.pmod(F.xxhash64("node", F.lit("block")), "blocks")))
+
+    def pack(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("node")
+        x = unit(np.stack(f.v.to_list()))
+        mean = x.mean(0)
+        mean = unit(mean[None, :])[0] if np.abs(mean).max() > 1e-9 else x[0]
+        radius = float(np.arccos(np.clip(x @ mean, -1, 1)).max())
+        return pd.DataFrame({"block": [key[0]], "mean": [mean], "radius": [radius], "ids": [f.node.to_numpy("<i8").tobytes()],
+                             "copies": [f.copies.to_numpy("<i8").tobytes()], "x": [x.astype("<f8").tobytes()]})
+
+    blocks = interim(named.groupBy("block").applyInPandas(
+        pack, "block string, mean array<double>, radius double, ids binary, copies binary, x binary"))
+    stats = blocks.select("block", "mean", "radius").orderBy("block").collect()
+    sent = nodes.sparkSession.sparkContext.broadcast([(r["block"], np.array(r["mean"]), r["radius"]) for r in stats])
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The blocks a block is compared with: itself and later ones."""
+        for f in frames:
+            for block, mean, radius in zip(f.block, f["mean"], f.radius):
+                others = [(n, r, m) for n, m, r in sent.value if n >= block and len(m) == len(mean)]
+                angle = np.arccos(np.clip(np.stack([m for _, _, m in others]) @ mean, -1, 1))
+                near = angle <= reach + radius + np.array([r for _, r, _ in others]) + 1e-6
+                for (n, _, _), go in zip(others, near):
+                    if go:
+                        pair = f"{block} {n}"
+                        yield pd.DataFrame({"pair": [pair] * (1 + (n != block)), "block": [block, n][: 1 + (n != block)]})
+
+    pairs = interim(blocks.select("block", "mean", "radius").mapInPandas(meet, "pair string, block string"))
+
+    def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("block")
+        ids, copies = ([np.frombuffer(b, "<i8") for b in f[c]] for c in ("ids", "copies"))
+        x = [np.frombuffer(b, "<f8").reshape(len(i), -1) for b, i in zip(f.x, ids)]
+        n, alone = len(ids[0]), len(ids) == 1
+        every = np.concatenate(ids)
+        found, part = np.zeros(len(every), np.int64), np.arange(len(every))
+        for at in range(0, n, 256):
+            near = x[0][at: at + 256] @ x[-1].T >= s.cosine
+            a, b = np.nonzero(near)
+            a, b = a + at, b + (0 if alone else n)
+            if alone:
+                a, b = a[a != b], b[a != b]
+            found += np.bincount(a, copies[-1][b - (0 if alone else n)], len(every)).astype(np.int64)
+            if not alone:
+                found += np.bincount(b, copies[0][a], len(every)).astype(np.int64)
+            _union(part, a, b)
+        cut = [slice(0, n), slice(n, None)][: len(ids)]
+        return pd.DataFrame({"block": f.block, "ids": f.ids, "found": [found[c].tobytes() for c in cut],
+                             "roots": [every[part][c].astype("<i8").tobytes() for c in cut]})
+
+    got = pairs.join(blocks.select("block", "ids", "copies", "x"), "block").groupBy("pair").applyInPandas(
+        compare, "block string, ids binary, found binary, roots binary")
+
+    def total(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        ids = np.frombuffer(f.ids.iloc[0], "<i8")
+        found = sum(np.frombuffer(b, "<i8") for b in f.found)
+        edges = [np.stack((ids, np.frombuffer(b, "<i8")), axis=1) for b in f.roots]
+        # vectors of this block that share a root are joined here, so that a root is named once per part
+        roots = np.unique(np.concatenate(edges)[:, 1])
+        part = np.arange(len(ids) + len(roots))
+        for e in edges:
+            _union(part, np.arange(len(ids)), len(ids) + np.searchsorted(roots, e[:, 1]))
+        every = np.concatenate((ids, roots))
+        none = np.full(len(roots), -1)
+        return pd.DataFrame({"node": every, "exact": np.concatenate((found, none)), "root": every[part]})
+
+    sums = interim(got.groupBy("block").applyInPandas(total, "node long, exact long, root long"))
+    return sums.where("exact >= 0").select("node", "exact"), sums.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _audit(nodes: DataFrame, found: DataFrame, s: Settings) -> float:
@@ -287,18 +382,30 @@ def linked_vectors(vectors: DataFrame, s: Settings = Settings(), id_col: str = "
         named = nodes.select("node", "copies", "v")
     else:
         named = interim(nodes.select(F.xxhash64("v").alias("node"), "copies", "v"))
+    exact = None
     for overlap in range(s.overlap, s.most_overlap + 1):
         own = Settings(**{**s.__dict__, "overlap": overlap})
         if named.isEmpty():
-            found = roots = None
+            found = None
             break
-        shards = interim(_shards(named, own))
+        shards, homes = _shards(named, own)
+        shards = interim(shards)
         hits = interim(_search(shards, interim(_graph(shards, own)), own))
-        found = interim(hits.groupBy("node").agg(F.sum("found").alias("found")))
-        if _audit(named, found, own) >= s.recall or overlap == s.most_overlap:
-            edges = hits.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = components(edges)
+        edges = hits.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = interim(hits.groupBy("node").agg(F.sum("found").alias("found"), F.sum("crowd").alias("crowd")))
+        if _audit(named, found, own) >= s.recall:
+            break
+        if exact is None:  # clusters and centres don't depend on the overlap
+            exact = _exact(homes.where("core"), own)
+        counted = found.join(exact[0], "node", "left")
+        found = interim(counted.select("node", (F.col("found") - F.when(F.col("exact").isNull(), 0).otherwise(F.col("crowd") - F.col("exact"))).alias("found")))
+        edges = edges.unionByName(exact[1])
+        if _audit(named, found, own) >= s.recall:
             break
+    else:  # no overlap suffices
+        counts, edges = _exact(homes, s)
+        found = counts.withColumnRenamed("exact", "found")
+    roots = None if found is None else components(edges)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     classes = nodes.join(named.withColumnRenamed("node", "name").drop("copies"), "v").join(found.withColumnRenamed("node", "name"), "name")

@@ -183,6 +183,37 @@ def test_vectors(spark):
     assert [tuple(r) for r in vector_graph.linked_vectors(df.where("vec_id = 2001")).collect()] == [(2001, 0, 2001, True)]
 
 
+def brute_links(rows):
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    ids = [i for i, _ in rows]
+    roots = list(range(len(rows)))
+    for a, b in zip(*np.nonzero(near)):
+        while roots[a] != roots[roots[a]] or roots[b] != roots[roots[b]]:
+            roots[a], roots[b] = roots[roots[a]], roots[roots[b]]
+        top = min(roots[a], roots[b])
+        roots[roots[a]] = roots[roots[b]] = roots[a] = roots[b] = top
+    for k in range(len(rows)):
+        while roots[k] != roots[roots[k]]:
+            roots[k] = roots[roots[k]]
+    return sorted((i, int(n) - 1, ids[r]) for i, n, r in zip(ids, near.sum(1), roots))
+
+
+def test_vectors_of_a_crowd(spark):
+    """A group of near copies, none equal, that its shards cannot cover, and vectors no group holds."""
+    rng = np.random.default_rng(8)
+    near = rng.normal(size=16)[None, :] + rng.normal(size=(700, 16)) * 0.12
+    rest = rng.normal(size=(60, 16)).repeat(2, axis=0) + rng.normal(size=(120, 16)) * 0.05
+    rows = [(i, [float(e) for e in v]) for i, v in enumerate(np.concatenate((near, rest)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_links(rows)
+    # with a core no vector reaches, every vector is compared
+    for more in ({}, {"core": 2.0}):
+        s = vector_graph.Settings(shard=32, most=400, sample=400, most_overlap=2, block=256, **more)
+        assert sorted(tuple(r)[:3] for r in vector_graph.linked_vectors(df, s).collect()) == want
+
+
 def test_language_model(spark):
     rows = documents()
     got = sorted(pitman_yor.score(frame(spark)).collect(), key=str)
