@@ -41,10 +41,15 @@ class Settings:
     slack: float = 0.05  # the range is searched this far below the threshold
     audit: int = 1024  # queries of the recall audit
     recall: float = 0.97
+    few: int = 64  # links; vectors with more are audited apart
     core: float = 0.8  # cosine with the centre from which a vector counts as one of a crowd
     block: int = 2048  # vectors of a crowd compared at once
 
 
+#: What a search counts per vector.
+COUNTS = ("found", "distinct", "crowd", "crowd_distinct")
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -232,8 +237,9 @@ def _graph(shards: DataFrame, s: Settings) -> DataFrame:
 
 
 def _search(shards: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
-    """(node, found, crowd, root) per vector and shard: links not counted in an earlier shard, weighted by copies, those of
-    them between two vectors near their centres, and the smallest node the shard's links connect it with."""
+    """(node, found, distinct, crowd, crowd_distinct, root) per vector and shard: links not counted in an earlier shard, weighted
+    by copies and not, those of them between two vectors near their centres, and the smallest node the shard's links
+    connect it with."""
 
     def search(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("node")
@@ -247,21 +253,21 @@ def _search(shards: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
         hit = np.zeros((len(ids), len(ids)), bool)
         for a, b in range_search(x, lists, s):
             hit[a, b] = hit[b, a] = True
-        found, crowd, part = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.arange(len(ids))
+        sums, part = {c: np.zeros(len(ids), np.int64) for c in COUNTS}, np.arange(len(ids))
         for at in range(0, len(ids), 256):
             a, b = np.nonzero(hit[at: at + 256])
             a = a + at
-            many = np.where(first[kind[a], kind[b]], copies[b], 0)
-            np.add.at(found, a, many)
-            np.add.at(crowd, a, many * (core[a] & core[b]))
+            new = first[kind[a], kind[b]]
+            for c, many in zip(COUNTS, (new * copies[b], new, new * copies[b] * (core[a] & core[b]), new & core[a] & core[b])):
+                sums[c] += np.bincount(a, many, len(ids)).astype(np.int64)
             _union(part, a, b)
-        return pd.DataFrame({"node": ids, "found": found, "crowd": crowd, "root": ids[part]})
+        return pd.DataFrame({"node": ids, **sums, "root": ids[part]})
 
-    return shards.join(graph, "node").groupBy("cell").applyInPandas(search, "node long, found long, crowd long, root long")
+    return shards.join(graph, "node").groupBy("cell").applyInPandas(search, "node long, found long, distinct long, crowd long, crowd_distinct long, root long")
 
 
 def _exact(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(node, exact): all links among ``nodes``, weighted by copies; and (a, b): edges that connect what these links connect.
+    """(node, exact, exact_distinct): all links among ``nodes``, weighted by copies and not; and (a, b): edges that connect what these links connect.
 
     Vectors of a cluster are packed into blocks, one row each. Pairs of blocks that can hold a link, by the angle between
     their means and their radii, are compared as tasks of their own; what they return is added up per block.
@@ -304,7 +310,7 @@ def _exact(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
         x = [np.frombuffer(b, "<f8").reshape(len(i), -1) for b, i in zip(f.x, ids)]
         n, alone = len(ids[0]), len(ids) == 1
         every = np.concatenate(ids)
-        found, part = np.zeros(len(every), np.int64), np.arange(len(every))
+        found, distinct, part = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64), np.arange(len(every))
         for at in range(0, n, 256):
             near = x[0][at: at + 256] @ x[-1].T >= s.cosine
             a, b = np.nonzero(near)
@@ -312,19 +318,21 @@ def _exact(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
             if alone:
                 a, b = a[a != b], b[a != b]
             found += np.bincount(a, copies[-1][b - (0 if alone else n)], len(every)).astype(np.int64)
+            distinct += np.bincount(a, minlength=len(every))
             if not alone:
                 found += np.bincount(b, copies[0][a], len(every)).astype(np.int64)
+                distinct += np.bincount(b, minlength=len(every))
             _union(part, a, b)
         cut = [slice(0, n), slice(n, None)][: len(ids)]
-        return pd.DataFrame({"block": f.block, "ids": f.ids, "found": [found[c].tobytes() for c in cut],
+        return pd.DataFrame({"block": f.block, "ids": f.ids, "found": [found[c].tobytes() for c in cut], "distinct": [distinct[c].tobytes() for c in cut],
                              "roots": [every[part][c].astype("<i8").tobytes() for c in cut]})
 
     got = pairs.join(blocks.select("block", "ids", "copies", "x"), "block").groupBy("pair").applyInPandas(
-        compare, "block string, ids binary, found binary, roots binary")
+        compare, "block string, ids binary, found binary, distinct binary, roots binary")
 
     def total(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         ids = np.frombuffer(f.ids.iloc[0], "<i8")
-        found = sum(np.frombuffer(b, "<i8") for b in f.found)
+        found, distinct = (sum(np.frombuffer(b, "<i8") for b in f[c]) for c in ("found", "distinct"))
         edges = [np.stack((ids, np.frombuffer(b, "<i8")), axis=1) for b in f.roots]
         # vectors of this block that share a root are joined here, so that a root is named once per part
         roots = np.unique(np.concatenate(edges)[:, 1])
@@ -333,14 +341,17 @@ def _exact(nodes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
             _union(part, np.arange(len(ids)), len(ids) + np.searchsorted(roots, e[:, 1]))
         every = np.concatenate((ids, roots))
         none = np.full(len(roots), -1)
-        return pd.DataFrame({"node": every, "exact": np.concatenate((found, none)), "root": every[part]})
+        return pd.DataFrame({"node": every, "exact": np.concatenate((found, none)), "exact_distinct": np.concatenate((distinct, none)), "root": every[part]})
 
-    sums = interim(got.groupBy("block").applyInPandas(total, "node long, exact long, root long"))
-    return sums.where("exact >= 0").select("node", "exact"), sums.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    sums = interim(got.groupBy("block").applyInPandas(total, "node long, exact long, exact_distinct long, root long"))
+    return sums.where("exact >= 0").select("node", "exact", "exact_distinct"), sums.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _audit(nodes: DataFrame, found: DataFrame, s: Settings) -> float:
-    """Share of the links of a bounded set of vectors that the search found, by comparing them with every vector."""
+    """Share of its distinct links that the search found of a vector, by comparing a bounded set with every vector.
+
+    The mean over vectors with few links or over those with many, whichever is less: each vector counts once.
+    """
     spark = nodes.sparkSession
     asked = nodes.orderBy(F.xxhash64("node", F.lit("audit")), "node").limit(s.audit).collect()
     sent = spark.sparkContext.broadcast([(r["node"], np.array(r["v"])) for r in asked])
@@ -356,13 +367,14 @@ def _audit(nodes: DataFrame, found: DataFrame, s: Settings) -> float:
                 if d in queries:
                     names, q = queries[d]
                     near = q @ unit(np.stack(part.v.to_list())).T >= s.cosine
-                    total[d] += (near & (names[:, None] != part.node.to_numpy()[None, :])) @ part.copies.to_numpy()
+                    total[d] += (near & (names[:, None] != part.node.to_numpy()[None, :])).sum(1)
         for d, (names, _) in queries.items():
             yield pd.DataFrame({"asked": names, "links": total[d]})
 
     there = nodes.mapInPandas(count, "asked long, links long").groupBy("asked").agg(F.sum("links").alias("links"))
-    row = there.join(found, F.col("asked") == F.col("node"), "left").agg(F.sum("links"), F.sum("found")).first()
-    return 1.0 if not row[0] else (row[1] or 0) / row[0]
+    share = F.coalesce(F.col("distinct"), F.lit(0)) / F.col("links")
+    both = there.where("links > 0").join(found, F.col("asked") == F.col("node"), "left").groupBy(F.col("links") > s.few).agg(F.avg(share))
+    return min((r[1] for r in both.collect()), default=1.0)
 
 
 def linked_vectors(vectors: DataFrame, s: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -392,22 +404,24 @@ def linked_vectors(vectors: DataFrame, s: Settings = Settings(), id_col: str = "
         shards = interim(shards)
         hits = interim(_search(shards, interim(_graph(shards, own)), own))
         edges = hits.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        found = interim(hits.groupBy("node").agg(F.sum("found").alias("found"), F.sum("crowd").alias("crowd")))
+        found = interim(hits.groupBy("node").agg(*[F.sum(c).alias(c) for c in COUNTS]))
         if _audit(named, found, own) >= s.recall:
             break
         if exact is None:  # clusters and centres don't depend on the overlap
             exact = _exact(homes.where("core"), own)
         counted = found.join(exact[0], "node", "left")
-        found = interim(counted.select("node", (F.col("found") - F.when(F.col("exact").isNull(), 0).otherwise(F.col("crowd") - F.col("exact"))).alias("found")))
+        found = interim(counted.select("node", *[
+            (F.col(c) + F.coalesce(F.col(e) - F.col(w), F.lit(0))).alias(c) for c, w, e in zip(COUNTS, COUNTS[2:], ("exact", "exact_distinct"))]))
         edges = edges.unionByName(exact[1])
         if _audit(named, found, own) >= s.recall:
             break
     else:  # no overlap suffices
         counts, edges = _exact(homes, s)
-        found = counts.withColumnRenamed("exact", "found")
+        found = counts.select("node", F.col("exact").alias("found"))
     roots = None if found is None else components(edges)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = found.select("node", "found")
     classes = nodes.join(named.withColumnRenamed("node", "name").drop("copies"), "v").join(found.withColumnRenamed("node", "name"), "name")
     classes = classes.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     least = classes.groupBy("root").agg(F.min("node").alias("component_id"))

@@ -214,6 +214,21 @@ def test_vectors_of_a_crowd(spark):
         assert sorted(tuple(r)[:3] for r in vector_graph.linked_vectors(df, s).collect()) == want
 
 
+def test_audit_of_few_links(spark):
+    """A hot group found whole doesn't hide that no link of the pairs was found."""
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=16)[None, :] + rng.normal(size=(200, 16)) * 0.05
+    pairs = rng.normal(size=(20, 16)).repeat(2, axis=0) + rng.normal(size=(40, 16)) * 0.01
+    vectors = np.concatenate((near, pairs))
+    nodes = spark.createDataFrame([(i, 1, [float(e) for e in v]) for i, v in enumerate(vectors)], "node long, copies long, v array<double>")
+    n = [199] * 200 + [0] * 40
+    found = spark.createDataFrame([(i, k, k) for i, k in enumerate(n)], "node long, found long, distinct long")
+    s = vector_graph.Settings()
+    assert vector_graph._audit(nodes, found, s) < s.recall
+    whole = spark.createDataFrame([(i, k or 1, k or 1) for i, k in enumerate(n)], "node long, found long, distinct long")
+    assert vector_graph._audit(nodes, whole, s) == 1
+
+
 def test_language_model(spark):
     rows = documents()
     got = sorted(pitman_yor.score(frame(spark)).collect(), key=str)
