@@ -38,6 +38,10 @@ COMMENT_WORDS = frozenset("comment comments reply replies discussion disqus feed
 TEASER_WORDS = frozenset("ad ads advert advertisement promo related sponsored teaser".split())
 LEAF = frozenset("p li dt dd tr td th h1 h2 h3 h4 h5 h6".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: What still names furniture on a paragraph, heading or inline element of the article.
+SPOT_WORDS = TEASER_WORDS | frozenset("advertising newsletter promoted promotion share sharing social sponsor subscribe".split())
+#: Sections of an article get ids from their titles; these are not titles.
+SECTION_IDS = frozenset("comment comments disqus respond".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -50,8 +54,10 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 def _kind(tag: str, rest: str, in_main: bool) -> str:
-    """aside, main or plain."""
+    """aside, main or plain; named or part for what is aside by its name only, or by a part of it."""
     words: set[str] = set()
+    names: set[str] = set()
+    small = tag in LEAF or tag in INLINE
     if rest:
         if _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", rest)):
             return "aside"
@@ -60,21 +66,44 @@ def _kind(tag: str, rest: str, in_main: bool) -> str:
             if name.lower() == "style":
                 if "display:none" in value.replace(" ", ""):
                     return "aside"
-            else:
+            elif name.lower() != "id" or not small and not (in_main and tag == "section" and value not in SECTION_IDS):
                 words.update(_WORDS.findall(value))
+                names.update(value.split())
     if tag in MAIN_TAGS:
         return "aside" if words & (COMMENT_WORDS | TEASER_WORDS) else "main"
     if tag in ("div", "section") and "main" in words and not words & ASIDE_WORDS:
         return "main"
     if tag in ("html", "body"):
         return "plain"
-    if tag in ASIDE_TAGS or words & ASIDE_WORDS or not in_main and (tag == "header" or words & HEADER_WORDS):
+    if tag in ASIDE_TAGS and tag not in ("form", "fieldset"):
         return "aside"
+    if words & (SPOT_WORDS if small and in_main else ASIDE_WORDS):
+        return "named" if names & ASIDE_WORDS else "part"
+    if tag in ("form", "fieldset") or not in_main and tag not in INLINE and (tag == "header" or words & HEADER_WORDS):
+        return "part"
     return "plain"
 
 
 def lines_of(page: str) -> tuple[list[str], list[int], bool]:
-    """Lines of text, their weights, and whether the page marks its main part."""
+    """Lines of text, their weights, and whether the page marks its main part.
+
+    An element that is furniture by its name only, yet holds most of the page's text, wraps the page: if a part of the
+    name says so, or if it holds an article. Where nothing has weight names don't count at all.
+    """
+    lines, weights, marked, masses = _read(page, frozenset())
+    total = masses.pop(-1)[0]
+    wraps = frozenset(at for at, (mass, part, holds) in masses.items() if 2 * mass > total and (part or holds))
+    if wraps:
+        lines, weights, marked, masses = _read(page, wraps)
+    if lines and masses and not any(weights):
+        lines, weights, marked, _ = _read(page, None)
+    return lines, weights, marked
+
+
+def _read(page: str, wraps: frozenset[int] | None) -> tuple[list[str], list[int], bool, dict[int, list]]:
+    """As ``lines_of``, with the elements that begin at ``wraps`` (None: all) not furniture by name. And by the place of
+    such an element, and -1 for the page: characters outside links, whether a part of the name decided, whether it
+    holds an article."""
     lines: list[str] = []
     weights: list[int] = []
     piece: list[str] = []
@@ -82,6 +111,8 @@ def lines_of(page: str) -> tuple[list[str], list[int], bool]:
     stack: list[tuple[str, str]] = []
     aside = main = link = 0
     marked = False
+    masses: dict[int, list] = {-1: [0, False, False]}
+    named: list[int] = []  # open elements that are furniture by name
 
     def close() -> None:
         nonlocal piece, linked
@@ -90,6 +121,9 @@ def lines_of(page: str) -> tuple[list[str], list[int], bool]:
             if text:
                 length = len(text)
                 lines.append(text)
+                if aside == len(named) and 2 * linked <= length:
+                    for e in (-1, *named):
+                        masses[e][0] += length
                 if aside or marked and not main:
                     weights.append(0)
                 else:
@@ -115,7 +149,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], bool]:
             if m["end"]:
                 if not any(name == tag for name, _ in stack[-8:]):
                     continue
-            elif tag in VOID or not m["rest"] or _kind(tag, m["rest"], True) != "aside":
+            elif tag in VOID or not m["rest"] or _kind(tag, m["rest"], main > 0) not in ("aside", "named", "part"):
                 continue
         close()
         if tag in VOID:
@@ -126,25 +160,41 @@ def lines_of(page: str) -> tuple[list[str], list[int], bool]:
                     for _, kind in stack[i:]:
                         aside -= kind == "aside"
                         main -= kind == "main"
+                        if kind == "named":
+                            aside -= 1
+                            named.pop()
                     del stack[i:]
                     break
             continue
         if stack and tag not in INLINE and (stack[-1][0] == "p" or tag in LEAF and stack[-1][0] == tag):
-            aside -= stack.pop()[1] == "aside"  # a new block ends an open paragraph, a new item the last one
+            kind = stack.pop()[1]  # a new block ends an open paragraph, a new item the last one
+            aside -= kind in ("aside", "named")
+            if kind == "named":
+                named.pop()
         if not m["rest"] and tag in LEAF:
             continue
         kind = _kind(tag, m["rest"], main > 0)
-        if tag in LEAF and kind != "aside":
+        if kind in ("named", "part"):
+            if wraps is None or m.start() in wraps:
+                kind = "plain"
+            else:
+                masses[m.start()] = [0, kind == "part", False]
+                named.append(m.start())
+                kind = "named"
+        if tag in LEAF and kind not in ("aside", "named"):
             continue
+        if kind == "main":
+            for e in named:
+                masses[e][2] = True
         if kind == "main" and not aside and not marked:
             marked = True
             weights = [0] * len(weights)
         stack.append((tag, kind))
-        aside += kind == "aside"
+        aside += kind in ("aside", "named")
         main += kind == "main"
     piece.append(page[at:])
     close()
-    return lines, weights, marked
+    return lines, weights, marked, masses
 
 
 def main_text(page: str | None) -> str:

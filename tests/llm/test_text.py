@@ -183,6 +183,21 @@ def test_vectors(spark):
     assert [tuple(r) for r in vector_graph.linked_vectors(df.where("vec_id = 2001")).collect()] == [(2001, 0, 2001, True)]
 
 
+def test_names_of_wrappers_and_titles():
+    text = "<p>" + "real text " * 30 + "</p>"
+    want = html_text.main_text(f"<article>{text}</article>")
+    assert want
+    for wrapper in ("div class='content has-sidebar'", "div class='no-comments'", "div class='search-results'", "form id='aspnetForm'"):
+        for inner in (text, f"<article>{text}</article>"):
+            assert html_text.main_text(f"<body><nav>Home</nav><{wrapper}>{inner}</{wrapper.split()[0]}></body>") == want
+    titles = ("<h2 id='related-work'>One</h2><section id='discussion'><p>Two</p></section><h2 id='how-to-search'>Three</h2>"
+              "<p class='notice'>Four</p><p><span id='feedback'>Five</span></p>")
+    assert html_text.main_text(f"<article>{text}{titles}</article>") == want + " One Two Three Four Five"
+    assert html_text.main_text(f"<div>{text}</div><div class='comments'>{text * 3}</div>") == want
+    assert html_text.main_text(f"<div>{text}</div><div class='sidebar'><article>Teaser</article></div>") == want
+    assert html_text.main_text(f"<div class='comments'>{text}</div>") == want
+
+
 def brute_links(rows):
     x = np.array([v for _, v in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
