@@ -84,23 +84,24 @@ def _kind(tag: str, rest: str, in_main: bool) -> str:
     return "plain"
 
 
-def lines_of(page: str) -> tuple[list[str], list[int], bool]:
-    """Lines of text, their weights, and whether the page marks its main part.
+def lines_of(page: str) -> tuple[list[str], list[int], bool, list[tuple[int, ...]]]:
+    """Lines of text, their weights, whether the page marks its main part, and the open elements around each line,
+    by where they begin; paragraphs and items, body and html are left out.
 
     An element that is furniture by its name only, yet holds most of the page's text, wraps the page: if a part of the
     name says so, or if it holds an article. Where nothing has weight names don't count at all.
     """
-    lines, weights, marked, masses = _read(page, frozenset())
+    lines, weights, marked, around, masses = _read(page, frozenset())
     total = masses.pop(-1)[0]
     wraps = frozenset(at for at, (mass, part, holds) in masses.items() if 2 * mass > total and (part or holds))
     if wraps:
-        lines, weights, marked, masses = _read(page, wraps)
+        lines, weights, marked, around, masses = _read(page, wraps)
     if lines and masses and not any(weights):
-        lines, weights, marked, _ = _read(page, None)
-    return lines, weights, marked
+        lines, weights, marked, around, _ = _read(page, None)
+    return lines, weights, marked, around
 
 
-def _read(page: str, wraps: frozenset[int] | None) -> tuple[list[str], list[int], bool, dict[int, list]]:
+def _read(page: str, wraps: frozenset[int] | None) -> tuple[list[str], list[int], bool, list[tuple[int, ...]], dict[int, list]]:
     """As ``lines_of``, with the elements that begin at ``wraps`` (None: all) not furniture by name. And by the place of
     such an element, and -1 for the page: characters outside links, whether a part of the name decided, whether it
     holds an article."""
@@ -108,7 +109,8 @@ def _read(page: str, wraps: frozenset[int] | None) -> tuple[list[str], list[int]
     weights: list[int] = []
     piece: list[str] = []
     linked = 0
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, int]] = []
+    around: list[tuple[int, ...]] = []
     aside = main = link = 0
     marked = False
     masses: dict[int, list] = {-1: [0, False, False]}
@@ -121,6 +123,7 @@ def _read(page: str, wraps: frozenset[int] | None) -> tuple[list[str], list[int]
             if text:
                 length = len(text)
                 lines.append(text)
+                around.append(tuple([e for name, _, e in stack if name not in LEAF and name not in INLINE and name not in ("html", "body")]))
                 if aside == len(named) and 2 * linked <= length:
                     for e in (-1, *named):
                         masses[e][0] += length
@@ -147,7 +150,7 @@ def _read(page: str, wraps: frozenset[int] | None) -> tuple[list[str], list[int]
             link = 0 if m["end"] else 1
         if tag in INLINE:
             if m["end"]:
-                if not any(name == tag for name, _ in stack[-8:]):
+                if not any(name == tag for name, _, _ in stack[-8:]):
                     continue
             elif tag in VOID or not m["rest"] or _kind(tag, m["rest"], main > 0) not in ("aside", "named", "part"):
                 continue
@@ -157,7 +160,7 @@ def _read(page: str, wraps: frozenset[int] | None) -> tuple[list[str], list[int]
         if m["end"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    for _, kind in stack[i:]:
+                    for _, kind, _ in stack[i:]:
                         aside -= kind == "aside"
                         main -= kind == "main"
                         if kind == "named":
@@ -189,33 +192,39 @@ def _read(page: str, wraps: frozenset[int] | None) -> tuple[list[str], list[int]
         if kind == "main" and not aside and not marked:
             marked = True
             weights = [0] * len(weights)
-        stack.append((tag, kind))
+        stack.append((tag, kind, m.start()))
         aside += kind in ("aside", "named")
         main += kind == "main"
     piece.append(page[at:])
     close()
-    return lines, weights, marked, masses
+    return lines, weights, marked, around, masses
 
 
 def main_text(page: str | None) -> str:
-    """Text between the surge and dive points of a page; empty for null, for no text, and for text without a surge."""
-    lines, weights, marked = lines_of(page or "")
+    """Text between the surge and dive points of a page; empty for null, for no text, and for text without a surge.
+
+    What a dive or a slow start leaves out of an element that directly holds kept lines is kept too.
+    """
+    lines, weights, marked, around = lines_of(page or "")
     if not lines:
         return ""
     w = np.array(weights, np.int64)
     ahead = np.convolve(w, np.ones(WINDOW_LINES, np.int64))[WINDOW_LINES - 1:]  # sum over a line and those after it
     if not marked:
         ahead[ahead < min(SURGE, int(ahead.max()))] = 0
-    out, inside = [], False
+    kept, inside = np.zeros(len(w), bool), False
     behind = np.convolve(w, np.ones(WINDOW_LINES, np.int64))[: len(w)]  # and those before it
-    for i, line in enumerate(lines):
+    for i in range(len(lines)):
         if not inside and ahead[i] and w[i]:
             inside = True  # surge
         elif inside and not behind[i] and not w[i]:
             inside = False  # dive
-        if inside and w[i]:
-            out.append(line)
-    return " ".join(out)
+        kept[i] = inside and w[i]
+    if not marked:
+        # an element counts by the kept lines that surged themselves, not by what a window took along
+        own = {around[i][-1] if around[i] else -1 for i in np.flatnonzero(kept & (w >= SURGE))}
+        kept |= (w > 0) & np.array([not own.isdisjoint(e or (-1,)) for e in around])
+    return " ".join([lines[i] for i in np.flatnonzero(kept)])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

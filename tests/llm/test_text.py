@@ -198,6 +198,17 @@ def test_names_of_wrappers_and_titles():
     assert html_text.main_text(f"<div class='comments'>{text}</div>") == want
 
 
+def test_short_parts_of_the_article():
+    long = "<p>" + "real text " * 30 + "</p>"
+    rest = html_text.main_text(f"<div>{long}</div>")
+    adverts = "<div class='ad'>Buy</div>" * 4 + "<ul>" + "<li><a href='/x'>More</a></li>" * 4 + "</ul>"
+    page = (f"<body><div>Motto</div><nav>Home</nav><ul>{'<li><a href=/y>Go</a></li>' * 4}</ul><div id='post'><h1>A title of the page</h1>"
+            f"<div class='by'>By someone</div><p>1 May 2020</p>{adverts}{long}{adverts}<p>Short.</p><p>End.</p></div>"
+            f"<ul>{'<li><a href=/z>Go</a></li>' * 4}</ul><div>Imprint</div></body>")
+    assert html_text.main_text(page) == f"A title of the page By someone 1 May 2020 {rest} Short. End."
+    assert html_text.main_text(f"<body><h1>Title</h1>{adverts}{long}{adverts}<p>End.</p></body>") == f"Title {rest} End."
+
+
 def brute_links(rows):
     x = np.array([v for _, v in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
