@@ -274,6 +274,21 @@ def test_language_model(spark):
     assert pitman_yor.score(frame(spark, only_held)).count() == len(only_held)
 
 
+def test_settling_sweep_is_no_sample(spark, monkeypatch):
+    """Two samples take three sweeps, and nothing is added up before the tables of the second."""
+    sweep, seen = pitman_yor._sweep, []
+
+    def noted(states, t, number, s):
+        out = sweep(states, t, number, s)
+        seen.append(max(float(pitman_yor.load(r["blob"])[5].max(initial=0)) for r in out.select("blob").collect()))
+        return out
+
+    monkeypatch.setattr(pitman_yor, "_sweep", noted)
+    df = frame(spark, [(i, "some words and some more words", "en", "a", 30) for i in range(1, 8)])
+    assert df.count() == pitman_yor.score(df, s=pitman_yor.Settings(sweeps=2)).count()
+    assert len(seen) == 3 and seen[:2] == [0, 0] and seen[2] > 0
+
+
 def test_probabilities_sum_to_one():
     """Over the vocabulary and one unknown word, in any context, after seating."""
     s = pitman_yor.Settings(classes=8)
