@@ -112,3 +112,26 @@ def _clean(edges: DataFrame) -> DataFrame:
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def integer_vectors(df: DataFrame, vector_col: str, scale: int, largest: float, *columns: str) -> tuple[DataFrame, int]:
+    """Stored rows (``columns``, v array<long>) with floor(scale * x) of each component, and the length of v.
+
+    Rows whose vector is null or holds null or non-finite components are left out, and so are those whose integers'
+    squares add up to ``largest`` or more. Shorter vectors get zeros at their end, up to the longest.
+    """
+    x = F.col(f"`{vector_col}`").cast("array<double>")
+    whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    scaled = F.transform(x, lambda c: F.floor(c * float(scale)))
+    squares = F.aggregate(x, F.lit(0.0), lambda a, c: a + F.pow(F.floor(c * float(scale)).cast("double"), 2))
+    small = F.forall(x, lambda c: F.abs(c) * float(scale) < 2.0**62)
+    kept = df.where(whole).where(small).where(squares < largest)
+    kept = interim(kept.select(*[F.col(f"`{c}`") for c in columns], scaled.alias("__v")))
+    length = kept.agg(F.coalesce(F.max(F.size("__v")), F.lit(0))).first()[0]
+    zeros = F.array_repeat(F.lit(0).cast("long"), F.lit(length) - F.size("__v"))
+    return kept.select(*columns, F.concat("__v", zeros).alias("v")), length
+
+
+def matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Rows of an Arrow list column whose lists are all ``width`` long."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(len(lists), width)

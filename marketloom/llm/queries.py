@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import exact_dedup, html_text, mixing, packing, pitman_yor, simhash, substring_bytes, substring_words, toxicity, vector_graph
+from marketloom.llm import (
+    exact_dedup, html_text, mixing, packing, pitman_yor, simhash, source_divergence, substring_bytes, substring_words, top_k, toxicity,
+    vector_codes, vector_graph,
+)
 from marketloom.llm.common import WORD, read
 from marketloom.session import use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(fn):
@@ -34,7 +35,9 @@ def op2_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 @query
@@ -73,6 +76,21 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op11_hadamard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
@@ -123,3 +141,89 @@ WITH d AS (
 ), g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Assignments and means of each round as tables of their own, over one row per vector and component."""
+    whole = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    parts = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {whole}
+), named AS (
+  SELECT *, len(v) // 4 AS length, row_number() OVER (ORDER BY vec_id, v) AS place FROM kept
+), x AS MATERIALIZED (
+  SELECT vec_id, place, (i - 1) // length AS part, (i - 1) % length AS position, v[i] AS x
+  FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM named)
+), book0 AS MATERIALIZED (SELECT part, place - 1 AS entry, position, x AS c FROM x WHERE place <= 256)"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT place, part, min(d * 256 + entry) AS best
+  FROM (SELECT place, part, entry, sum((x - c) * (x - c)) AS d FROM x JOIN book{r} USING (part, position) GROUP BY ALL) GROUP BY ALL
+)""")
+        if r < rounds:
+            parts.append(f"""
+mean{r} AS (
+  SELECT part, best % 256 AS entry, position, sum(x) AS t, count(*) AS n FROM x JOIN near{r} USING (place, part) GROUP BY ALL
+), book{r + 1} AS MATERIALIZED (
+  SELECT part, entry, position, coalesce((t - ((t % n) + n) % n) // n, c) AS c FROM book{r} LEFT JOIN mean{r} USING (part, entry, position)
+)""")
+    parts.append(f"""
+codes AS (
+  SELECT place, string_agg(printf('%02x', (best % 256)::BIGINT), '' ORDER BY part) AS code, sum(best // 256) AS error
+  FROM near{rounds} GROUP BY place
+), books AS (SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY part, entry, position)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error::BIGINT AS error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM codes JOIN named USING (place), books
+""")
+    return ",".join(parts)
+
+
+ORACLE["op11_hadamard_codes"] = _codes_sql()
+
+ORACLE["op12_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), t AS MATERIALIZED (
+  SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS MATERIALIZED (
+  SELECT lang, term, count(*) AS m FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 10
+), c AS MATERIALIZED (
+  SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL
+), v AS (SELECT lang, count(*) AS kinds, sum(m) AS lang_total FROM k GROUP BY lang),
+g AS MATERIALIZED (
+  SELECT s.lang, s.source, coalesce(kinds, 0) AS kinds, coalesce(lang_total, 0) AS lang_total, coalesce(total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN v ON s.lang = v.lang
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) n ON s.lang = n.lang AND s.source = n.source
+), p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (total + 2 * kinds) AS p,
+         1 + (1000000000::HUGEINT * (m + 2)) // (lang_total + 2 * kinds) AS q
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), items AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM items QUALIFY part = 'pair' OR rank <= 10
+"""
+
+ORACLE["op13_histogram_top_k"] = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
