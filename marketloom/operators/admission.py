@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.reasons import passes, reason_codes
 from ..session import interim
 from .fold import FOLD_ROWS, accepted_in_rounds, ddl_of, ordered_fold, split_by_size, state_before
+from .series import join_keys
 from .gates import ORDER_DEPENDENT, SafeguardConfig, safeguard_rules, safeguard_values
 
 
@@ -25,14 +26,14 @@ def flag_duplicates(
     """Add ``duplicate``: the id is already journalled, or an earlier plan of the batch used it.
 
     The first use per id is a map-side combined minimum, so many copies of one id are no burden; the
-    joins bring one small row per id.
+    joins bring one small row per id. A null id is an id like any other, so no row is lost.
     """
     ids = [*scope, decision]
     first = plans.groupBy(*ids).agg(F.min(F.struct(*order)).alias("_first"))
-    out = plans.join(first, ids).withColumn("duplicate", F.struct(*order) != F.col("_first")).drop("_first")
+    out = join_keys(plans, first, ids).withColumn("duplicate", F.struct(*order) != F.col("_first")).drop("_first")
     if journal is not None:
         seen = journal.select(*ids).distinct().withColumn("_seen", F.lit(True))
-        out = out.join(seen, ids, "left")
+        out = join_keys(out, seen, ids, "left")
         out = out.withColumn("duplicate", F.col("duplicate") | F.coalesce("_seen", F.lit(False))).drop("_seen")
     return out.select(*plans.columns, "duplicate")
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import signals as S
 from marketloom.operators.fingerprint import DatasetMetadata
+from marketloom.operators.gates import SafeguardConfig
 from marketloom.operators.ranking import Tie
 from marketloom.plans.cycle import paper_cycle, refresh_books, shadow_cycle
 from marketloom.plans.learning import daily_report
 from marketloom.plans.live import analyse, plan_trades
 from marketloom.plans.research import run_research
+from marketloom.plans.sequence import run_cycles
 from marketloom.plans.training import run_training
 from marketloom.operators.quality import LiveLimits
 from marketloom.operators.trees import ModelConfig
@@ -321,6 +323,104 @@ def shadow_cycle_positions(spark, sf):
         *rs(("open_risk_usd", "realized_total_usd", "shadow_equity_usd"), 4), F.array_join("cycle_reasons", ",").alias("reasons"))
 
 
+def desk(spark, sf):
+    """Every customer trades at each of its orders: the order is a cycle, its lines are the plans, lines quote parts."""
+    orders = table(spark, sf, "orders")
+    base = orders.join(table(spark, sf, "customer"), c("o_custkey") == c("c_custkey"))
+    money = (c("c_acctbal") + 20_000.0)
+    accounts = base.select(c("o_custkey").alias("account_id"), money.alias("balance"), money.alias("equity"), money.alias("free_margin"),
+                           c("o_orderdate").cast("timestamp").alias("ts"), F.lit("USD").alias("currency"))
+    cyc = orders.select(
+        c("o_custkey").alias("account_id"), c("o_orderkey").cast("string").alias("cycle_id"), c("o_orderdate").cast("timestamp").alias("ts"),
+        F.lit("neutral_chop").alias("regime"), F.lit(None).cast("double").alias("equity_peak_usd"), F.lit(0.0).alias("daily_pnl_usd"),
+        F.lit(0).alias("orders_last_minute"), (c("o_orderpriority") == "5-LOW").alias("kill_switch"))
+    own = plans(spark, sf).drop("ts", "status").withColumnRenamed("account_id", "o_orderkey").join(orders.select("o_orderkey", "o_custkey"), "o_orderkey")
+    own = own.select("*", c("o_custkey").alias("account_id"), c("o_orderkey").cast("string").alias("cycle_id"),
+                     F.lit(None).cast("string").alias("market_regime")).drop("o_orderkey", "o_custkey")
+    return cyc, accounts, quotes(spark, sf), specs(spark, sf), own
+
+
+DESK_LIMITS = LiveLimits(max_quote_age_seconds=400 * 86_400.0, max_account_age_seconds=120.0)
+DESK_SAFEGUARD = SafeguardConfig(max_data_age_seconds=400 * 86_400.0, max_drawdown_pct=0.5, max_gross_notional_multiple=4.0)
+DESK_SQL = f"""WITH RECURSIVE {PLANS}, {QUOTES},
+cyc AS (SELECT o_custkey AS account_id, CAST(o_orderkey AS VARCHAR) AS cycle_id, CAST(o_orderdate AS TIMESTAMP) AS now, o_orderpriority = '5-LOW' AS kill,
+    c_acctbal + 20000.0e0 AS equity FROM orders JOIN customer ON o_custkey = c_custkey),
+own AS (SELECT p.* EXCLUDE (account_id), cyc.account_id, cyc.cycle_id, cyc.now FROM plans p JOIN cyc ON cyc.cycle_id = CAST(p.account_id AS VARCHAR)),
+marked AS (SELECT DISTINCT c.account_id, c.cycle_id, c.now, s.symbol FROM cyc c JOIN (SELECT account_id, symbol, min(now) AS since FROM own GROUP BY ALL) s
+    ON s.account_id = c.account_id AND c.now >= s.since),
+asked AS (SELECT DISTINCT symbol, now FROM marked),
+known AS MATERIALIZED (SELECT symbol, now, ts, bid, ask FROM (SELECT a.now, q.*, row_number() OVER (PARTITION BY a.symbol, a.now ORDER BY q.ts DESC, q.seq DESC, q.bid DESC) AS rn
+    FROM asked a JOIN quotes q ON q.symbol = a.symbol AND q.ts <= a.now) WHERE rn = 1),
+marks AS MATERIALIZED (SELECT account_id, cycle_id, map_from_entries(list({{'k': symbol, 'v': {{'bid': bid, 'day': CAST(ts AS DATE), 'stale': epoch_us(now) - epoch_us(ts) > 34560000e6}}}})) AS marks
+  FROM (SELECT m.*, k.ts, k.bid FROM marked m JOIN known k USING (symbol, now)) GROUP BY ALL),
+g AS (SELECT o.*, k.bid, k.ask, epoch_us(o.now) - epoch_us(k.ts) > 34560000e6 AS stale, (k.ask - k.bid)/((k.ask + k.bid)/2) AS sf, p_size,
+    row_number() OVER (PARTITION BY o.account_id, decision_id ORDER BY o.now, o.cycle_id, ordinal) > 1 AS dup
+  FROM own o LEFT JOIN known k USING (symbol, now) LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = o.symbol),
+h AS (SELECT *, greatest(expected_cost, sf) AS cost, confidence*(expected_return - greatest(expected_cost, sf) - downside_risk - 0.0e0 - uncertainty) AS edge2 FROM g),
+k AS (SELECT *, CASE WHEN dup THEN 'DUPLICATE_DECISION_ID' WHEN bid IS NULL OR p_size IS NULL THEN 'MARKET_DATA_UNAVAILABLE'
+    WHEN stale OR p_size <= 2 THEN concat_ws(',', CASE WHEN stale THEN 'STALE_QUOTE' END, CASE WHEN p_size <= 2 THEN 'SYMBOL_DISABLED' END)
+    WHEN NOT edge2 > 0 THEN 'BELOW_MINIMUM_NET_EDGE' ELSE '' END AS gate FROM h),
+steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY now, cycle_id, kind, seq) AS step FROM (
+  SELECT account_id, cycle_id, now, kill, equity, 0 AS kind, 0 AS seq, marks, NULL AS ordinal, NULL AS decision_id, NULL AS symbol, NULL AS gate, NULL AS ask,
+    NULL AS risk_fraction, NULL AS notional_fraction, NULL AS expected_return, NULL AS cost FROM cyc LEFT JOIN marks USING (account_id, cycle_id)
+  UNION ALL SELECT account_id, cycle_id, now, NULL, NULL, 1, row_number() OVER (PARTITION BY account_id, cycle_id ORDER BY gate <> '', edge2 DESC, confidence DESC, expected_return DESC, ordinal),
+    NULL, ordinal, decision_id, symbol, gate, ask, risk_fraction, notional_fraction, expected_return, cost FROM k)),
+walk AS (
+  SELECT account_id, 0::BIGINT AS step, NULL::VARCHAR AS cycle_id, NULL::BIGINT AS ordinal, NULL::VARCHAR AS reasons, NULL::DOUBLE AS base, 0.0e0 AS realized, NULL::DOUBLE AS peak,
+    0.0e0 AS equity, 0.0e0 AS top, 0.0e0 AS daily, false AS kill, '' AS stop, 0::BIGINT AS exits, 0.0e0 AS gross_before,
+    []::STRUCT(id VARCHAR, symbol VARCHAR, notional DOUBLE, risk DOUBLE, quantity DOUBLE, entry DOUBLE, stop DOUBLE, target DOUBLE)[] AS book,
+    []::STRUCT(day DATE, gain DOUBLE)[] AS closed FROM (SELECT DISTINCT account_id FROM cyc)
+  UNION ALL
+  SELECT account_id, step, cycle_id, ordinal, reasons, base, realized, peak, equity, top, daily, kill, stop, exits, gross_before,
+    CASE WHEN kind = 1 AND reasons = '' THEN list_append(book, {{'id': decision_id, 'symbol': symbol, 'notional': notional, 'risk': risk, 'quantity': notional/ask, 'entry': ask,
+      'stop': ask*(1.0e0 - risk/notional), 'target': ask*(1.0e0 + 2.0e0*(risk/notional))}}) ELSE book END, closed
+  FROM (SELECT *, CASE WHEN kind = 0 THEN NULL WHEN gate = 'DUPLICATE_DECISION_ID' THEN gate WHEN stop <> '' THEN stop WHEN gate <> '' THEN gate ELSE
+      concat_ws(',', CASE WHEN kill THEN 'KILL_SWITCH' END, CASE WHEN risk/equity > 0.005e0 THEN 'ORDER_RISK_LIMIT' END,
+        CASE WHEN (coalesce(list_sum(list_transform(book, lambda p: p.risk)), 0) + risk)/equity > 0.02e0 THEN 'TOTAL_OPEN_RISK_LIMIT' END,
+        CASE WHEN greatest(0.0e0, -daily/equity) >= 0.02e0 THEN 'DAILY_LOSS_LIMIT' END,
+        CASE WHEN greatest(0.0e0, 1.0e0 - equity/greatest(top, equity)) >= 0.5e0 THEN 'MAX_DRAWDOWN' END,
+        CASE WHEN (coalesce(list_sum(list_transform(book, lambda p: p.notional)), 0) + notional)/equity > 4.0e0 THEN 'GROSS_EXPOSURE_LIMIT' END,
+        CASE WHEN expected_return*notional - cost*notional <= 0 THEN 'NO_POSITIVE_NET_EDGE' END,
+        CASE WHEN expected_return > 0 AND cost*notional >= expected_return*notional THEN 'COST_CONSUMES_EDGE' END) END AS reasons
+    FROM (SELECT * EXCLUDE (equity), equity, equity*risk_fraction AS risk, equity*notional_fraction AS notional FROM (
+      SELECT account_id, step, cycle_id, ordinal, decision_id, symbol, gate, ask, risk_fraction, notional_fraction, expected_return, cost, kind, kill, base, realized, stop, exits, gross_before, book, closed,
+        CASE WHEN kind = 0 AND stop <> 'PORTFOLIO_MARK_UNAVAILABLE' THEN greatest(peak, shadow) ELSE peak END AS peak,
+        CASE WHEN kind = 0 THEN least(own, shadow) ELSE equity END AS equity,
+        CASE WHEN kind = 0 THEN greatest(CASE WHEN stop <> 'PORTFOLIO_MARK_UNAVAILABLE' THEN greatest(peak, shadow) ELSE peak END, least(own, shadow)) ELSE top END AS top,
+        CASE WHEN kind = 0 THEN least(0.0e0, coalesce(list_sum(list_transform(list_filter(closed, lambda x: x.day = CAST(now AS DATE)), lambda x: x.gain)), 0)) ELSE daily END AS daily
+      FROM (SELECT * EXCLUDE (stop), base + realized + coalesce(list_sum(list_transform(list_filter(book, lambda p: NOT coalesce(marks[p.symbol].stale, true)), lambda p: p.quantity*(marks[p.symbol].bid - p.entry))), 0) AS shadow,
+          CASE WHEN kind = 1 THEN stop WHEN len(list_filter(book, lambda p: coalesce(marks[p.symbol].stale, true))) > 0 THEN 'PORTFOLIO_MARK_UNAVAILABLE'
+            WHEN base + realized + coalesce(list_sum(list_transform(book, lambda p: p.quantity*(marks[p.symbol].bid - p.entry))), 0) <= 0 THEN 'SHADOW_EQUITY_NONPOSITIVE' ELSE '' END AS stop
+        FROM (SELECT * EXCLUDE (book, closed, realized, exits, gross_before),
+            CASE WHEN kind = 1 THEN book ELSE list_filter(book, lambda p: NOT coalesce(NOT marks[p.symbol].stale AND (marks[p.symbol].bid <= p.stop OR marks[p.symbol].bid >= p.target), false)) END AS book,
+            CASE WHEN kind = 1 THEN closed ELSE list_concat(closed, list_transform(gone, lambda p: {{'day': marks[p.symbol].day, 'gain': p.quantity*(marks[p.symbol].bid - p.entry)}})) END AS closed,
+            CASE WHEN kind = 1 THEN realized ELSE realized + coalesce(list_sum(list_transform(gone, lambda p: p.quantity*(marks[p.symbol].bid - p.entry))), 0) END AS realized,
+            CASE WHEN kind = 1 THEN exits ELSE len(gone) END AS exits, CASE WHEN kind = 1 THEN gross_before ELSE coalesce(list_sum(list_transform(list_filter(book, lambda p: NOT list_contains(list_transform(gone, lambda x: x.id), p.id)), lambda p: p.notional)), 0) END AS gross_before
+          FROM (SELECT s.account_id, s.step, s.cycle_id, s.now, s.ordinal, s.decision_id, s.symbol, s.gate, s.ask, s.risk_fraction, s.notional_fraction, s.expected_return, s.cost, s.kind, s.marks,
+              s.equity AS own, w.equity, w.top, w.daily, w.stop, w.exits, w.gross_before, w.book, w.closed, w.realized, coalesce(w.base, s.equity) AS base, coalesce(w.peak, s.equity) AS peak,
+              CASE WHEN s.kind = 0 THEN s.kill ELSE w.kill END AS kill,
+              CASE WHEN s.kind = 0 THEN list_filter(w.book, lambda p: coalesce(NOT s.marks[p.symbol].stale AND (s.marks[p.symbol].bid <= p.stop OR s.marks[p.symbol].bid >= p.target), false)) END AS gone
+            FROM walk w JOIN steps s ON s.account_id = w.account_id AND s.step = w.step + 1) a) b) d) e) f) x)
+"""
+
+
+@query("shadow_cycle_sequence", f"{DESK_SQL} SELECT account_id, cycle_id, ordinal, reasons FROM walk WHERE ordinal IS NOT NULL")
+def shadow_cycle_sequence(spark, sf):
+    """Decisions of all cycles of all customers, each on the book that the cycles before it left."""
+    run = run_cycles(*desk(spark, sf), limits=DESK_LIMITS, safeguard=DESK_SAFEGUARD, quote_tie="seq")
+    return run.decisions.select("account_id", "cycle_id", "ordinal", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("shadow_cycle_books", f"""{DESK_SQL} SELECT account_id, cycle_id, exits, round(realized, 4) + 0.0 AS realized,
+  round(gross_before, 4) + 0.0 AS gross, round(equity, 4) + 0.0 AS equity, stop AS reasons FROM walk WHERE ordinal IS NULL AND step > 0""")
+def shadow_cycle_books(spark, sf):
+    """The book of every cycle after its marks: exits, what is still open, equity."""
+    run = run_cycles(*desk(spark, sf), limits=DESK_LIMITS, safeguard=DESK_SAFEGUARD, quote_tie="seq")
+    return run.books.select(
+        "account_id", "cycle_id", "exits", r(c("realized_total_usd"), 4).alias("realized"), r(c("gross_notional_usd"), 4).alias("gross"),
+        r(c("equity_usd"), 4).alias("equity"), F.array_join("cycle_reasons", ",").alias("reasons"))
+
+
 # --- streams ---------------------------------------------------------------------------------------
 
 
