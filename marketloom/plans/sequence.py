@@ -126,28 +126,28 @@ class Book:
         return sum((p[2] for p in self.held.values()), 0.0), sum((p[1] for p in self.held.values()), 0.0)
 
     def decide(self, plan: dict, out: list) -> tuple:
-        """Reasons, then what was opened (:data:`OPENED` and the time) or nulls."""
+        """Reasons, what was opened (:data:`OPENED` and the time) or nulls, and whether the plan came to its rank."""
         nothing = (None,) * (len(OPENED) + 1)
         gate = list(plan["gate"])
         if gate in (["DUPLICATE_DECISION_ID"], ["ACCOUNT_DATA_UNAVAILABLE"]):
-            return (gate, *nothing)
+            return (gate, *nothing, False)
         if self.cycle["stop"] is not None and len(self.cycle["stop"]):
-            return (list(self.cycle["stop"]), *nothing)
+            return (list(self.cycle["stop"]), *nothing, False)
         if gate:
-            return (gate, *nothing)
+            return (gate, *nothing, False)
         risk, notional = self.equity * plan["risk_fraction"], self.equity * plan["notional_fraction"]
         reasons = self._reasons(risk, notional, plan)
         if reasons:
-            return (reasons, *nothing)
+            return (reasons, *nothing, True)
         entry, reward = plan["ask"], plan["reward_risk"]
         if not (0.0 < risk < notional and 0.0 < reward < float("inf")):
-            return (["SHADOW_PERSISTENCE_FAILED"], *nothing)
+            return (["SHADOW_PERSISTENCE_FAILED"], *nothing, True)
         share = risk / notional
         opened = (notional / entry, entry, entry * (1.0 - share), entry * (1.0 + reward * share), notional, risk)
         self.held[plan["decision_id"]] = [plan["symbol"], notional, risk, *opened[:4], plan["quote_at"]]
         self.risk, self.gross = self.risk + risk, self.gross + notional
         out.append((EVENT, self.cycle["id"], (plan["decision_id"], "OPEN", plan["quote_at"], plan["symbol"], entry, 0.0, None, *opened[2:])))
-        return ([], *opened, plan["quote_at"])
+        return ([], *opened, plan["quote_at"], True)
 
     def _reasons(self, risk: float, notional: float, plan: dict) -> list[str]:
         limits, cycle = self.limits, self.cycle
@@ -215,8 +215,9 @@ def walked_table(rows: pd.DataFrame, made: list, plans: list[int], results: list
         part = pd.DataFrame([x[2] for x in some], columns=list(fields), dtype=object)
         parts.append(part.assign(kind=kind, cycle_id=[x[1] for x in some], account_id=[x[3] for x in some]))
     decided = rows.iloc[plans][["account_id", "cycle_id", "decision_id", "symbol", "expected_return", "expected_cost", "risk_fraction", *CARRIED]]
-    found = pd.DataFrame(results, columns=["gate", *OPENED, "opened_at"], dtype=object)
-    parts.append(decided.reset_index(drop=True).astype(object).assign(kind=DECISION, **{x: found[x] for x in found}))
+    found = pd.DataFrame(results, columns=["gate", *OPENED, "opened_at", "ranked"], dtype=object)
+    decided = decided.reset_index(drop=True).astype(object).assign(kind=DECISION, **{x: found[x] for x in found})
+    parts.append(decided.assign(rank=decided["rank"].where(decided["ranked"].astype(bool))))
     columns = ["account_id", *WALKED]
     out = pd.concat([p.reindex(columns=columns).astype(object) for p in parts if len(p)] or [pd.DataFrame(columns=columns, dtype=object)], ignore_index=True)
     out = out.where(out.notna(), None)
