@@ -131,8 +131,10 @@ def _encode(column: pa.Array) -> list[bytes]:
 
 
 def row_key(doc_id: int | None, text: bytes) -> int:
-    """Names a row by id and text; rows that repeat both are one document told twice."""
-    return xxhash.xxh3_64_intdigest(text, (-1 if doc_id is None else doc_id) & 0xFFFF_FFFF) - (1 << 63)
+    """Names a row by its whole id (null has a mark of its own) and text; rows that repeat both have one name."""
+    name = xxhash.xxh3_64(bytes(9) if doc_id is None else b"\1" + doc_id.to_bytes(8, "little", signed=True))
+    name.update(text)
+    return name.intdigest() - (1 << 63)
 
 
 def whole(text: bytes, p: Passage) -> str:

@@ -223,3 +223,15 @@ def test_automaton_tells_owners():
 
 def test_held_out_rule():
     assert zlib.crc32(b"12") % 4 in range(4)
+
+
+def test_rows_whose_ids_share_low_bits_are_apart(spark):
+    """Ids 2^32 apart, and -1 beside null, name rows of their own."""
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text), ((1 << 32) + 1, text), (-1, "n " + text), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_words.drop_repeated_passages(df).collect()}
+    assert got == {-1: 0, 1: 200, (1 << 32) + 1: 200, None: 0}
+    two = df.where("doc_id > 0")
+    got = {r.doc_id: r.n_removed for r in substring_words.drop_repeated_passages(two).collect()}
+    assert got == {1: 0, (1 << 32) + 1: 200}
