@@ -1,4 +1,4 @@
-"""Tree models by name, fitted by Spark ML fold by fold (each fit is itself distributed)."""
+"""Models by name: linear ones and boosted trees for all folds at once, forests and own estimators by Spark ML fold by fold."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import finite
 from ..session import interim, shared_dir
+from .boosting import BoostConfig, boosted_oos
 from .folds import PurgedFolds
 from .linear import MIN_TRAIN_ROWS, known, purged_oos
 
@@ -39,8 +40,8 @@ class ModelConfig:
 
 
 def tree_estimator(config: ModelConfig, label: str) -> Estimator:
-    """Spark ML estimator of a tree model. Parameter names follow the model's own vocabulary; histogram
-    boosting has no leaf cap or L2 term in Spark ML, so its depth bounds the leaves (2^4 = 16)."""
+    """Spark ML estimator of a tree model. Parameter names follow the model's own vocabulary. Histogram boosting by Spark ML
+    has no leaf cap or L2 term; :func:`train_oos` fits it by :mod:`boosting`, which has both."""
     given = dict(config.params)
     if config.estimator is not None:
         return config.estimator().setParams(featuresCol="_x", labelCol=label, predictionCol="_p", **given)
@@ -113,6 +114,8 @@ def train_oos(
     """Dispatch by model name; non-finite predictions fail the job."""
     if config.estimator is None and config.name in LINEAR:
         out = purged_oos(df, features, target, folds, n_dates, config.name, dict(config.params))
+    elif config.estimator is None and config.name in BOOSTED:
+        out = boosted_oos(interim(df), features, target, folds, n_dates, BoostConfig.of(dict(config.params)))
     else:
         out = tree_oos(interim(df), features, target, folds, n_dates, config)
     bad = F.col("prediction").isNotNull() & finite("prediction").isNull()

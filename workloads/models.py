@@ -16,6 +16,7 @@ from marketloom.operators import ranking as RA
 from marketloom.operators.asof import as_of_join
 from marketloom.operators.backtest import BacktestConfig, RiskConfig, gated_backtest, strategy_rows
 from marketloom.operators.series import SeriesLayout, last_rows
+from marketloom.operators.boosting import BoostConfig, boosted_oos
 from marketloom.operators.trees import ModelConfig, tree_oos
 from marketloom.operators.gates import advance_experiments, eligible_for_promotion, review_findings
 from marketloom.session import interim
@@ -166,8 +167,7 @@ def random_forest_oos_predictions(spark, sf):
 @query("boosted_trees_oos_predictions")
 def boosted_trees_oos_predictions(spark, sf):
     df = interim(labelled_panel(spark, sf))
-    config = ModelConfig("hist_gb", {"max_iter": 20})
-    out = tree_oos(df, FE.PANEL_COLUMNS, "fwd_return_5", TREE_FOLDS, n_dates(df), config)
+    out = boosted_oos(df, FE.PANEL_COLUMNS, "fwd_return_5", PURGED, n_dates(df), BoostConfig(max_iter=20))
     return out.select("symbol", wall_clock(), "fold", r("prediction", 9))
 
 
