@@ -43,6 +43,7 @@ class BoostConfig:
     max_bins: int = 255
     fold_group: int = 64
     stored_every: int = 10  # trees after which predictions are written down
+    task_rows: int = 250_000  # rows of a task; it sends a histogram per node, so few large tasks send less
 
     def __post_init__(self) -> None:
         within(self, learning_rate="(0, 1]", max_iter="[1,", max_leaf_nodes="[2,", l2_regularization="[0,", min_samples_leaf="[1,",
@@ -280,7 +281,9 @@ def boosted_oos(df: DataFrame, features: Sequence[str], target: str, folds: Purg
                 for fold, own in pdf.groupby("fold", sort=False):
                     yield pd.DataFrame({"fold": fold, "y": own["y"].to_numpy(), "bins": [x.tobytes() for x in binned(own, int(fold))]})
 
-        packed = interim(train.where(F.col("fold").isin(group)).mapInPandas(pack, "fold bigint, y double, bins binary"))
+        packed = train.where(F.col("fold").isin(group)).mapInPandas(pack, "fold bigint, y double, bins binary")
+        tasks = math.ceil(sum(n for n, _, _ in stats.values()) / config.task_rows)
+        packed = interim(packed.repartitionByRange(tasks, "fold", "y") if tasks > 1 else packed.coalesce(1))
         trees = fit_folds(packed, k, stats, config)
         starts = {fold: mean for fold, (_, mean, _) in stats.items()}
 

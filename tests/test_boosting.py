@@ -72,7 +72,7 @@ def by_hand(x, y, test, s):
 
 
 @pytest.mark.parametrize("s", [BoostConfig(max_iter=4, max_leaf_nodes=7, min_samples_leaf=5, stored_every=2),
-                               BoostConfig(max_iter=2, max_leaf_nodes=3, min_samples_leaf=20, l2_regularization=3.0, max_bins=8, fold_group=1)])
+                               BoostConfig(max_iter=2, max_leaf_nodes=3, min_samples_leaf=20, l2_regularization=3.0, max_bins=8, fold_group=1, task_rows=150)])
 def test_boosting_follows_the_rules(panel, s):
     out = boosted_oos(panel.repartition(3), NAMES, "y", FOLDS, 60, s).toPandas().sort_values(["date_idx", "symbol"], ignore_index=True)
     raw = panel.toPandas().sort_values(["date_idx", "symbol"], ignore_index=True)

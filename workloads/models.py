@@ -167,7 +167,7 @@ def random_forest_oos_predictions(spark, sf):
 @query("boosted_trees_oos_predictions")
 def boosted_trees_oos_predictions(spark, sf):
     df = interim(labelled_panel(spark, sf))
-    out = boosted_oos(df, FE.PANEL_COLUMNS, "fwd_return_5", PURGED, n_dates(df), BoostConfig(max_iter=20))
+    out = boosted_oos(df, FE.PANEL_COLUMNS, "fwd_return_5", PURGED, n_dates(df), BoostConfig(max_iter=10))
     return out.select("symbol", wall_clock(), "fold", r("prediction", 9))
 
 
