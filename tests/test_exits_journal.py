@@ -56,6 +56,20 @@ def test_first_exits_equal_brute_force(spark):
     assert as_dict(got) == want and 0 < len(want) < len(positions)
 
 
+@pytest.mark.parametrize("fan", [3, 7])
+def test_exits_through_many_levels(spark, fan):
+    """Few children a block make a deep index; ties in time, positions before all and after all quotes, rows without values."""
+    positions, quotes = market(seed=8, n=260)
+    positions += [("early", "HOT", 99.9, 100.1, START - timedelta(days=400), 1.0, 100.0), ("never", "HOT", 1.0, 1e9, START, 1.0, 100.0),
+                  ("after", "HOT", 1e9, 2e9, START + timedelta(days=4000), 1.0, 100.0), ("nowhere", "NONE", 99.0, 101.0, START, 1.0, 100.0)]
+    q = spark.createDataFrame([*quotes, ("HOT", None, 1, 5.0), ("HOT", START, 2, None), (None, START, 3, 5.0)], QUOTE)
+    p = spark.createDataFrame([*positions, ("void", "HOT", 99.0, 101.0, None, 1.0, 100.0), ("bare", None, 99.0, 101.0, START, 1.0, 100.0)], POS)
+    assert len(EX.range_index(q.where("symbol = 'HOT' AND bid IS NOT NULL AND ts IS NOT NULL").withColumn("seq", F.lit(0)), fan)) > 2
+    want = brute(positions, quotes)
+    assert as_dict(EX.first_exits(p, q, "seq", fan=fan)) == want and "early" in want and "never" not in want
+    assert EX.first_exits(p, q.where("false"), "seq", fan=fan).count() == 0
+
+
 def test_streamed_exits_equal_batch_over_several_files(spark, tmp_path):
     positions, quotes = market(seed=6, n=160)
     times = sorted(t for _, t, _, _ in quotes)
