@@ -35,7 +35,7 @@ class DivergenceSettings:
     ranks: int = 10  # of the terms of a source
     held: int = 400_000  # counters a task holds before it sends them on
     piece: int = 1 << 20  # bytes of a long text cut into terms at once
-    cells: int = 1 << 21  # of a block of terms x sources
+    cells: int = 1 << 18  # of a block of terms x sources
 
 
 def terms_of(text: bytes, piece: int = 1 << 20) -> Iterator[list[bytes]]:
