@@ -70,17 +70,21 @@ def nearest(rows: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarr
     index, error = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
     e = walsh_hadamard(entries)
     size = e.shape[1]
+    step = max(1, size // 8)
     for at in range(0, len(rows), 2048):
         t = walsh_hadamard(rows[at:at + 2048])
-        first = max(1, size // 4)
-        partial = np.zeros((len(t), len(e)), np.int64)
-        for k in range(first):
-            partial += np.square(t[:, k, None] - e[None, :, k])
-        bound = np.square(t - e[partial.argmin(1)]).sum(1)
-        row, entry = np.nonzero(partial <= bound[:, None])
+        partial, bound, done = np.zeros((len(t), len(e)), np.int64), np.full(len(t), np.iinfo(np.int64).max), 0
+        alive = np.ones(partial.shape, bool)
+        # Whole tables while many entries are left, then the pairs that are left.
+        while done < size and alive.mean() > 1 / 8:
+            for k in range(done, done + step):
+                partial += np.square(t[:, k, None] - e[None, :, k])
+            done += step
+            bound = np.minimum(bound, np.square(t - e[partial.argmin(1)]).sum(1))
+            alive = partial <= bound[:, None]
+        row, entry = np.nonzero(alive)
         got = partial[row, entry]
-        step = max(1, size // 8)
-        for k in range(first, size, step):
+        for k in range(done, size, step):
             got += np.square(t[row, k:k + step] - e[entry, k:k + step]).sum(1)
             stay = got <= bound[row]
             row, entry, got = row[stay], entry[stay], got[stay]
