@@ -28,7 +28,7 @@ from marketloom.session import shared_dir
 from marketloom.streaming.sinks import drain, journal_stream
 
 from . import sql
-from .decisions import EXITS, INTENTS, PLANS, POSITIONS, QUOTES, journal_lines, latest_quotes, plans, positions, quotes, specs
+from .decisions import ADMISSION, EXITS, INTENTS, PLANS, POSITIONS, QUOTES, journal_lines, latest_quotes, plans, positions, quotes, specs
 from .models import ANALOGUE, EDGE
 from .registry import query, r, rs, sql_round, wall_clock
 from .research import BT_DAILY, STRATEGIES, backtest_rows
@@ -323,6 +323,25 @@ def shadow_cycle_positions(spark, sf):
         *rs(("open_risk_usd", "realized_total_usd", "shadow_equity_usd"), 4), F.array_join("cycle_reasons", ",").alias("reasons"))
 
 
+PAPER_SQL = ADMISSION.replace("o_totalprice AS equity,", "o_totalprice AS equity, o_orderpriority = '5-LOW' AS live,", 1).replace(
+    "concat_ws(',', CASE WHEN w.n_orders", "concat_ws(',', CASE WHEN s.live THEN 'LIVE_EXECUTION_DISABLED' END, CASE WHEN w.n_orders")
+
+
+@query("paper_cycle", PAPER_SQL + """SELECT account_id, ordinal, rank, reasons = '' AS accepted, reasons FROM walk WHERE rank > 0""")
+def paper_cycle_decisions(spark, sf):
+    """Paper decisions of every order's lines; orders of low priority ask for live execution, which is off."""
+    own = plans(spark, sf).drop("ts", "status").withColumns({
+        "cycle_id": F.lit("c1"), "source": c("ordinal").cast("string"), "market_regime": F.lit(None).cast("string")})
+    money = c("o_totalprice")
+    states = table(spark, sf, "orders").select(
+        c("o_orderkey").alias("account_id"), F.lit("c1").alias("cycle_id"),
+        F.when(c("o_orderpriority") == "5-LOW", "live").otherwise("paper").alias("mode"), money.alias("equity_usd"), money.alias("equity_peak_usd"),
+        F.lit(0.0).alias("daily_pnl_usd"), (money * 0.005).alias("open_risk_usd"), F.lit(0.0).alias("gross_notional_usd"),
+        F.lit(0.0).alias("data_age_seconds"), F.lit(7).alias("orders_last_minute"), F.lit(False).alias("kill_switch"))
+    out = paper_cycle(own, states)
+    return out.select("account_id", "ordinal", "rank", "accepted", F.array_join("reasons", ",").alias("reasons"))
+
+
 def desk(spark, sf):
     """Every customer trades at each of its orders: the order is a cycle, its lines are the plans, lines quote parts."""
     orders = table(spark, sf, "orders")
@@ -432,7 +451,7 @@ def stream(spark, sf, name, time=None, parts=3):
         rows.repartition(parts).write.parquet(base)
     else:
         moment = F.unix_micros(c(time).cast("timestamp"))
-        cuts = rows.select(F.percentile_approx(moment, [k / parts for k in range(1, parts)])).first()[0]
+        cuts = rows.select(F.percentile_approx(moment, [k / parts for k in range(1, parts)])).first()[0] or []
         part = sum((F.when(moment > x, 1).otherwise(0) for x in cuts), F.lit(0))
         for k in range(parts):  # files are read in the order they were written
             rows.where(part == k).coalesce(1).write.mode("append").parquet(base)
