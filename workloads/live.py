@@ -440,6 +440,14 @@ def shadow_cycle_books(spark, sf):
         r(c("equity_usd"), 4).alias("equity"), F.array_join("cycle_reasons", ",").alias("reasons"))
 
 
+@query("lifecycle_events", f"""{DESK_SQL} SELECT account_id, cycle_id, 'OPEN' AS event_type, count(*) AS events FROM walk WHERE ordinal IS NOT NULL AND reasons = '' GROUP BY ALL
+UNION ALL SELECT account_id, cycle_id, 'CLOSE', exits FROM walk WHERE ordinal IS NULL AND step > 0 AND exits > 0""")
+def lifecycle_events(spark, sf):
+    """OPEN and CLOSE events per cycle, each position's once."""
+    run = run_cycles(*desk(spark, sf), limits=DESK_LIMITS, safeguard=DESK_SAFEGUARD, quote_tie="seq")
+    return run.events.groupBy("account_id", "cycle_id", "event_type").agg(F.countDistinct("event_id").alias("events"))
+
+
 # --- streams ---------------------------------------------------------------------------------------
 
 
