@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.reasons import passes, reason_codes
-from ..session import interim
-from .fold import FOLD_ROWS, accepted_in_rounds, ddl_of, ordered_fold, split_by_size, state_before
+from ..session import cut, interim
+from .fold import GreedyLayout, greedy, state_met
 from .series import join_keys
 from .gates import ORDER_DEPENDENT, SafeguardConfig, safeguard_rules, safeguard_values
 
@@ -69,15 +69,15 @@ def admit(
     count_orders: bool = True,
     extra_ok: str | None = None,
     fail_reason: str | None = "SHADOW_PERSISTENCE_FAILED",
-    fold_rows: int = FOLD_ROWS,
+    layout: GreedyLayout = GreedyLayout(),
 ) -> DataFrame:
     """Walk ranked intents per cycle; accepted ones use up risk, gross and (paper) order budget.
 
     Input: ``rank``, the intent and state columns of :func:`gates.safeguard`, where open risk, gross
     notional and orders are the values before the cycle. Output: those columns as seen by each row, plus
-    the safeguard values, ``reasons`` and ``approved``. Greedy acceptance is order-dependent: cycles of up to
-    ``fold_rows`` plans are ordered folds, larger ones go through distributed rounds. Every rule that does
-    not depend on order is settled beforehand by columns.
+    the safeguard values, ``reasons`` and ``approved``. Every rule that does not depend on order is settled
+    beforehand by columns; of the rest, passes over all cycles drop the plans that no later budget of their cycle can
+    hold and walk the others in order (:func:`fold.greedy`), whatever the size of a cycle. ``rank`` is unique per cycle.
     ``extra_ok`` names a boolean column a row also needs to use up budget; ``fail_reason`` is reported
     where only that is missing.
     """
@@ -86,36 +86,53 @@ def admit(
     if extra_ok:
         flagged = flagged.withColumn("_open", F.col("_open") & F.col(extra_ok))
 
-    def make_step():
+    def make_walk():
         risk = gross = 0.0
         orders = 0
 
-        def step(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        def walk(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
             nonlocal risk, gross, orders
             equity = np.maximum(pdf["equity_usd"].to_numpy(), 1e-12).tolist()
-            columns = [pdf[x].tolist() for x in ("_open", "estimated_risk_usd", "notional_usd", *BUDGET)]
-            met = []
-            for first, eq, may, cost, size, risk0, gross0, orders0 in zip(starts.tolist(), equity, *columns):
+            columns = [pdf[x].tolist() for x in ("_risk", "_size", *BUDGET)]
+            at, met = [], []
+            for i, (first, eq, cost, size, risk0, gross0, orders0) in enumerate(zip(starts.tolist(), equity, *columns)):
                 if first:
                     risk, gross, orders = risk0, gross0, orders0
-                met.append((risk, gross, orders))
                 if (
-                    may
-                    and orders < config.max_orders_per_minute
+                    orders < config.max_orders_per_minute
                     and (risk + cost) / eq <= config.max_total_open_risk_pct
                     and (gross + size) / eq <= config.max_gross_notional_multiple
                 ):
                     risk, gross = risk + cost, gross + size
                     orders += 1 if count_orders else 0
-            return pdf.assign(**dict(zip(BUDGET, map(list, zip(*met)))))
-
-        return step
-
-    slim = interim(flagged.withColumn("orders_last_minute", F.col("orders_last_minute").cast("int")))
-    usual, hot = split_by_size(slim, keys, fold_rows)
-    walked = ordered_fold(usual, keys, ["rank"], make_step, ddl_of(slim)).drop("_open")
-    if hot is not None:
-        walked = walked.unionByName(_admit_in_rounds(hot, keys, config, count_orders).select(*walked.columns))
+                    at.append(i)
+                    met.append((risk, gross, orders))
+            taken = pdf.iloc[at][[*keys, "rank", *BUDGET, "_back_risk", "_back_size"]]
+            return taken.assign(**{x: [m[k] for m in met] for k, x in enumerate(BUDGET)})
+
+        return walk
+
+    stored = interim(flagged.withColumn("orders_last_minute", F.col("orders_last_minute").cast("int")))
+    # What plans of negative size could still give back to a cycle's budget; zero where there are none.
+    back = {
+        name: F.coalesce(F.sum(F.when(F.col("_open"), F.least(F.col(x), F.lit(0.0)))), F.lit(0.0)) * (1 + 1e-9)
+        for name, x in (("_back_risk", "estimated_risk_usd"), ("_back_size", "notional_usd"))
+    }
+    start = cut(stored.groupBy(*keys).agg(
+        *[F.min_by(x, "rank").alias(x) for x in BUDGET], *[v.alias(k) for k, v in back.items()]
+    ))
+    plan = stored.where("_open").select(
+        *keys, "rank", F.col("estimated_risk_usd").alias("_risk"), F.col("notional_usd").alias("_size"), "equity_usd"
+    )
+    equity = F.greatest("equity_usd", F.lit(1e-12))
+    possible = (
+        (F.col("orders_last_minute") < config.max_orders_per_minute)
+        & ((F.col("open_risk_usd") + F.col("_back_risk") + F.col("_risk")) / equity <= config.max_total_open_risk_pct)
+        & ((F.col("gross_notional_usd") + F.col("_back_size") + F.col("_size")) / equity <= config.max_gross_notional_multiple)
+    )
+    accepted = greedy(plan, keys, "rank", start, possible, make_walk, layout)
+    start, accepted = (x.drop("_back_risk", "_back_size") for x in (start, accepted))
+    walked = state_met(stored.drop("_open"), keys, "rank", start, accepted, layout).select(*ranked.columns)
     decided = walked.withColumns(safeguard_values()).withColumn("reasons", reason_codes(safeguard_rules(config)))
     if extra_ok and fail_reason:
         failed = passes(F.col("reasons")) & ~F.col(extra_ok)
@@ -126,25 +143,6 @@ def admit(
 BUDGET = ("open_risk_usd", "gross_notional_usd", "orders_last_minute")
 
 
-def _admit_in_rounds(hot: DataFrame, keys: Sequence[str], config: SafeguardConfig, count_orders: bool) -> DataFrame:
-    """Budget columns as each row of a huge cycle meets them."""
-    start = hot.groupBy(*keys).agg(*[F.min_by(x, "rank").alias(x) for x in BUDGET])
-    plan = hot.where("_open").select(*keys, "rank", "estimated_risk_usd", "notional_usd", "equity_usd")
-    equity = F.greatest("equity_usd", F.lit(1e-12))
-    feasible = (
-        (F.col("orders_last_minute") < config.max_orders_per_minute)
-        & ((F.col("open_risk_usd") + F.col("estimated_risk_usd")) / equity <= config.max_total_open_risk_pct)
-        & ((F.col("gross_notional_usd") + F.col("notional_usd")) / equity <= config.max_gross_notional_multiple)
-    )
-    after = {
-        "open_risk_usd": F.col("open_risk_usd") + F.col("estimated_risk_usd"),
-        "gross_notional_usd": F.col("gross_notional_usd") + F.col("notional_usd"),
-        "orders_last_minute": F.col("orders_last_minute") + (1 if count_orders else 0),
-    }
-    accepted = accepted_in_rounds(plan, keys, "rank", start, feasible, after)
-    return state_before(hot, keys, "rank", start, accepted, BUDGET).drop("_taken", "_open")
-
-
 def cycle_counts(decisions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return decisions.groupBy(*keys).agg(
         F.count_if(F.col("approved")).alias("accepted"), F.count_if(~F.col("approved")).alias("rejected")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.clean import finite
 from ..session import interim
 from .series import join_keys
-from .fold import FOLD_ROWS, accepted_in_rounds, ddl_of, ordered_fold, split_by_size
+from .fold import GreedyLayout, greedy
+from .ranking import Tie, row_numbers
 
 
 @dataclass(frozen=True)
@@ -57,59 +58,50 @@ def promote_in_order(
     keys: Sequence[str],
     order: str = "ordinal",
     criteria: PromotionCriteria = PromotionCriteria(),
-    fold_rows: int = FOLD_ROWS,
+    layout: GreedyLayout = GreedyLayout(),
 ) -> DataFrame:
     """Walk nominations in order and add ``promoted``: thresholds, a score margin over the champion, and no
     worse drawdown or month-loss rate than allowed.
 
-    Rows that fail the thresholds never touch the champion, so only qualified rows are walked: families of
-    up to ``fold_rows`` of them by an ordered fold, larger ones by rounds (one per promotion).
+    Rows that fail the thresholds never touch the champion. Of the others, those that score too low for the champion
+    reached so far are dropped side by side before each chunk is walked (:func:`fold.greedy`); drawdown and month-loss
+    rates may get worse again by promotion, so they decide only in the walk. ``order`` is unique per family.
     """
+    keys = list(keys)
 
-    def make_step():
+    def make_walk():
         champion: list[float] | None = None
 
-        def step(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        def walk(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
             nonlocal champion
-            score = pdf["score"].to_numpy()
-            dd, months = pdf["max_drawdown"].to_numpy(), pdf["negative_month_rate"].to_numpy()
-            won = np.zeros(len(pdf), dtype=bool)
+            score, dd, months, held = (pdf[x].to_numpy() for x in ("score", "max_drawdown", "negative_month_rate", "_score"))
+            at = []
             for i in range(len(pdf)):
                 if starts[i]:
-                    champion = None
+                    champion = None if np.isnan(held[i]) else [held[i], pdf["_dd"].iloc[i], pdf["_months"].iloc[i]]
                 if champion is None or (
                     score[i] >= champion[0] + criteria.score_margin
                     and dd[i] <= champion[1] + criteria.max_drawdown_deterioration
                     and months[i] <= champion[2] + criteria.max_negative_month_deterioration
                 ):
                     champion = [score[i], dd[i], months[i]]
-                    won[i] = True
-            return pdf.assign(promoted=won)
-
-        return step
-
-    flagged = interim(df.withColumn("_qualified", qualifies(criteria)))
-    candidates = flagged.where("_qualified").drop("_qualified")
-    usual, hot = split_by_size(candidates, keys, fold_rows)
-    walked = ordered_fold(usual, keys, [order], make_step, ddl_of(df, "promoted boolean"))
-    if hot is not None:
-        walked = walked.unionByName(_promote_in_rounds(hot, list(keys), order, criteria).select(*walked.columns))
-    failed = flagged.where(~F.col("_qualified")).drop("_qualified").withColumn("promoted", F.lit(False))
-    return walked.unionByName(failed)
-
-
-def _promote_in_rounds(hot: DataFrame, keys: list[str], order: str, criteria: PromotionCriteria) -> DataFrame:
-    champion = {"_score": "score", "_dd": "max_drawdown", "_months": "negative_month_rate"}
-    start = hot.select(*keys).distinct().select(*keys, *[F.lit(None).cast("double").alias(x) for x in champion])
-    beats = F.col("_score").isNull() | (
-        (F.col("score") >= F.col("_score") + criteria.score_margin)
-        & (F.col("max_drawdown") <= F.col("_dd") + criteria.max_drawdown_deterioration)
-        & (F.col("negative_month_rate") <= F.col("_months") + criteria.max_negative_month_deterioration)
+                    at.append(i)
+            return pdf.iloc[at][[*keys, "_no"]].assign(_score=score[at], _dd=dd[at], _months=months[at])
+
+        return walk
+
+    numbered = interim(row_numbers(df.withColumn("_qualified", qualifies(criteria)), keys, (), "_no", Tie(order)))
+    metrics = ("score", "max_drawdown", "negative_month_rate")
+    slim = numbered.where("_qualified").select(*keys, "_no", *[F.col(x).cast("double").alias(x) for x in metrics])
+    none = F.lit(None).cast("double")
+    start = slim.select(*keys).distinct().select(*keys, *[none.alias(x) for x in ("_score", "_dd", "_months")])
+    rising = criteria.score_margin >= 0
+    possible = F.col("_score").isNull() | (F.col("score") >= F.col("_score") + criteria.score_margin) if rising else F.lit(True)
+    won = greedy(slim, keys, "_no", start, possible, make_walk, layout)
+    winners = won.select(*keys, "_no").withColumn("promoted", F.lit(True))
+    return join_keys(numbered, winners, [*keys, "_no"], "left").select(
+        *df.columns, F.coalesce("promoted", F.lit(False)).alias("promoted")
     )
-    slim = hot.select(*keys, order, *champion.values())
-    won = accepted_in_rounds(slim, keys, order, start, beats, {k: F.col(v) for k, v in champion.items()})
-    winners = won.select(*keys, order).withColumn("promoted", F.lit(True))
-    return join_keys(hot, winners, [*keys, order], "left").fillna(False, ["promoted"])
 
 
 def reigning_champion(promoted: DataFrame, keys: Sequence[str], name: str = "name", order: str = "ordinal") -> DataFrame:

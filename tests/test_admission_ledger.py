@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from marketloom.operators import admission as AD
 from marketloom.operators import ledger as LE
 from marketloom.operators import ranking as RA
+from marketloom.operators.fold import GreedyLayout
 from marketloom.operators.gates import SafeguardConfig
 from marketloom.plans.cycle import paper_cycle
 
@@ -45,12 +46,12 @@ def test_repeated_symbol_and_source_fail(spark):
         paper_cycle(plans, states(spark, ["a"])).collect()
 
 
-@pytest.mark.parametrize("fold_rows", [1000, 30])
-def test_admission_equals_loop(spark, monkeypatch, fold_rows):
-    """Both ways: small cycles as folds, large ones (over 30 ranked plans here) in rounds."""
+@pytest.mark.parametrize("layout", [GreedyLayout(), GreedyLayout(4, 10), GreedyLayout(1, 1)])
+def test_admission_equals_loop(spark, monkeypatch, layout):
+    """One pass, passes over a few blocks each, and passes of a single plan."""
     import marketloom.plans.cycle as cycle_module
 
-    monkeypatch.setattr(cycle_module, "admit", lambda *a, **k: AD.admit(*a, **k, fold_rows=fold_rows))
+    monkeypatch.setattr(cycle_module, "admit", lambda *a, **k: AD.admit(*a, **k, layout=layout))
     rng = random.Random(7)
     rows = [plan(i, ret=rng.random() * 0.05, risk=rng.random() * 0.006, notional=rng.random() * 0.8, account=f"a{min(i % 9, 6)}",
                  cost=rng.random() * 0.01, conf=0.5 + rng.random() / 2) for i in range(300)]
@@ -75,6 +76,33 @@ def test_admission_equals_loop(spark, monkeypatch, fold_rows):
     assert got == want and any(want.values()) and not all(want.values())
 
 
+def test_many_acceptances_take_few_passes(spark, monkeypatch):
+    """A thousand acceptances, sizes that give budget back, a null cycle, an empty table."""
+    from marketloom.operators import fold as FO
+
+    passes = []
+    monkeypatch.setattr(FO, "ordered_fold", lambda *a, real=FO.ordered_fold, **k: passes.append(1) or real(*a, **k))
+    rng = random.Random(3)
+    cols = ("account_id string, rank bigint, symbol string, decision_id string, mode string, estimated_risk_usd double, notional_usd double, "
+            "expected_gross_edge_usd double, expected_cost_usd double, equity_usd double, equity_peak_usd double, daily_pnl_usd double, "
+            "open_risk_usd double, gross_notional_usd double, data_age_seconds double, orders_last_minute int, kill_switch boolean")
+    rows = [(a, i + 1, "X", f"{a}{i}", "paper", rng.choice([0.001, 0.02, 4.0, -0.01]), rng.choice([0.1, 50.0, -20.0, 400.0]), 5.0, 1.0,
+             1000.0, 1000.0, 0.0, 0.0, 0.0, 0.0, 0, False) for a, n in (("hot", 2500), (None, 300)) for i in range(n)]
+    df = spark.createDataFrame(rows, cols)
+    out = AD.admit(df.repartition(7), ["account_id"], count_orders=False, layout=FO.GreedyLayout(64, 512)).collect()
+    order = {(r.account_id, r.rank): r for r in out}
+    assert len(out) == len(rows) == len(order) and len(passes) <= 6
+    for a in ("hot", None):
+        risk = gross = 0.0
+        for r in (r for r in rows if r[0] == a):
+            got = order[a, r[1]]
+            assert (got.open_risk_usd, got.gross_notional_usd) == (risk, gross)
+            if got.approved:
+                risk, gross = risk + r[5], gross + r[6]
+    assert sum(r.approved for r in out) > 1000
+    assert AD.admit(df.limit(0), ["account_id"]).count() == 0
+
+
 def test_clean_edge_ranks_before_risky_one(spark):
     rows = [plan(0, ret=0.08, downside=0.06), plan(1, ret=0.04), plan(2, ret=0.0)]
     out = RA.rank_opportunities(spark.createDataFrame(rows, PLAN), ["cycle_id"]).orderBy("rank").collect()

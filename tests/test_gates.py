@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from marketloom.operators import champions as CH
 from marketloom.operators import gates as GA
 from marketloom.operators import quality as QU
+from marketloom.operators.fold import GreedyLayout
 from marketloom.functions.reasons import reason_codes
 
 STATE = dict(
@@ -76,14 +77,14 @@ def test_findings(spark):
     assert QU.checked(GA.review_findings(spark.createDataFrame(rows, cols), ["run"]), QU.hypothesis_rules()).where("NOT ok").count() == 0
 
 
-@pytest.mark.parametrize("fold_rows", [1000, 20])
-def test_champion_fold_equals_loop(spark, fold_rows):
+@pytest.mark.parametrize("layout", [GreedyLayout(), GreedyLayout(4, 8)])
+def test_champion_fold_equals_loop(spark, layout):
     rng = random.Random(4)
     rows = [(f"f{i % 3}", i, f"n{i}", rng.random() * 2, rng.random(), rng.randint(100, 200), rng.random() * 0.4,
              rng.random() * 0.6 if rng.random() > 0.1 else None, 8.0) for i in range(150)]
     cols = "family string, ordinal int, name string, score double, robustness double, oos_samples int, max_drawdown double, negative_month_rate double, monthly_observations double"
     crit = CH.PromotionCriteria(min_robustness=0.2, max_drawdown=0.35)
-    promoted = CH.promote_in_order(spark.createDataFrame(rows, cols).repartition(5), ["family"], criteria=crit, fold_rows=fold_rows).cache()
+    promoted = CH.promote_in_order(spark.createDataFrame(rows, cols).repartition(5), ["family"], criteria=crit, layout=layout).cache()
     won, champion = set(), {}
     for fam, i, name, score, rob, n, dd, neg, months in rows:
         if n < 126 or rob < 0.2 or dd > 0.35 or neg is None or neg > 0.5 or months < 6:
