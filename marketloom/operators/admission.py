@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.reasons import passes, reason_codes
-from ..session import cut, interim
+from ..session import interim
 from .fold import GreedyLayout, greedy, state_met
 from .series import join_keys
 from .gates import ORDER_DEPENDENT, SafeguardConfig, safeguard_rules, safeguard_values
@@ -118,7 +118,7 @@ def admit(
         name: F.coalesce(F.sum(F.when(F.col("_open"), F.least(F.col(x), F.lit(0.0)))), F.lit(0.0)) * (1 + 1e-9)
         for name, x in (("_back_risk", "estimated_risk_usd"), ("_back_size", "notional_usd"))
     }
-    start = cut(stored.groupBy(*keys).agg(
+    start = interim(stored.groupBy(*keys).agg(
         *[F.min_by(x, "rank").alias(x) for x in BUDGET], *[v.alias(k) for k, v in back.items()]
     ))
     plan = stored.where("_open").select(

@@ -26,6 +26,16 @@ def select_bars(df: DataFrame, symbols: Sequence[str], start: str | None = None,
     return out
 
 
+def bars_on_dates(bars: DataFrame, dates: DataFrame) -> DataFrame:
+    """Bars of a date-partitioned table on the days ``dt`` of ``dates``, a filtered table of days.
+
+    The days are not known when the query is planned: Spark prunes the date folders while it runs, by the days that the
+    other side of the join has turned out to have. Bars and days without a date match nothing.
+    """
+    days = dates.select(F.col("dt").alias("_day")).distinct()
+    return bars.join(days, F.col("dt") == F.col("_day"), "left_semi")
+
+
 def read_bars(spark: SparkSession, path: str, partitioned: bool = True) -> DataFrame:
     return spark.read.schema(BARS_DDL + (", dt date" if partitioned else "")).parquet(path)
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import parse_zoned_time
-from ..operators.admission import new_decisions
+from ..operators.admission import flag_duplicates
 from ..operators.fingerprint import DatasetMetadata
 from ..operators.quality import portfolio_state_rules
+from ..operators.series import join_keys
 from ..session import interim
 from ..schemas import DECISION_EVENT_DDL, LIFECYCLE_EVENT_DDL, PORTFOLIO_STATE_DDL, journal_ddl
 
@@ -73,28 +76,65 @@ def state_positions(states: DataFrame) -> DataFrame:
 ID_BUCKETS = 64
 
 
-def append_decisions(batch: DataFrame, path: str, order: Sequence[str] = ("ordinal",), ts: str = "ts") -> None:
+def append_decisions(
+    batch: DataFrame, path: str, order: Sequence[str] = ("ordinal",), ts: str = "ts", commit: str | None = None
+) -> None:
     """Append rows whose decision id the journal does not hold yet, however late they come.
 
-    A table of ids beside the journal (``path`` + ``_ids``) answers which ids are known: only its folders of the
-    batch's hashes are read, and of the journal itself only the batch's own dates. Rows are written before their ids,
-    so a batch that broke off between the two finds its rows by date when it is replayed.
+    ``path`` holds ``rows`` and ``ids``, each with a folder per commit, and a marker per commit in ``commits``.
+    Rows and ids of a commit become visible together when its marker appears, which is the last step; what a broken
+    attempt left behind is never read, and a replay under the same ``commit`` name overwrites it. A commit that has its
+    marker is not made again. Of the table of ids only the folders of the batch's hashes are read, of the rows none. A
+    null id is an id like any other. One writer at a time; without a name a commit gets a new one.
     """
     spark = batch.sparkSession
-    key = "decision_id"
-    dated = interim(batch.withColumns({"dt": F.to_date(ts), "_bucket": F.pmod(F.xxhash64(key), F.lit(ID_BUCKETS)).cast("int")}))
-    ids = f"{path.rstrip('/')}_ids"
-    fresh = dated
-    if _exists(spark, ids):
-        known = spark.read.schema(f"{key} {dated.schema[key].dataType.simpleString()}, _bucket int").parquet(ids)
-        fresh = interim(dated.join(known, ["_bucket", key], "left_anti").select(*dated.columns))
-    rows = fresh.drop("_bucket")
-    held = rows.where(F.lit(False))
-    if _exists(spark, path):
-        days = fresh.select("dt").distinct()
-        held = spark.read.schema(rows.schema).parquet(path).join(days, "dt", "left_semi").select(*rows.columns)
-    new_decisions(rows, held, order).dropDuplicates([key]).hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
-    fresh.select(key, "_bucket").distinct().repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(ids)
+    key, top = "decision_id", path.rstrip("/")
+    name = f"b-{commit or uuid.uuid4().hex}"
+    if _exists(spark, f"{top}/commits/{name}"):
+        return
+    keyed = interim(batch.withColumns({"dt": F.to_date(ts), "_bucket": F.pmod(F.xxhash64(key), F.lit(ID_BUCKETS)).cast("int")}))
+    fresh = keyed
+    if _exists(spark, f"{top}/commits"):
+        buckets = [r[0] for r in keyed.select("_bucket").distinct().collect()]  # ID_BUCKETS at most
+        ids = f"{key} {keyed.schema[key].dataType.simpleString()}, commit string, _bucket int"
+        known = _committed(spark, top, spark.read.schema(ids).parquet(f"{top}/ids")).where(F.col("_bucket").isin(buckets))
+        fresh = join_keys(keyed, known.select("_bucket", key), ["_bucket", key], "left_anti")
+    fresh = interim(fresh)
+    new = interim(flag_duplicates(fresh, order=order).where(~F.col("duplicate")).drop("duplicate").dropDuplicates([key]))
+    new.drop("_bucket").hint("rebalance", "dt").write.mode("overwrite").partitionBy("dt").parquet(f"{top}/rows/commit={name}")
+    new.select(key, "_bucket").repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{top}/ids/commit={name}")
+    _mark(spark, f"{top}/commits/{name}")
+
+
+def read_decisions(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """Rows of the committed batches of a journal that :func:`append_decisions` wrote, with their date ``dt``.
+
+    A ``schema`` of the rows (with ``dt``) is needed only where no batch has had a row yet.
+    """
+    top = path.rstrip("/")
+    if schema is not None and not _exists(spark, f"{top}/commits"):
+        return spark.createDataFrame([], schema)
+    reader = spark.read if schema is None else spark.read.schema(StructType([*schema.fields, StructField("commit", StringType())]))
+    return _committed(spark, top, reader.parquet(f"{top}/rows")).drop("commit")
+
+
+def _committed(spark: SparkSession, top: str, rows: DataFrame) -> DataFrame:
+    """Rows of commits that have their marker; markers are listed by Spark, one small row each."""
+    names = spark.read.text(f"{top}/commits").select(F.col("value").alias("commit")).distinct()
+    return rows.join(names, "commit", "left_semi")
+
+
+def _mark(spark: SparkSession, path: str) -> None:
+    """A file that holds its own name; it appears whole, by renaming."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    folder, name = path.rsplit("/", 1)
+    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{folder}/_{name}")
+    files = target.getFileSystem(conf)
+    out = files.create(draft, True)
+    out.write(bytearray(name, "utf-8"))
+    out.close()
+    if not files.rename(draft, target):
+        raise OSError(f"cannot rename {draft} to {target}")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -101,33 +101,69 @@ def test_portfolio_states(spark):
     assert (row.id, row.decision_id, row.opened_at) == ("a", "d", datetime(2024, 1, 1))
 
 
+def journalled(spark, path):
+    rows = SJ.read_decisions(spark, path).collect()
+    return sorted(((r.decision_id, r.ordinal) for r in rows), key=lambda x: (x[0] is not None, x))
+
+
 def test_decisions_append_once(spark, tmp_path):
     path = str(tmp_path / "journal")
     cols = "decision_id string, ordinal int, ts timestamp"
-    SJ.append_decisions(spark.createDataFrame([("a", 1, START), ("a", 2, START), ("b", 3, START)], cols), path)
-    SJ.append_decisions(spark.createDataFrame([("b", 1, START), ("c", 2, START + timedelta(days=1))], cols), path)
-    out = spark.read.parquet(path).orderBy("decision_id").collect()
-    assert [(r.decision_id, r.ordinal) for r in out] == [("a", 1), ("b", 3), ("c", 2)]
-
+    SJ.append_decisions(spark.createDataFrame([("a", 1, START), ("a", 2, START), ("b", 3, START), (None, 4, START)], cols), path)
+    SJ.append_decisions(spark.createDataFrame([("b", 1, START), ("c", 2, START + timedelta(days=1)), (None, 5, START), ("d", 6, None)], cols), path)
+    SJ.append_decisions(spark.createDataFrame([], cols), path)
+    assert journalled(spark, path) == [(None, 4), ("a", 1), ("b", 3), ("c", 2), ("d", 6)]
+    none = SJ.read_decisions(spark, str(tmp_path / "none"), SJ.read_decisions(spark, path).schema)
+    assert none.count() == 0 and none.columns == ["decision_id", "ordinal", "ts", "dt"]
 
-def test_late_new_decisions_are_kept(spark, tmp_path):
-    """A new id is journalled however old its time; a lost id table does not let rows in twice."""
-    import shutil
 
+def test_late_new_decisions_are_kept(spark, tmp_path, monkeypatch):
+    """A new id is journalled however old its time; an attempt that broke off at any step shows nothing and its replay is whole."""
     path, cols = str(tmp_path / "journal"), "decision_id string, ordinal int, ts timestamp"
     late = [("a", 1, START + timedelta(hours=12)), ("b", 2, START + timedelta(hours=12)), ("c", 3, START + timedelta(hours=9) - timedelta(days=900))]
-    for row in late:
+    for row in late[:2]:
         SJ.append_decisions(spark.createDataFrame([row], cols), path)
-    shutil.rmtree(path + "_ids")  # a batch that broke off before its ids were written
-    SJ.append_decisions(spark.createDataFrame(late, cols), path)
-    assert sorted(r.decision_id for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+    batch = spark.createDataFrame(late + [("e", 4, START)], cols)
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(SJ, "_mark", killed)  # rows and ids are written, the commit is not
+        with pytest.raises(RuntimeError, match="killed"):
+            SJ.append_decisions(batch, path, commit="7")
+    assert journalled(spark, path) == [("a", 1), ("b", 2)]
+    SJ.append_decisions(spark.createDataFrame([("e", 9, START)], cols), path, commit="8")  # the id is still free
+    for _ in range(2):
+        SJ.append_decisions(batch, path, commit="7")
+    assert journalled(spark, path) == [("a", 1), ("b", 2), ("c", 3), ("e", 9)]
 
 
 def test_a_known_id_is_found_without_reading_the_journal(spark, tmp_path):
+    import shutil
+
     path, cols = str(tmp_path / "journal"), "decision_id string, ordinal int, ts timestamp"
     SJ.append_decisions(spark.createDataFrame([("a", 1, START)], cols), path)
+    shutil.copytree(path + "/rows", str(tmp_path / "kept"))
+    for file in (tmp_path / "journal" / "rows").rglob("*.parquet"):
+        file.write_bytes(b"unreadable")
     SJ.append_decisions(spark.createDataFrame([("a", 2, START + timedelta(days=50)), ("b", 3, START + timedelta(days=50))], cols), path)
-    assert sorted((r.decision_id, r.ordinal) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3)]
+    shutil.copytree(str(tmp_path / "kept"), path + "/rows", dirs_exist_ok=True)
+    assert journalled(spark, path) == [("a", 1), ("b", 3)]
+
+
+def test_unread_dates_are_pruned_while_the_query_runs(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    SB.write_bars(bars_frame(spark, {"A": walk(96, 1), "B": walk(96, 2)}), path)
+    days = [(START + timedelta(days=i)).date() for i in range(4)]
+    calendar = str(tmp_path / "calendar")
+    spark.createDataFrame(list(zip(days, [5, 50, 7, 60])) + [(None, 99)], "dt date, trades int").write.parquet(calendar)
+    for day in (days[0], days[2]):  # folders that must not be opened
+        for file in (tmp_path / "bars" / f"dt={day}").glob("*.parquet"):
+            file.write_bytes(b"unreadable")
+    out = SB.bars_on_dates(SB.read_bars(spark, path), spark.read.parquet(calendar).where("trades > 10"))
+    assert "dynamicpruning" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.dt, r["count"]) for r in out.groupBy("dt").count().collect()} == {(days[1], 48), (days[3], 48)}
 
 
 def test_decision_stream_is_idempotent(spark, tmp_path):
@@ -137,7 +173,10 @@ def test_decision_stream_is_idempotent(spark, tmp_path):
     for checkpoint in ("one", "two"):  # a lost checkpoint replays the input
         rows = spark.readStream.schema(cols).parquet(source)
         journal_stream(rows, path, str(tmp_path / checkpoint)).awaitTermination()
-    assert sorted(r.decision_id for r in spark.read.parquet(path).collect()) == ["a", "b"]
+    assert [x for x, _ in journalled(spark, path)] == ["a", "b"]
+    assert not any("b-None" in p.name for p in (tmp_path / "journal" / "commits").iterdir())
+    named = [p.name for p in (tmp_path / "journal" / "commits").iterdir() if not p.name.startswith(".")]
+    assert len(named) == 2 and all(x.endswith("-0") for x in named)  # named by query and micro-batch
 
 
 def test_only_closed_bars_leave_the_stream(spark, tmp_path):

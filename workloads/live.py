@@ -43,6 +43,21 @@ def bars_selected(spark, sf):
     return out.select("symbol", wall_clock(), r("close"))
 
 
+VIEW_DAYS = """SELECT CAST(ts AS DATE) FROM events GROUP BY 1
+  HAVING count(*) FILTER (event_type = 'view') > count(*) FILTER (event_type = 'click')"""
+
+
+@query("bars_on_view_days", f"WITH {sql.BARS} SELECT symbol, ts, {sql_round(('close', 'volume'))} FROM bars WHERE CAST(ts AS DATE) IN ({VIEW_DAYS})")
+def bars_on_view_days(spark, sf):
+    """A date-partitioned bar table, read only on the days that saw more views than clicks."""
+    path = f"{shared_dir(spark).rstrip('/')}/bars-{uuid.uuid4().hex}"
+    SB.write_bars(bars(spark, sf), path)
+    days = table(spark, sf, "events").groupBy(F.to_date(c("ts").cast("timestamp")).alias("dt")).agg(
+        F.count_if(c("event_type") == "view").alias("views"), F.count_if(c("event_type") == "click").alias("clicks"))
+    out = SB.bars_on_dates(SB.read_bars(spark, path), days.where("views > clicks"))
+    return out.select("symbol", wall_clock(), r("close"), r("volume"))
+
+
 def snapshot_texts(spark, sf):
     """A JSON document per order: the customer's account and one symbol per line, with two bars each. Documents of
     pending orders lack the account, those of urgent orders end too early."""
@@ -480,7 +495,7 @@ def stream_unique_decisions(spark, sf):
         F.concat_ws(":", "l_orderkey", "l_linenumber").alias("decision_id"), F.date_trunc("month", c("l_shipdate").cast("timestamp")).alias("ts"))
     base = f"{shared_dir(spark).rstrip('/')}/decisions-{uuid.uuid4().hex}"
     journal_stream(rows, f"{base}/journal", f"{base}/checkpoint", order=("ts",)).awaitTermination()
-    return spark.read.parquet(f"{base}/journal").select("decision_id")
+    return SJ.read_decisions(spark, f"{base}/journal", rows.withColumn("dt", F.to_date("ts")).schema).select("decision_id")
 
 
 @query("stream_daily_pnl", """WITH t AS (SELECT o_orderstatus AS account_id, CAST(o_orderdate AS DATE) AS day, sum(CAST(round(o_totalprice*100) AS BIGINT)) AS cents, max(o_orderdate) AS ts FROM orders GROUP BY 1, 2)
