@@ -1,8 +1,8 @@
 """Linear models for all folds at once.
 
 Training rows shrink to one Gram row (sums of products) per fold by an ordinary aggregate; each Gram row
-is solved on its own in a vectorised Arrow function. Expanding folds add up Gram segments instead of
-copying a row into every later fold.
+is solved on its own in a vectorised Arrow function. Expanding folds add up Gram segments, sliding folds merge centred
+ones; no row is copied into the folds that train on it.
 """
 
 from __future__ import annotations
@@ -157,27 +157,72 @@ def purged_oos(
 ) -> DataFrame:
     """Out-of-sample predictions of a panel that carries ``date_idx``; rows outside tests get NULL.
 
-    Adds ``fold`` and ``prediction``. Each row trains at most train/step folds, never all of them.
+    Adds ``fold`` and ``prediction``. Rows that train the same folds are summed once, about their own means, so values far
+    from zero and drifting columns keep their digits; a fold merges its segments, of which there are twice train over
+    step at most.
     """
     total = folds.count(n_dates)
     solver = model_solver(model, params or {}, features, target)
-    shift = typical(df, [*features, target])
-    terms = gram_columns(features, target, shift)
-    usable = df.where(known(features) & finite(target).isNotNull())
-    train = usable.withColumn("fold", F.explode(folds.train_folds(F.col("date_idx"), total)))
+    columns, part = [*features, target], ["_low", "_high"]
+    low, high = folds.train_range(F.col("date_idx"), total)
+    usable = df.where(known(columns)).withColumns({"_low": low, "_high": high}).where("_low <= _high")
+    near = interim(usable.groupBy(*part).agg(*[F.avg(x).alias(f"_m_{i}") for i, x in enumerate(columns)]))
+    if 2 * total * (len(columns) + 2) <= BROADCAST_NUMBERS:  # two rows per fold at most
+        near = F.broadcast(near)
+    means = [f"_m_{i}" for i in range(len(columns))]
+    apart = usable.join(near, part).withColumns({f"_d_{i}": F.col(x).cast("double") - F.col(means[i]) for i, x in enumerate(columns)})
+    terms = gram_columns([f"_d_{i}" for i in range(len(features))], f"_d_{len(features)}")
+    segments = apart.groupBy(*part).agg(
+        *[F.sum(v).alias(f"_g_{k}") for k, v in terms.items()], *[F.first(m).alias(m) for m in means]
+    )
+    row = F.array(*[F.col(x).cast("double") for x in (*part, *[f"_g_{k}" for k in terms], *means)])
     grams = (
-        train.groupBy("fold").agg(*[F.sum(v).alias(f"_g_{k}") for k, v in terms.items()])
-        .where(F.col("_g_n") >= MIN_TRAIN_ROWS)
-        .select("fold", _packed(list(terms), "_g_").alias("gram"))
+        segments.select(F.explode(F.sequence(*part)).alias("fold"), "_g_n", row.alias("_row"))
+        .groupBy("fold").agg(F.sum("_g_n").alias("_n"), F.flatten(F.sort_array(F.collect_list("_row"))).alias("gram"))
+        .where(F.col("_n") >= MIN_TRAIN_ROWS).drop("_n")
     )
-    coefs = solve_grams(grams, solver)
+    coefs = solve_grams(grams, merged_solver(solver, list(terms), len(features)))
     if total * (len(features) + 2) <= BROADCAST_NUMBERS:  # one row per fold: the size is known here
         coefs = F.broadcast(coefs)
     tagged = df.withColumn("fold", F.when(known(features), folds.test_fold(F.col("date_idx"), total)))
-    out = tagged.join(coefs, "fold", "left").withColumn("prediction", linear_prediction(features, shift=shift, target=target))
+    out = tagged.join(coefs, "fold", "left").withColumn("prediction", linear_prediction(features))
     return out.withColumn("fold", F.when(F.col("coef").isNotNull(), F.col("fold"))).drop("coef")
 
 
+def merged_solver(solver, names: list[str], p: int):
+    """Solve a fold from its segments: each a row of two bounds, sums about a point, and that point.
+
+    Means and central moments are merged pairwise, in the order of the segments.
+    """
+    width = 2 + len(names) + p + 1
+
+    def solve(flat: np.ndarray) -> list[float]:
+        n, mean, moments = 0.0, np.zeros(p + 1), np.zeros((p + 1, p + 1))
+        for row in flat.reshape(-1, width):
+            value, point = dict(zip(names, row[2:])), row[2 + len(names):]
+            m = value["n"]
+            off = np.array([*[value[f"x{i}"] for i in range(p)], value["y"]]) / m
+            own = np.empty((p + 1, p + 1))
+            for i in range(p):
+                own[i, p] = own[p, i] = value[f"xy{i}"]
+                for j in range(i, p):
+                    own[i, j] = own[j, i] = value[f"x{i}x{j}"]
+            own[p, p] = value["yy"]
+            gap = point + off - mean
+            moments += own - m * np.outer(off, off) + np.outer(gap, gap) * (n * m / (n + m))
+            mean += gap * (m / (n + m))
+            n += m
+        central = {"n": n, "y": 0.0, "yy": moments[p, p]}
+        for i in range(p):
+            central[f"x{i}"], central[f"xy{i}"] = 0.0, moments[i, p]
+            central.update({f"x{i}x{j}": moments[i, j] for j in range(i, p)})
+        level, *slopes_and_means = solver(np.array([central[k] for k in names]))
+        slopes, offsets = slopes_and_means[:p], slopes_and_means[p:]
+        return [float(level + mean[p]), *slopes, *[float(a + b) for a, b in zip(offsets, mean)]]
+
+    return solve
+
+
 def walk_forward_ridge(
     df: DataFrame,
     features: Sequence[str],

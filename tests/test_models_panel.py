@@ -77,6 +77,34 @@ def test_purged_ridge_equals_numpy(panel):
     assert out[out.fold.isna()].prediction.isna().all()
 
 
+def test_sliding_folds_keep_digits_and_copy_no_row(spark):
+    """Columns near 1e7, one of them drifting by a thousand deviations, against numpy on centred columns."""
+    rng = random.Random(11)
+    rows = [(d, 1e7 + rng.gauss(0, 1), 10.0 * d + rng.gauss(0, 1), 0.0) for d in range(110) for _ in range(6)]
+    rows = [(d, a, b, 1e7 + 0.3 * (a - 1e7) - 0.2 * (b - 10.0 * d) + rng.gauss(0, 0.1)) for d, a, b, _ in rows]
+    rows += [(None, 1.0, 1.0, 1.0), (3, None, 1.0, 1.0), (60, float("nan"), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "date_idx bigint, a double, b double, y double").repartition(5)
+    folds = FO.PurgedFolds(40, 10, 5, 5)
+    made = LI.purged_oos(df, ["a", "b"], "y", folds, 110)
+    out = made.toPandas()
+    assert len(out) == len(rows) and set(out.fold.dropna()) == set(range(folds.count(110)))
+    for k in range(folds.count(110)):
+        lo, t = k * 15, 45 + k * 15
+        known = out.dropna(subset=["a", "b", "y", "date_idx"])
+        train = known[(known.date_idx >= lo) & (known.date_idx < lo + 40)]
+        test = known[(known.date_idx >= t) & (known.date_idx < t + 10)]
+        x, y = train[["a", "b"]].to_numpy(float), train.y.to_numpy(float)
+        mid, top = x.mean(0), y.mean()
+        sd = (x - mid).std(0)
+        z = (x - mid) / sd
+        beta = np.linalg.solve(z.T @ z + np.eye(2), z.T @ (y - top))
+        want = top + ((test[["a", "b"]].to_numpy(float) - mid) / sd) @ beta
+        assert np.allclose(test.prediction.to_numpy(float) - top, want - top, rtol=1e-9, atol=1e-8)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate"):]
+    assert plan.count("Generate") == 1 and "Aggregate [_low" in below  # segments are spread over folds, rows are not
+
+
 def test_elastic_net_meets_optimality(panel):
     rows = panel.dropna(subset=[*NAMES, "fwd_return_5"]).withColumn("fold", F.lit(0))
     terms = LI.gram_columns(NAMES, "fwd_return_5")
