@@ -20,11 +20,12 @@ from marketloom.operators.quality import LiveLimits
 from marketloom.operators.trees import ModelConfig
 from marketloom.sources import bars as SB
 from marketloom.sources import journals as SJ
+from marketloom.sources import provider as PV
 from marketloom.sources import snapshots as SN
 from marketloom.sources import vendor as SV
 from marketloom.streaming import feeds as FD
 from marketloom.streaming.exits import exit_stream, settle_late
-from marketloom.session import shared_dir
+from marketloom.session import interim, shared_dir
 from marketloom.streaming.sinks import drain, journal_stream
 
 from . import sql
@@ -43,6 +44,15 @@ def bars_selected(spark, sf):
     return out.select("symbol", wall_clock(), r("close"))
 
 
+@query("provider_bars", f"WITH {sql.BARS} SELECT symbol, ts, {sql_round(('close', 'volume'))} FROM bars WHERE symbol = 'purchase' AND ts >= TIMESTAMP '2024-01-10'")
+def provider_bars(spark, sf):
+    """Stored bars through a provider, whose row groups are chosen by the filters."""
+    path = f"{shared_dir(spark).rstrip('/')}/bars-{uuid.uuid4().hex}"
+    bars(spark, sf).sortWithinPartitions("symbol", "ts").write.parquet(path)
+    out = PV.provider_bars(spark, path).where("symbol = 'purchase' AND ts >= TIMESTAMP '2024-01-10'")
+    return out.select("symbol", wall_clock(), r("close"), r("volume"))
+
+
 VIEW_DAYS = """SELECT CAST(ts AS DATE) FROM events GROUP BY 1
   HAVING count(*) FILTER (event_type = 'view') > count(*) FILTER (event_type = 'click')"""
 
@@ -489,6 +499,19 @@ def stream_closed_bars(spark, sf):
     return drain(FD.closed_bars(ticks, "1 hour", "10 minutes"), "bars").withColumn("ts", c("ts").cast("timestamp_ntz"))
 
 
+@query("stream_provider_quotes", f"WITH {SYMBOLS} SELECT CAST(snapshot_id AS VARCHAR) AS snapshot_id, symbol, bid, ts FROM syms")
+def stream_provider_quotes(spark, sf):
+    """Snapshot documents that arrive in three deliveries, read by one query that is started again after each."""
+    base = f"{shared_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    docs = interim(snapshot_texts(spark, sf).select(c("snapshot_id").cast("string").alias("snapshot_id"), "value"))
+    for k in range(3):
+        docs.where(F.pmod(F.xxhash64("snapshot_id"), F.lit(3)) == k).write.mode("append").parquet(f"{base}/docs")
+        rows = SN.snapshot_quotes(SN.parse_snapshots(PV.provider_snapshots(spark, f"{base}/docs", stream=True)))
+        rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").format("parquet").start(f"{base}/out").awaitTermination()
+    out = spark.read.schema(rows.schema).parquet(f"{base}/out")
+    return out.select("snapshot_id", "symbol", "bid", wall_clock())
+
+
 @query("stream_unique_decisions", "SELECT DISTINCT concat_ws(':', l_orderkey, l_linenumber) AS decision_id FROM lineitem")
 def stream_unique_decisions(spark, sf):
     rows = stream(spark, sf, "lineitem").select(
