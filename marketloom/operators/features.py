@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.clean import finite, ratio
+from .audit import BarAudit
 from .series import DEFAULT_LAYOUT, SeriesLayout, in_blocks
 
 PERIODS_PER_YEAR = 252
@@ -52,10 +53,16 @@ def technical_columns(df: DataFrame, w: WindowSpec) -> DataFrame:
     return with_returns.withColumn("realized_vol_20", finite(full_frame(vol, "return_1", w20, 20)))
 
 
-def technical_features(df: DataFrame, layout: SeriesLayout = DEFAULT_LAYOUT) -> DataFrame:
-    """Seven technical features for all series at once; NULL until a frame is full."""
+def _feature_blocks(df: DataFrame, layout: SeriesLayout, build, audit: BarAudit | None) -> DataFrame:
+    if audit is None:
+        return in_blocks(df, layout, build, back=LOOKBACK)
+    return audit.watch(in_blocks(df, layout, audit.beside(build, layout.order[0]), back=LOOKBACK, ahead=1))
+
+
+def technical_features(df: DataFrame, layout: SeriesLayout = DEFAULT_LAYOUT, audit: BarAudit | None = None) -> DataFrame:
+    """Seven technical features for all series at once; NULL until a frame is full. ``audit`` checks the bars in passing."""
     require_columns(df, ("close", "high", "low", "volume"))
-    return in_blocks(df, layout, technical_columns, back=LOOKBACK)
+    return _feature_blocks(df, layout, technical_columns, audit)
 
 
 def panel_columns(df: DataFrame, w: WindowSpec) -> DataFrame:
@@ -85,9 +92,9 @@ def cross_sectional_ranks(df: DataFrame, ranks: dict[str, str] = RANKED, by: str
     return df.withColumns({out: percentile_rank(source, by) for out, source in ranks.items()})
 
 
-def cross_sectional_features(df: DataFrame, layout: SeriesLayout = DEFAULT_LAYOUT) -> DataFrame:
+def cross_sectional_features(df: DataFrame, layout: SeriesLayout = DEFAULT_LAYOUT, audit: BarAudit | None = None) -> DataFrame:
     """Panel features per symbol, then their ranks within each timestamp."""
-    return cross_sectional_ranks(in_blocks(df, layout, panel_columns, back=LOOKBACK), by=layout.order[0])
+    return cross_sectional_ranks(_feature_blocks(df, layout, panel_columns, audit), by=layout.order[0])
 
 
 def prior_volatility(net_or_asset_return: str, w: WindowSpec) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pricing import CostModel
-from ..operators.features import PANEL_COLUMNS, cross_sectional_features
+from ..operators.audit import BarAudit
+from ..operators.features import PANEL_COLUMNS, cross_sectional_features, require_columns
 from ..operators.fingerprint import DatasetMetadata, dataset_fingerprint
 from ..operators.folds import PurgedFolds, with_date_numbers
 from ..operators.gates import eligible_for_promotion
@@ -18,7 +19,7 @@ from ..operators.labels import panel_labels
 from ..operators.linear import coverage
 from ..operators.metrics import research_score
 from ..operators.panel import panel_execution, panel_metrics
-from ..operators.quality import as_panel
+from ..operators.quality import BAR_COLUMNS
 from ..operators.ranking import leaderboard
 from ..operators.series import DEFAULT_LAYOUT, SeriesLayout
 from ..operators.trees import ModelConfig, train_oos
@@ -58,9 +59,11 @@ def run_training(
     if horizon <= 0:
         raise ValueError("horizon must be positive")
     label = f"fwd_return_{horizon}"
-    panel = as_panel(bars)
-    rows = panel_labels(cross_sectional_features(panel, layout), (horizon,), layout=layout)
+    require_columns(bars, BAR_COLUMNS)
+    panel, audit = bars.withColumn("ts", F.col("ts").cast("timestamp")), BarAudit()
+    rows = panel_labels(cross_sectional_features(panel, layout, audit), (horizon,), layout=layout)
     rows = interim(with_date_numbers(rows, "ts", layout).select("symbol", "ts", "date_idx", "close", *PANEL_COLUMNS, label))
+    audit.require()
     n_dates = rows.agg(F.max("date_idx") + 1).first()[0]  # one number sizes the folds
     folds = folds or PurgedFolds.for_dates(n_dates, horizon)
     per_model = [

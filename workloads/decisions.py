@@ -13,8 +13,11 @@ from marketloom.operators import journal as JO
 from marketloom.operators import ledger as LE
 from marketloom.operators import quality as QU
 from marketloom.operators import ranking as RA
+from marketloom.operators.audit import RULES, BarAudit
+from marketloom.operators.features import technical_features
 from marketloom.operators.fingerprint import DatasetMetadata, dataset_fingerprint
 from marketloom.operators.series import latest_per_key
+from marketloom.session import interim
 
 from .registry import query, r, rs, sql_round, wall_clock
 from .tables import bars, table
@@ -455,6 +458,18 @@ def table_rules_bars(spark, sf):
         close.alias("low"), close.alias("close"), (c("l_quantity") - 2).alias("volume")))
 
 
+@query("table_rules_in_passing", """WITH b AS (SELECT l_partkey, l_shipdate, l_extendedprice - 5000 AS close, l_quantity - 2 AS volume FROM lineitem)
+SELECT count(*) AS n, count_if(close <= 0) AS close_not_positive, count_if(volume < 0) AS volume_negative,
+  (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM b GROUP BY l_partkey, l_shipdate HAVING count(*) > 1)) AS duplicate_key FROM b""")
+def table_rules_in_passing(spark, sf):
+    """The rules as the job that stores the features sees them."""
+    close, audit = c("l_extendedprice") - 5000, BarAudit()
+    bars = table(spark, sf, "lineitem").select(
+        c("l_partkey").alias("symbol"), c("l_shipdate").alias("ts"), close.alias("high"), close.alias("low"), close.alias("close"), (c("l_quantity") - 2).alias("volume"))
+    features, broken = interim(technical_features(bars, audit=audit)), audit.violations()
+    return features.agg(F.count(F.lit(1)).alias("n"), *[F.lit(broken.get(rule, 0)).cast("bigint").alias(rule.lower()) for rule in RULES[1:]])
+
+
 @query("row_rules_bars", sql_reason_counts({
     "INVALID_PRICE": "l_extendedprice - 5000 <= 0",
     "HIGH_INCONSISTENT": "(l_extendedprice - 5000)*(0.95e0 + l_discount) < l_extendedprice - 5000",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from marketloom.sources import provider as PV
 from marketloom.sources import snapshots as SN
 from marketloom.sources import vendor as SV
 from marketloom.streaming import feeds as FD
+from marketloom.streaming.late import bars_and_late_ticks
 from marketloom.streaming.exits import exit_stream, settle_late
 from marketloom.session import interim, shared_dir
 from marketloom.streaming.sinks import drain, journal_stream
@@ -499,6 +501,27 @@ def stream_closed_bars(spark, sf):
     return drain(FD.closed_bars(ticks, "1 hour", "10 minutes"), "bars").withColumn("ts", c("ts").cast("timestamp_ntz"))
 
 
+@query("stream_late_ticks", """WITH m AS (SELECT min(ts) + (max(ts) - min(ts))/2 AS mid FROM events),
+t AS (SELECT event_type AS symbol, ts, value, CASE WHEN ts > mid THEN 1 ELSE 0 END + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS delivery, date_trunc('hour', ts) AS start FROM events, m),
+w AS (SELECT d.delivery, (SELECT max(ts) FROM t WHERE t.delivery < d.delivery) - INTERVAL 10 MINUTE AS mark FROM (SELECT unnest([0, 1, 2, 3]) AS delivery) d),
+k AS (SELECT t.*, coalesce(start + INTERVAL 1 HOUR <= mark, false) AS late FROM t JOIN w USING (delivery)),
+b AS (SELECT symbol, 'bar' AS kind, start AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume FROM k WHERE NOT late GROUP BY symbol, start)
+SELECT * FROM b WHERE ts + INTERVAL 1 HOUR <= (SELECT mark FROM w WHERE delivery = 3)
+UNION ALL SELECT symbol, 'late', ts, value, value, value, value, 1.0e0 FROM k WHERE late""")
+def stream_late_ticks(spark, sf):
+    """Ticks in three deliveries, every seventh one delivery late: closed bars, and the ticks that came after their bar."""
+    events = table(spark, sf, "events").withColumn("at", c("ts").cast("timestamp"))
+    half = events.agg((F.min(F.unix_micros("at")) + F.max(F.unix_micros("at"))) / 2).first()[0] or 0.0
+    delivery = (F.unix_micros("at") > half).cast("int") + (c("event_id") % 7 == 0).cast("int")
+    base = f"{shared_dir(spark).rstrip('/')}/ticks-{uuid.uuid4().hex}"
+    for k in range(3):
+        events.where(delivery == k).select(c("event_type").alias("symbol"), c("at").alias("ts"), c("value").alias("price")).write.mode("append").parquet(f"{base}/ticks")
+        ticks = spark.readStream.schema("symbol string, ts timestamp, price double").parquet(f"{base}/ticks")
+        rows = bars_and_late_ticks(ticks, timedelta(hours=1), "10 minutes")
+        rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").format("parquet").start(f"{base}/out").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/out").withColumn("ts", c("ts").cast("timestamp_ntz"))
+
+
 @query("stream_provider_quotes", f"WITH {SYMBOLS} SELECT CAST(snapshot_id AS VARCHAR) AS snapshot_id, symbol, bid, ts FROM syms")
 def stream_provider_quotes(spark, sf):
     """Snapshot documents that arrive in three deliveries, read by one query that is started again after each."""
