@@ -49,6 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def keyed_state(spark: SparkSession) -> None:
+    """Streams with map state or timers need the RocksDB state store; queries started before keep the one in their checkpoint."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from there."""
     shared_dir(df.sparkSession)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.gates import SafeguardConfig
+from ..session import keyed_state
 from ..plans.sequence import END, HELD_FIELDS, ORDER, READ, WALK_TYPES, Book, walked_table
 
 HELD_DDL = "place bigint, symbol string, " + ", ".join(f"{x} double" for x in HELD_FIELDS[2:-1]) + ", opened_at bigint"
@@ -62,6 +63,7 @@ class BookProcessor(StatefulProcessor):
 
 def book_stream(rows: DataFrame, safeguard: SafeguardConfig = SafeguardConfig()) -> DataFrame:
     """Walk a stream of rows as :func:`marketloom.plans.sequence.walk_rows` makes them; ``split_walk`` names its results."""
+    keyed_state(rows.sparkSession)
     types = {"account_id": rows.schema["account_id"].dataType.simpleString(), **WALK_TYPES}
     return rows.groupBy("account_id").transformWithStateInPandas(
         statefulProcessor=BookProcessor(safeguard), outputStructType=", ".join(f"{x} {t}" for x, t in types.items()),

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import keyed_state
+
 BAR, LATE, UNDATED = "bar", "late", "undated"
 STATE = "first bigint, open double, high double, low double, last bigint, close double, volume double, symbol string, start bigint"
 ROWS = "symbol string, kind string, at bigint, open double, high double, low double, close double, volume double"
@@ -92,6 +94,7 @@ def bars_and_late_ticks(
     is still open counts, however far behind the watermark it is. So the volume of all rows and of the windows still
     open is that of all ticks. State is one row per open (symbol, window), so a busy symbol is dealt over tasks by its windows.
     """
+    keyed_state(ticks.sparkSession)
     micros = width // timedelta(microseconds=1)
     at = F.unix_micros("ts")
     amount = F.lit(1.0) if volume is None else F.coalesce(F.col(volume).cast("double"), F.lit(0.0))
