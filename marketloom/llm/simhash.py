@@ -26,6 +26,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 MAX_BITS = 4
 #: Rows of a run compared at once; longer runs are compared in blocks of this size.
 BLOCK = 2048
+#: Fingerprints under one key that a task takes; longer runs are dealt over tasks as pairs of blocks.
+RUN = 8192
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -94,10 +96,27 @@ def _parts(fps: np.ndarray, max_bits: int) -> np.ndarray:
     return part
 
 
-def links(keys: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def dealt(keys: DataFrame, most: int = RUN) -> DataFrame:
+    """``keys`` with runs of over ``most`` fingerprints cut into pairs of blocks, each pair a key of its own.
+
+    Every two fingerprints of a run meet in the key of their two blocks, so no link is lost and no task holds a run. A run of
+    n fingerprints is sent to tasks 2 n / ``most`` times. Pair keys that collide only compare more.
+    """
+    hot = interim(keys.groupBy("at", "key").count().where(F.col("count") > most))
+    if hot.isEmpty():
+        return keys
+    blocks = F.ceil(F.col("count") / F.lit(max(1, most // 2))).cast("long")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    pairs = keys.join(hot, ["at", "key"]).withColumn("blocks", blocks).select(
+        "at", "key", "fp", own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    split = pairs.select("at", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp")
+    return keys.join(hot, ["at", "key"], "left_anti").select("at", "key", "fp").unionByName(split)
+
+
+def links(keys: DataFrame, max_bits: int = MAX_BITS, most: int = RUN) -> DataFrame:
     """Pairs of fingerprints (a, b) whose components are those of all links within ``max_bits``.
 
-    Rows with equal keys are next to each other after a sort by key. Short runs yield their links; a run of over 32
+    Long runs are dealt over tasks first (:func:`dealt`). Rows with equal keys are next to each other after a sort by key. Short runs yield their links; a run of over 32
     yields one pair per row, with the first row of its part.
     """
 
@@ -114,7 +133,7 @@ def links(keys: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         yield _pairs(at0, key0, fp0, max_bits)
 
     count = keys.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = keys.repartition(int(count), "at", "key").sortWithinPartitions("at", "key")
+    ordered = dealt(keys, most).repartition(int(count), "at", "key").sortWithinPartitions("at", "key")
     return ordered.mapInArrow(run, "a long, b long")
 
 

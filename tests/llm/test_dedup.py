@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from fixtures import documents, empty, frame
+from pyspark.sql import functions as F
 
 from marketloom.llm import exact_dedup, mixing, passages, simhash, substring_bytes, substring_words
 from marketloom.llm.common import components
@@ -127,6 +128,13 @@ def test_simhash_runs(spark):
     fps = sorted(fps)
     nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
     found = {r["node"]: r["root"] for r in components(simhash.links(simhash.variants(nodes))).collect()}
+    # runs dealt over tasks as pairs of blocks link the same, however small the blocks are
+    for most in (20, 60):
+        assert found == {r["node"]: r["root"] for r in components(simhash.links(simhash.variants(nodes), most=most)).collect()}
+    keys = simhash.variants(nodes)
+    dealt = simhash.dealt(keys, 60)
+    assert dealt.groupBy("at", "key").count().agg(F.max("count")).first()[0] < keys.groupBy("at", "key").count().agg(F.max("count")).first()[0]
+    assert dealt.select("fp").distinct().count() == nodes.count() and simhash.dealt(keys, 10**6) is keys
     part = simhash._parts(np.array(fps).view(np.uint64), 4)
     for f, p in zip(fps, part):
         assert found.get(f, f) == fps[p]
