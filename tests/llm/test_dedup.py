@@ -129,10 +129,10 @@ def test_simhash_runs(spark):
     nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
     found = {r["node"]: r["root"] for r in components(simhash.links(simhash.variants(nodes))).collect()}
     # runs dealt over tasks as pairs of blocks link the same, however small the blocks are
-    for most in (20, 60):
+    for most in (6, 20):
         assert found == {r["node"]: r["root"] for r in components(simhash.links(simhash.variants(nodes), most=most)).collect()}
     keys = simhash.variants(nodes)
-    dealt = simhash.dealt(keys, 60)
+    dealt = simhash.dealt(keys, 6)
     assert dealt.groupBy("at", "key").count().agg(F.max("count")).first()[0] < keys.groupBy("at", "key").count().agg(F.max("count")).first()[0]
     assert dealt.select("fp").distinct().count() == nodes.count() and simhash.dealt(keys, 10**6) is keys
     part = simhash._parts(np.array(fps).view(np.uint64), 4)
