@@ -123,7 +123,11 @@ class Book:
             issues, exits, self.risk, self.gross, unrealized, self.realized, shadow, self.equity, self.peak, self.daily, cycle["stop"])))
 
     def _sums(self) -> tuple[float, float]:
-        return sum((p[2] for p in self.held.values()), 0.0), sum((p[1] for p in self.held.values()), 0.0)
+        # Added one by one, as plans that open add theirs: Python's sum() rounds otherwise (since 3.12), which decides at a limit.
+        risk = gross = 0.0
+        for p in self.held.values():
+            risk, gross = risk + p[2], gross + p[1]
+        return risk, gross
 
     def decide(self, plan: dict, out: list) -> tuple:
         """Reasons, what was opened (:data:`OPENED` and the time) or nulls, and whether the plan came to its rank."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.operators.gates import SafeguardConfig
 from marketloom.operators.quality import LiveLimits
 from marketloom.plans import cycle as CY
-from marketloom.plans.sequence import run_cycles, split_walk, walk_rows
+from marketloom.plans.sequence import Book, run_cycles, split_walk, walk_rows
 from marketloom.session import cut, shared_dir
 from marketloom.streaming.books import book_stream
 
@@ -145,3 +145,14 @@ def test_rows_without_ids_are_kept(spark):
     assert found[102] == ["MARKET_DATA_UNAVAILABLE"] and found[104] == ["ACCOUNT_DATA_UNAVAILABLE"] and found[101] == ["DUPLICATE_DECISION_ID"]
     none = run_cycles(cycles.where("false"), accounts, quotes, specs, plans.where("false"))
     assert none.decisions.count() == none.books.count() == none.positions.count() == 0
+
+
+def test_book_adds_positions_as_it_opened_them():
+    """What is open weighs the same in the cycle that opened it and in every later one, to the last bit."""
+    book = Book(SafeguardConfig())
+    risk = gross = 0.0
+    for i in range(10):
+        risk, gross = risk + 0.1, gross + 0.3
+        book.held[str(i)] = ["X", 0.3, 0.1, 1.0, 1.0, 0.5, 2.0, 0]
+    assert book._sums() == (risk, gross)
+    assert risk != 1.0 and gross != 3.0
