@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_zoned_time
@@ -33,14 +33,20 @@ def parse_snapshots(texts: DataFrame, value: str = "value") -> DataFrame:
 
 def snapshot_errors(parsed: DataFrame) -> DataFrame:
     """One row per problem: bad documents, and symbols that lack a quote, specification or bars."""
-    keep = _ids(parsed)
-    documents = parsed.where(F.col("error").isNotNull()).select(*keep, F.lit(None).cast("string").alias("symbol"), "error")
     parts = {"quote": "SNAPSHOT_QUOTE_MISSING", "spec": "SNAPSHOT_SPEC_MISSING", "bars": "SNAPSHOT_BARS_MISSING"}
-    missing = F.array_compact(F.array(*[
-        F.when(F.col(f"value.{part}").isNull(), F.lit(code)) for part, code in parts.items()
-    ]))
-    symbols = parsed.select(*keep, F.explode("symbols").alias("symbol", "value"))
-    return documents.unionByName(symbols.select(*keep, "symbol", F.explode(missing).alias("error")))
+
+    def problem(symbol: Column, code: Column) -> Column:
+        return F.struct(symbol.cast("string").alias("symbol"), code.cast("string").alias("error"))
+
+    def missing(entry: Column) -> Column:
+        return F.array_compact(F.array(*[
+            F.when(entry["value"][part].isNull(), problem(entry["key"], F.lit(code))) for part, code in parts.items()]))
+
+    # One array per document, so that documents are read and parsed once.
+    document = F.array_compact(F.array(F.when(F.col("error").isNotNull(), problem(F.lit(None), F.col("error")))))
+    symbols = F.flatten(F.transform(F.map_entries("symbols"), missing))
+    problems = F.concat(document, F.coalesce(symbols, F.slice(document, 1, 0)))
+    return parsed.select(*_ids(parsed), F.explode_outer(problems).alias("_p")).where("_p IS NOT NULL").select(*_ids(parsed), "_p.symbol", "_p.error")
 
 
 def _ids(parsed: DataFrame) -> list[str]:
@@ -55,7 +61,8 @@ def snapshot_accounts(parsed: DataFrame) -> DataFrame:
 
 
 def _symbols(parsed: DataFrame) -> DataFrame:
-    return parsed.select(*_ids(parsed), F.explode("symbols").alias("symbol", "value"))
+    # Spark filters the input of an inner explode by its size, which parses every document again for each use in that filter.
+    return parsed.select(*_ids(parsed), F.explode_outer("symbols").alias("symbol", "value")).where("symbol IS NOT NULL")
 
 
 def snapshot_quotes(parsed: DataFrame, source: str = SOURCE_NAME) -> DataFrame:

@@ -73,31 +73,38 @@ def bars_on_view_days(spark, sf):
 def snapshot_texts(spark, sf):
     """A JSON document per order: the customer's account and one symbol per line, with two bars each. Documents of
     pending orders lack the account, those of urgent orders end too early."""
-    lines = table(spark, sf, "lineitem")
-    stamp = F.date_format(c("l_shipdate"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    price = c("l_extendedprice") / c("l_quantity")
-
-    def bar(ts, close):
+    # What makes an entry is collected per order as plain numbers; documents are put together after the shuffle.
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", F.struct(
+            "l_partkey", "l_suppkey", "l_linenumber", (c("l_extendedprice") / c("l_quantity")).alias("price"), c("l_quantity").alias("quantity"),
+            F.unix_seconds(c("l_shipdate").cast("timestamp")).alias("at"), F.coalesce(c("l_tax") > 0.01, F.lit(False)).alias("known"),
+            F.when(c("l_tax") > 0.01, c("l_discount") > 0.02).alias("enabled")).alias("line"))
+
+    def bar(ts, close, quantity):
         return F.struct(ts.alias("timestamp"), close.alias("open"), (close * 1.01).alias("high"), (close * 0.99).alias("low"),
-                        close.alias("close"), c("l_quantity").alias("volume"))
-
-    entry = F.struct(
-        F.concat_ws(":", "l_partkey", "l_suppkey", "l_linenumber").alias("key"),
-        F.struct(
-            F.struct(price.alias("bid"), (price * 1.001).alias("ask"), stamp.alias("timestamp")).alias("quote"),
-            F.when(c("l_tax") > 0.01, F.struct(
-                F.lit(0.01).alias("tick_size"), F.lit(0.01).alias("volume_min"), c("l_quantity").alias("volume_max"),
-                F.lit(0.01).alias("volume_step"), (c("l_discount") > 0.02).alias("trade_enabled"))).alias("spec"),
-            F.array(bar(F.lit("1990-01-01T00:00:00+00:00"), price * 0.5), bar(stamp, price)).alias("bars"),
-        ).alias("value"))
-    symbols = lines.groupBy("l_orderkey").agg(F.collect_set(entry).alias("_e"))
+                        close.alias("close"), quantity.alias("volume"))
+
+    def entry(x):
+        stamp, price = F.date_format(F.timestamp_seconds(x["at"]), "yyyy-MM-dd'T'HH:mm:ss'Z'"), x["price"]
+        return F.struct(
+            F.concat_ws(":", x["l_partkey"], x["l_suppkey"], x["l_linenumber"]).alias("key"),
+            F.struct(
+                F.struct(price.alias("bid"), (price * 1.001).alias("ask"), stamp.alias("timestamp")).alias("quote"),
+                F.when(x["known"], F.struct(
+                    F.lit(0.01).alias("tick_size"), F.lit(0.01).alias("volume_min"), x["quantity"].alias("volume_max"),
+                    F.lit(0.01).alias("volume_step"), x["enabled"].alias("trade_enabled"))).alias("spec"),
+                F.array(bar(F.lit("1990-01-01T00:00:00+00:00"), price * 0.5, x["quantity"]), bar(stamp, price, x["quantity"])).alias("bars"),
+            ).alias("value"))
+
     orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), c("o_custkey") == c("c_custkey"))
+    own = ("l_orderkey", "o_orderstatus", "o_orderpriority", "c_acctbal")
+    symbols = lines.join(orders, c("l_orderkey") == c("o_orderkey")).groupBy(*own).agg(F.collect_set("line").alias("_l"))
     account = F.when(c("o_orderstatus") != "P", F.struct(
         c("c_acctbal").alias("balance"), c("c_acctbal").alias("equity"), c("c_acctbal").alias("free_margin"),
         F.lit("2024-01-01T00:00:00Z").alias("timestamp")))
-    doc = F.to_json(F.struct(account.alias("account"), F.map_from_entries("_e").alias("symbols")))
+    doc = F.to_json(F.struct(account.alias("account"), F.map_from_entries(F.transform("_l", entry)).alias("symbols")))
     cut = F.when(c("o_orderpriority") == "1-URGENT", F.substring(doc, 1, 40)).otherwise(doc)
-    return symbols.join(orders, c("l_orderkey") == c("o_orderkey")).select(c("l_orderkey").alias("snapshot_id"), cut.alias("value"))
+    return symbols.select(c("l_orderkey").alias("snapshot_id"), cut.alias("value"))
 
 
 GOOD = "o_orderpriority <> '1-URGENT'"
