@@ -1,12 +1,12 @@
 """Tamper audit of hash-chained journals.
 
-Every line is checked on its own and against its predecessor, found by an equi-join on
+Every line is checked on its own and against its predecessor, which it meets in a group of
 (journal, sequence). That spreads a journal of any length; nothing walks it in order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GENESIS_HASH = "0" * 64
@@ -28,11 +28,17 @@ def audit_journal(lines: DataFrame, journal: str = "journal_id", line: str = "va
             F.sha2(F.regexp_replace(text, r'^\{"entry_hash":"[0-9a-f]{64}",', "{"), 256).alias("computed_hash"),
         )
     )
-    links = rows.groupBy(journal, (F.col("sequence") + 1).alias("sequence")).agg(
-        F.min("entry_hash").alias("_before"), F.count(F.lit(1)).alias("_n")
-    )
-    copies = rows.groupBy(journal, "sequence").agg(F.count(F.lit(1)).alias("_copies"))
-    joined = rows.join(copies, [journal, "sequence"], "left").join(links, [journal, "sequence"], "left")
+    # A line once as itself and once as the predecessor of the next: lines are read, parsed and hashed once, nothing is joined.
+    itself = F.struct("sequence", "previous_hash", "entry_hash", "computed_hash", F.lit(True).alias("_own"))
+    none = F.lit(None).cast("string")
+    ahead = F.struct((F.col("sequence") + 1).alias("sequence"), none.alias("previous_hash"), F.col("entry_hash"),
+                     none.alias("computed_hash"), F.lit(False).alias("_own"))
+    both = rows.select(journal, F.explode_outer(F.array(itself, ahead)).alias("_x")).select(journal, "_x.*")
+    both = both.where("_own OR sequence IS NOT NULL")
+    apart = F.when(F.col("sequence").isNull(), F.col("computed_hash"))  # lines without a sequence meet nothing
+    same = Window.partitionBy(journal, "sequence", apart)
+    joined = both.withColumns({
+        "_before": F.min(F.when(~F.col("_own"), F.col("entry_hash"))).over(same), "_copies": F.count_if("_own").over(same)}).where("_own")
     seq = F.col("sequence")
     broken_order = (
         seq.isNull() | (seq < 1) | (F.col("_copies") > 1) | ((seq > 1) & F.col("_before").isNull())

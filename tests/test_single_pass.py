@@ -1,5 +1,6 @@
 """Documents and journal lines are read, parsed and hashed once."""
 
+from marketloom.operators.journal import audit_journal
 from marketloom.sources import snapshots as SN
 
 GOOD = '{"account":{"balance":1.0},"symbols":{"A":{"quote":{"bid":1.0,"ask":2.0,"timestamp":"2024-01-01T00:00:00Z"}},"B":null}}'
@@ -18,3 +19,10 @@ def test_snapshot_readers_parse_a_document_once(spark):
     missing = [(1, s, f"SNAPSHOT_{x}_MISSING") for s, parts in (("A", ("BARS", "SPEC")), ("B", ("BARS", "QUOTE", "SPEC"))) for x in parts]
     wanted = [*missing, (2, None, "SNAPSHOT_FILE_INVALID"), (3, None, "SNAPSHOT_ACCOUNT_MISSING")]
     assert sorted(map(tuple, SN.snapshot_errors(parsed).collect()), key=str) == sorted(wanted, key=str)
+
+
+def test_journal_audit_reads_lines_once(spark):
+    lines = spark.createDataFrame([("j", "x"), ("j", "y"), ("j", '{"sequence":2}')], "journal_id string, value string")
+    out = audit_journal(lines)
+    assert "Join" not in plan(out) and plan(out).count("LogicalRDD") == 1
+    assert [x.failure for x in out.collect()] == ["SEQUENCE"] * 3
