@@ -1,4 +1,6 @@
-"""Documents and journal lines are read, parsed and hashed once."""
+"""Documents and journal lines are read, parsed and hashed once; deliveries of a stream are several files."""
+
+from pyspark.sql import functions as F
 
 from marketloom.operators.journal import audit_journal
 from marketloom.sources import snapshots as SN
@@ -26,3 +28,18 @@ def test_journal_audit_reads_lines_once(spark):
     out = audit_journal(lines)
     assert "Join" not in plan(out) and plan(out).count("LogicalRDD") == 1
     assert [x.failure for x in out.collect()] == ["SEQUENCE"] * 3
+
+
+def test_a_delivery_is_several_files(spark, tmp_path):
+    from workloads.live import stream
+
+    spark.range(1000).write.parquet(f"{tmp_path}/t.parquet")
+    rows = stream(spark, str(tmp_path), "t", parts=2)
+    seen = []
+
+    def note(batch, number):
+        seen.append((batch.count(), len(batch.select(F.input_file_name()).distinct().collect())))
+
+    rows.writeStream.foreachBatch(note).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sum(n for n, _ in seen) == 1000 and len(seen) == 2
+    assert all(k > 1 for _, k in seen)

@@ -485,19 +485,22 @@ def lifecycle_events(spark, sf):
 # --- streams ---------------------------------------------------------------------------------------
 
 
-def stream(spark, sf, name, time=None, parts=3):
-    """The whole table as a stream of ``parts`` micro-batches: in order of ``time``, or dealt at random without it."""
-    rows = table(spark, sf, name)
+def stream(spark, sf, name, time=None, parts=3, columns=("*",)):
+    """The whole table as a stream of ``parts`` micro-batches: in order of ``time``, or dealt at random without it (then a
+    micro-batch is several files, so that no task writes or reads a whole one)."""
+    rows = table(spark, sf, name).select(*columns)
     base = f"{shared_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    files = 1
     if time is None:
-        rows.repartition(parts).write.parquet(base)
+        files = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // parts)
+        rows.repartition(parts * files).write.parquet(base)
     else:
         moment = F.unix_micros(c(time).cast("timestamp"))
         cuts = rows.select(F.percentile_approx(moment, [k / parts for k in range(1, parts)])).first()[0] or []
         part = sum((F.when(moment > x, 1).otherwise(0) for x in cuts), F.lit(0))
         for k in range(parts):  # files are read in the order they were written
             rows.where(part == k).coalesce(1).write.mode("append").parquet(base)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(base)
 
 
 @query("stream_closed_bars", """WITH t AS (SELECT event_type AS symbol, ts, value FROM events),
@@ -544,7 +547,7 @@ def stream_provider_quotes(spark, sf):
 
 @query("stream_unique_decisions", "SELECT DISTINCT concat_ws(':', l_orderkey, l_linenumber) AS decision_id FROM lineitem")
 def stream_unique_decisions(spark, sf):
-    rows = stream(spark, sf, "lineitem").select(
+    rows = stream(spark, sf, "lineitem", columns=("l_orderkey", "l_linenumber", "l_shipdate")).select(
         F.concat_ws(":", "l_orderkey", "l_linenumber").alias("decision_id"), F.date_trunc("month", c("l_shipdate").cast("timestamp")).alias("ts"))
     base = f"{shared_dir(spark).rstrip('/')}/decisions-{uuid.uuid4().hex}"
     journal_stream(rows, f"{base}/journal", f"{base}/checkpoint", order=("ts",)).awaitTermination()
