@@ -3,6 +3,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,15 @@ def test_as_of_join_equals_loop(spark):
     got = {(r.symbol, r.ts): r.value for r in out.collect()}
     want = {(k, t): max(((a, v) for s, a, v in obs if s == k and a <= t), default=(None, None))[1] for k, t in dec}
     assert got == want
+
+
+def test_first_touch_against_a_loop():
+    from marketloom.streaming.exits import first_touch
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 64, 101):
+        bid, start = rng.normal(10, 1, n), rng.integers(0, n + 1, 300)
+        stop, target = rng.normal(8.5, 0.7, 300), rng.normal(11.5, 0.7, 300)
+        stop[:5] = np.nan
+        loop = [next((i for i in range(s, n) if bid[i] <= lo or bid[i] >= hi), n) for s, lo, hi in zip(start, stop, target)]
+        assert first_touch(bid, start, stop, target).tolist() == loop
