@@ -57,6 +57,17 @@ def test_first_exits_equal_brute_force(spark):
     assert as_dict(got) == want and 0 < len(want) < len(positions)
 
 
+def test_exits_of_one_level_take_one_join(spark, monkeypatch):
+    """Positions are shuffled once: opening and touch are found together, and exits are not joined to positions again."""
+    stored = []
+    monkeypatch.setattr(EX, "interim", lambda df, real=EX.interim: stored.append(df.columns) or real(df))
+    positions, quotes = market()
+    out = EX.first_exits(spark.createDataFrame(positions, POS), spark.createDataFrame(quotes, QUOTE), "seq", fan=4096)
+    assert as_dict(out) == brute(positions, quotes) and not stored
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "+- Join" in x and "strategy=broadcast" not in x]
+    assert len(joins) == 1  # the others bring the pieces' few offsets
+
+
 @pytest.mark.parametrize("fan", [3, 7])
 def test_exits_through_many_levels(spark, fan):
     """Few children a block make a deep index; ties in time, positions before all and after all quotes, rows without values."""
