@@ -6,14 +6,26 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.reasons import passes, reason_codes
 from ..session import interim
-from .fold import GreedyLayout, greedy, state_met
-from .series import join_keys
+from .fold import GreedyLayout, greedy, state_met, walk_pieces
 from .gates import ORDER_DEPENDENT, SafeguardConfig, safeguard_rules, safeguard_values
+from .ranking import Tie
+from .series import join_keys
+
+
+def repeated(df: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Every row whose ``ids`` occur more than once, and no others but those that share a hash.
+
+    What is shuffled is a hash per row, not the ids: few ids are used again as a rule.
+    """
+    own = F.xxhash64(*ids)
+    twice = df.groupBy(own.alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
+    return df.join(interim(twice), own == F.col("_hash"), "left_semi")
 
 
 def flag_duplicates(
@@ -25,12 +37,14 @@ def flag_duplicates(
 ) -> DataFrame:
     """Add ``duplicate``: the id is already journalled, or an earlier plan of the batch used it.
 
-    The first use per id is a map-side combined minimum, so many copies of one id are no burden; the
-    joins bring one small row per id. A null id is an id like any other, so no row is lost.
+    The first use per id is a map-side combined minimum, so many copies of one id are no burden. Ids are compared as
+    one struct: a null id is an id like any other, so no row is lost, and the minimum's shuffle serves the join too.
     """
     ids = [*scope, decision]
-    first = plans.groupBy(*ids).agg(F.min(F.struct(*order)).alias("_first"))
-    out = join_keys(plans, first, ids).withColumn("duplicate", F.struct(*order) != F.col("_first")).drop("_first")
+    own = plans.withColumn("_id", F.struct(*ids))
+    first = own.groupBy("_id").agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = F.coalesce(F.struct(*order) != F.col("_first"), F.lit(False))
+    out = own.join(first.drop("_n"), "_id", "left").withColumn("duplicate", again).drop("_first", "_id")
     if journal is not None:
         seen = journal.select(*ids).distinct().withColumn("_seen", F.lit(True))
         out = join_keys(out, seen, ids, "left")
@@ -70,14 +84,18 @@ def admit(
     extra_ok: str | None = None,
     fail_reason: str | None = "SHADOW_PERSISTENCE_FAILED",
     layout: GreedyLayout = GreedyLayout(),
+    by: Sequence[str] | None = None,
+    tie: Tie = Tie(),
 ) -> DataFrame:
     """Walk ranked intents per cycle; accepted ones use up risk, gross and (paper) order budget.
 
     Input: ``rank``, the intent and state columns of :func:`gates.safeguard`, where open risk, gross
     notional and orders are the values before the cycle. Output: those columns as seen by each row, plus
     the safeguard values, ``reasons`` and ``approved``. Every rule that does not depend on order is settled
-    beforehand by columns; of the rest, passes over all cycles drop the plans that no later budget of their cycle can
-    hold and walk the others in order (:func:`fold.greedy`), whatever the size of a cycle. ``rank`` is unique per cycle.
+    beforehand by columns. Cycles are walked side by side in sorted pieces (:func:`fold.walk_pieces`): rows are shuffled and
+    stored once. Of the few cycles that are cut by a piece's end, which a cycle of any size may be, passes drop the plans that
+    no later budget can hold and walk the others in order (:func:`fold.greedy`). ``rank`` is unique per cycle.
+    With ``by`` rows have no ``rank`` yet: the same pass ranks them by these columns, all descending, then by ``tie``.
     ``extra_ok`` names a boolean column a row also needs to use up budget; ``fail_reason`` is reported
     where only that is missing.
     """
@@ -85,6 +103,55 @@ def admit(
     flagged = ranked.withColumn("_open", passes(reason_codes(fixed)))
     if extra_ok:
         flagged = flagged.withColumn("_open", F.col("_open") & F.col(extra_ok))
+    flagged = flagged.withColumns({
+        "open_risk_usd": F.col("open_risk_usd").cast("double"), "gross_notional_usd": F.col("gross_notional_usd").cast("double"),
+        "orders_last_minute": F.col("orders_last_minute").cast("int"),
+    })
+    columns = ranked.columns if by is None else [*ranked.columns, "rank"]
+    order = [F.asc("rank")] if by is None else [*[F.desc(x) for x in by], F.asc(tie.column)]
+
+    def make_pass():
+        risk = gross = orders = None
+        sound = False
+
+        def walk(batch: pa.RecordBatch, starts: np.ndarray) -> dict[str, pa.Array]:
+            nonlocal risk, gross, orders, sound
+            met = [], [], []
+            columns = [batch.column(x).to_pylist() for x in ("_open", "equity_usd", "estimated_risk_usd", "notional_usd", *BUDGET)]
+            for first, ok, equity, cost, size, risk0, gross0, orders0 in zip(starts.tolist(), *columns):
+                if first:
+                    risk, gross, orders = risk0, gross0, orders0
+                    sound = risk is not None and gross is not None and orders is not None
+                for values, value in zip(met, (risk, gross, orders)):
+                    values.append(value)
+                if ok and sound and cost is not None and size is not None:
+                    eq = 1e-12 if equity is None else max(equity, 1e-12)
+                    if (
+                        orders < config.max_orders_per_minute
+                        and (risk + cost) / eq <= config.max_total_open_risk_pct
+                        and (gross + size) / eq <= config.max_gross_notional_multiple
+                    ):
+                        risk, gross = risk + cost, gross + size
+                        orders += 1 if count_orders else 0
+            return {x: pa.array(v, batch.schema.field(x).type) for x, v in zip(BUDGET, met)}
+
+        return walk
+
+    whole, cut = walk_pieces(flagged, keys, order, make_pass, "_number" if by is None else "rank")
+    walked = whole.select(*columns)
+    if cut is not None:
+        walked = walked.unionByName(_admit_cut(interim(cut), keys, config, count_orders, layout).select(*columns))
+    decided = walked.withColumns(safeguard_values()).withColumn("reasons", reason_codes(safeguard_rules(config)))
+    if extra_ok and fail_reason:
+        failed = passes(F.col("reasons")) & ~F.col(extra_ok)
+        decided = decided.withColumn("reasons", F.when(failed, F.array(F.lit(fail_reason))).otherwise(F.col("reasons")))
+    return decided.withColumn("approved", passes(F.col("reasons")))
+
+
+def _admit_cut(
+    stored: DataFrame, keys: Sequence[str], config: SafeguardConfig, count_orders: bool, layout: GreedyLayout
+) -> DataFrame:
+    """Budgets as met by the rows of cycles of any size, in passes over chunks; ``_open`` rows may use them up."""
 
     def make_walk():
         risk = gross = 0.0
@@ -112,7 +179,6 @@ def admit(
 
         return walk
 
-    stored = interim(flagged.withColumn("orders_last_minute", F.col("orders_last_minute").cast("int")))
     # What plans of negative size could still give back to a cycle's budget; zero where there are none.
     back = {
         name: F.coalesce(F.sum(F.when(F.col("_open"), F.least(F.col(x), F.lit(0.0)))), F.lit(0.0)) * (1 + 1e-9)
@@ -132,12 +198,7 @@ def admit(
     )
     accepted = greedy(plan, keys, "rank", start, possible, make_walk, layout)
     start, accepted = (x.drop("_back_risk", "_back_size") for x in (start, accepted))
-    walked = state_met(stored.drop("_open"), keys, "rank", start, accepted, layout).select(*ranked.columns)
-    decided = walked.withColumns(safeguard_values()).withColumn("reasons", reason_codes(safeguard_rules(config)))
-    if extra_ok and fail_reason:
-        failed = passes(F.col("reasons")) & ~F.col(extra_ok)
-        decided = decided.withColumn("reasons", F.when(failed, F.array(F.lit(fail_reason))).otherwise(F.col("reasons")))
-    return decided.withColumn("approved", passes(F.col("reasons")))
+    return state_met(stored, keys, "rank", start, accepted, layout)
 
 
 BUDGET = ("open_risk_usd", "gross_notional_usd", "orders_last_minute")

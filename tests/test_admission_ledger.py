@@ -103,6 +103,21 @@ def test_many_acceptances_take_few_passes(spark, monkeypatch):
     assert AD.admit(df.limit(0), ["account_id"]).count() == 0
 
 
+def test_only_cut_cycles_are_walked_in_passes(spark, monkeypatch):
+    """Cycles that lie in one piece are ranked and walked by the pass that stores them; a split point cuts one at most."""
+    walked = []
+
+    def counted(rows, *args, real=AD.greedy, **kwargs):
+        walked.append(rows.count())
+        return real(rows, *args, **kwargs)
+
+    monkeypatch.setattr(AD, "greedy", counted)
+    rows = [plan(i, ret=0.05 - (i % 6) / 1000, account=f"a{i // 6}") for i in range(1200)]
+    out = paper_cycle(spark.createDataFrame(rows, PLAN).repartition(6), states(spark, [f"a{k}" for k in range(200)])).collect()
+    assert sorted((r.account_id, r.rank, r.accepted) for r in out) == sorted((f"a{k}", n, n < 5) for k in range(200) for n in range(1, 7))
+    assert sum(walked) <= 3 * 6  # four pieces
+
+
 def test_clean_edge_ranks_before_risky_one(spark):
     rows = [plan(0, ret=0.08, downside=0.06), plan(1, ret=0.04), plan(2, ret=0.0)]
     out = RA.rank_opportunities(spark.createDataFrame(rows, PLAN), ["cycle_id"]).orderBy("rank").collect()

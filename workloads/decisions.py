@@ -140,8 +140,11 @@ def safeguard_gate(spark, sf):
 
 def _admission_input(spark, sf):
     equity = table(spark, sf, "orders").select(c("o_orderkey").alias("account_id"), c("o_totalprice").alias("equity_usd"))
-    ranked = RA.rank_opportunities(plans(spark, sf), CYCLE).join(equity, "account_id")
-    return AD.intents(ranked).withColumns({
+    # Only what admission reads, so that no other column is shuffled.
+    own = plans(spark, sf).withColumn("net_edge", RA.net_edge()).where("net_edge > 0").select(
+        *CYCLE, "ordinal", *RA.RANKED_BY, "expected_cost", "risk_fraction", "notional_fraction")
+    sized = AD.intents(own.join(equity, "account_id")).drop("risk_fraction", "notional_fraction", "expected_cost")
+    return sized.withColumns({
         "mode": F.lit("paper"), "equity_peak_usd": c("equity_usd"), "daily_pnl_usd": F.lit(0.0),
         "open_risk_usd": c("equity_usd") * 0.005, "gross_notional_usd": F.lit(0.0), "data_age_seconds": F.lit(0.0),
         "orders_last_minute": F.lit(7), "kill_switch": F.lit(False),
@@ -174,14 +177,14 @@ walk AS (
 
 @query("budget_admission", ADMISSION + "SELECT account_id, ordinal, rank, reasons = '' AS approved, reasons FROM walk WHERE rank > 0")
 def budget_admission(spark, sf):
-    out = AD.admit(_admission_input(spark, sf), CYCLE)
+    out = AD.admit(_admission_input(spark, sf), CYCLE, by=RA.RANKED_BY)
     return out.select("account_id", "ordinal", "rank", "approved", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("cycle_counts", ADMISSION.replace("w.n_orders + 1", "w.n_orders").replace("x.n_orders + 1", "x.n_orders") + """
 SELECT account_id, count(*) FILTER (WHERE reasons = '') AS accepted, count(*) FILTER (WHERE reasons <> '') AS rejected FROM walk WHERE rank > 0 GROUP BY 1""")
 def cycle_counts(spark, sf):
-    return AD.cycle_counts(AD.admit(_admission_input(spark, sf), CYCLE, count_orders=False), CYCLE)
+    return AD.cycle_counts(AD.admit(_admission_input(spark, sf), CYCLE, count_orders=False, by=RA.RANKED_BY), CYCLE)
 
 
 @query("duplicate_decisions", f"""WITH {PLANS},
