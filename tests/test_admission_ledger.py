@@ -118,6 +118,13 @@ def test_only_cut_cycles_are_walked_in_passes(spark, monkeypatch):
     assert sum(walked) <= 3 * 6  # four pieces
 
 
+def test_limit_of_opportunities_keeps_the_best(spark):
+    rows = [plan(i, ret=0.05 - (i % 6) / 1000, account=f"a{i // 6}") for i in range(60)]
+    policy = RA.OpportunityPolicy(max_opportunities=2)
+    out = paper_cycle(spark.createDataFrame(rows, PLAN).repartition(6), states(spark, [f"a{k}" for k in range(10)]), policy).collect()
+    assert sorted((r.account_id, r.ordinal, r.rank) for r in out) == [(f"a{k}", 6 * k + n, n + 1) for k in range(10) for n in range(2)]
+
+
 def test_clean_edge_ranks_before_risky_one(spark):
     rows = [plan(0, ret=0.08, downside=0.06), plan(1, ret=0.04), plan(2, ret=0.0)]
     out = RA.rank_opportunities(spark.createDataFrame(rows, PLAN), ["cycle_id"]).orderBy("rank").collect()
