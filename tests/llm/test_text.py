@@ -289,6 +289,31 @@ def test_settling_sweep_is_no_sample(spark, monkeypatch):
     assert len(seen) == 3 and seen[:2] == [0, 0] and seen[2] > 0
 
 
+def test_words_are_contexts_of_their_own(spark):
+    """What follows a word is learnt from that word, also where another ends alike."""
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    learnt = [i for i in range(200) if i not in held]
+    rows = [(i, ("walking apple", "talking berry")[n % 2], "en", "a", 13) for n, i in enumerate(learnt)]
+    asked = ("walking apple", "walking berry", "talking berry", "talking apple")
+    rows += [(i, x, "en", "a", 13) for i, x in zip(held, asked)]
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(frame(spark, rows)).collect()}
+    right, wrong, right_too, wrong_too = (got[i] for i in held[:4])
+    assert right > wrong + 1 and right_too > wrong_too + 1
+
+
+def test_totals_of_contexts(spark):
+    """Every range gets the sums over all ranges of the contexts it has, whoever adds them up."""
+    rng = np.random.default_rng(2)
+    own = {r: np.sort(rng.choice(1000, n, replace=False)) for r, n in ((0, 300), (1, 0), (2, 700), (5, 1))}
+    tables = {r: rng.integers(0, 9, len(x)) for r, x in own.items()}
+    rows = [(r, [(x["owner"], bytearray(x["blob"])) for x in pitman_yor._reports(own[r], 1000, 3, tables[r])]) for r in own]
+    want = sum(np.bincount(own[r], tables[r], minlength=1000) for r in own)
+    replies = pitman_yor._totals(spark.createDataFrame(rows, f"range int, {pitman_yor.SENT}")).toPandas()
+    for r, x in own.items():
+        (got,) = pitman_yor._joined(replies[replies.range == r])
+        assert np.array_equal(got, want[x])
+
+
 def test_probabilities_sum_to_one():
     """Over the vocabulary and one unknown word, in any context, after seating."""
     s = pitman_yor.Settings(classes=8)
