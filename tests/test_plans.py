@@ -96,6 +96,30 @@ def test_total_open_risk_sits_on_the_boundary(spark):
     assert out["d4"].reasons == ["TOTAL_OPEN_RISK_LIMIT"]
 
 
+def test_books_add_up_positions_that_are_not_stored(spark):
+    """Two accounts: exits, stale and missing quotes are told per position and added up; marked positions are no table of their own."""
+    mk = spark.createDataFrame
+    cycles = mk([(a, f"c-{a}", NOW, "neutral_chop", None, 0.0, 0, False) for a in "abz"],
+                "account_id string, cycle_id string, ts timestamp, regime string, equity_peak_usd double, daily_pnl_usd double, orders_last_minute int, kill_switch boolean")
+    accounts = mk([(a, 1000.0, 1000.0, 1000.0, NOW, "USD") for a in "abz"],
+                  "account_id string, balance double, equity double, free_margin double, ts timestamp, currency string")
+    quotes = mk([("X", 1.0, 1.001, NOW), ("OLD", 9.0, 9.001, NOW - timedelta(days=1))], "symbol string, bid double, ask double, ts timestamp")
+    kinds = {"stop": ("X", 1.5, 3.0), "take": ("X", 0.1, 0.9), "open": ("X", 0.5, 2.0), "old": ("OLD", 9.5, 10.0), "none": ("NONE", 1.0, 2.0)}
+    rows = [(acc, f"{acc}-{kind}", kinds[kind][0], 50.0, 5.0, 10.0, 1.2, *kinds[kind][1:], NOW)
+            for acc, kind in [("a", "stop"), ("a", "take"), ("a", "open"), ("b", "open"), ("b", "old"), ("b", "none"), ("gone", "stop")]]
+    positions = mk(rows, "account_id string, decision_id string, symbol string, notional_usd double, estimated_risk_usd double, quantity double, "
+                         "entry_price double, stop_loss double, take_profit double, opened_at timestamp")
+    states = mk([], "account_id string, base_equity_usd double, realized_pnl_usd double, equity_peak_usd double, realized_today_usd double")
+    books, marked = CY.refresh_books(cycles, accounts, positions, quotes, states)
+    got = {r.account_id: (r.exits, r.mark_issue_count, r.open_risk_usd, r.gross_notional_usd) for r in books.collect()}
+    assert got == {"a": (2, 0, 5.0, 50.0), "b": (0, 2, 15.0, 150.0), "z": (0, 0, 0.0, 0.0)}
+    assert books.where("account_id = 'a'").first().realized_total_usd == pytest.approx(2 * 10 * (1.0 - 1.2))
+    assert {r.decision_id: (r.exit_reason, tuple(r.mark_issues), r.mark_pnl_usd is None) for r in marked.collect()} == {
+        "a-stop": ("STOP_LOSS", (), False), "a-take": ("TAKE_PROFIT", (), False), "a-open": (None, (), False), "b-open": (None, (), False),
+        "b-old": (None, ("STALE_QUOTE",), True), "b-none": (None, ("MARKET_DATA_UNAVAILABLE",), True)}
+    assert not marked.inputFiles()
+
+
 def trending(n, seed):
     rng = np.random.default_rng(seed)
     steps = 0.0005 + 0.002 * np.sin(np.arange(n) / 18) + rng.normal(0, 0.009, n)

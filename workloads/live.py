@@ -350,10 +350,9 @@ def shadow_cycle_positions(spark, sf):
         c("o_totalprice").alias("free_margin"), F.lit("2001-06-01").cast("timestamp").alias("ts"), F.lit("USD").alias("currency"))
     states = equity.select("account_id", c("equity").alias("base_equity_usd"), F.lit(0.0).alias("realized_pnl_usd"),
                            c("equity").alias("equity_peak_usd"), F.lit(0.0).alias("realized_today_usd"))
-    books, marked = refresh_books(cycles(spark, sf), equity, held.drop("ask", "valid"), latest_quotes(spark, sf), states, LONG_LIMITS)
-    exits = marked.groupBy("account_id").agg(F.count("exit_reason").alias("exits"))
-    return books.join(exits, "account_id", "left").select(
-        "account_id", "mark_issue_count", F.coalesce("exits", F.lit(0)).alias("exits"),
+    books, _ = refresh_books(cycles(spark, sf), equity, held.drop("ask", "valid"), latest_quotes(spark, sf), states, LONG_LIMITS)
+    return books.select(
+        "account_id", "mark_issue_count", "exits",
         *rs(("open_risk_usd", "realized_total_usd", "shadow_equity_usd"), 4), F.array_join("cycle_reasons", ",").alias("reasons"))
 
 
