@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.passages import NOBODY, Passage, cut, shared_spans, to_runs
+from marketloom.llm.passages import NOBODY, Passage, by_pieces, cut, shared_spans, to_runs
 
 WINDOW = 50
 
@@ -115,5 +115,5 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     reference for each other.
     """
     p = Passage(length=window, gram=gram, words=True, earlier=True)
-    base, spans = shared_spans(docs, p, look(window), id_col, text_col)
+    base, spans = shared_spans(docs, p, by_pieces(p, look(window)), id_col, text_col)
     return cut(base, spans, p).select("doc_id", F.col("size").alias("n_words"), "n_removed", "n_spans", "kept_sha256")

@@ -243,3 +243,66 @@ def test_rows_whose_ids_share_low_bits_are_apart(spark):
     two = df.where("doc_id > 0")
     got = {r.doc_id: r.n_removed for r in substring_words.drop_repeated_passages(two).collect()}
     assert got == {1: 0, (1 << 32) + 1: 200}
+
+
+def repetitive():
+    """Texts of few letters, periods, and copies of a text with single bytes changed, so that phrases repeat in many contexts."""
+    rng = np.random.default_rng(11)
+    base = bytes(rng.integers(97, 100, 3000, np.uint8)).decode()
+    rows = [(i, "".join(base[a: a + 60] for a in rng.integers(0, 200, 12))) for i in range(20)]
+    for i in range(20, 50):
+        letters = list(base[rng.integers(0, 500): 1500])
+        for at in rng.integers(0, len(letters), 12):
+            letters[at] = "x"
+        rows.append((i, "".join(letters)))
+    return rows + [(50, "a" * 700), (51, "ab" * 300 + "c"), (52, "b" * 33 + "ab" * 40), (53, "abc" * 200 + "a" * 100), (54, base + base), (55, None), (56, "é" * 300)]
+
+
+@pytest.mark.parametrize("modulus", [2, 7, 40, 10**9])
+def test_parse_of_repetitive_texts(spark, monkeypatch, modulus):
+    """Dense, usual and missing triggers give the brute-force result, from parses alone."""
+    rows = repetitive()
+    monkeypatch.setattr(passages, "BLOCK", 1000)
+    monkeypatch.setattr(substring_bytes, "by_content", None)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_bytes.drop_repeated_bytes(df, length=40, gram=6, modulus=modulus).collect()
+    assert sorted(map(tuple, got), key=str) == brute_bytes(rows, 40)
+
+
+def test_phrases_are_prefix_free():
+    """Phrases overlap by a trigger, give the text back, and none is a proper prefix of another but at a text's end."""
+    p = passages.Passage(length=400, gram=6, words=False, earlier=False, modulus=7)
+    whole, seen = set(), 0
+    for _, text in repetitive():
+        t = (text or "").encode()
+        triggers = passages.trigger_places(np.frombuffer(t, np.uint8), p).tolist()
+        assert triggers == [i for i in range(len(t) - 5) if passages.gram_hashes(passages._BYTES[np.frombuffer(t[i: i + 6], np.uint8)], 6)[0] % 7 == 0]
+        bounds = [0, *triggers]
+        phrases = [substring_bytes.phrases_from(t, a, triggers, p) for a in bounds]
+        for a, parse in zip(bounds, phrases):
+            assert b"".join([x[:-6] for x in parse[:-1]] + parse[-1:])[:400] == t[a: a + 400]
+        whole.update(x[0] for x in phrases[:-1])
+        seen += len(phrases) - 1
+    ordered = sorted(whole)
+    assert not any(b != a and b.startswith(a) for a, b in zip(ordered, ordered[1:])) and len(whole) < seen / 2
+
+
+def test_order_of_parses_is_that_of_texts():
+    """Ranks and common prefixes put together from dictionary and parse are those of the bytes themselves."""
+    p = passages.Passage(length=60, gram=6, words=False, earlier=False, modulus=7)
+    parses, texts = [], []
+    for _, text in repetitive()[:50]:
+        t = text.encode()
+        triggers = passages.trigger_places(np.frombuffer(t, np.uint8), p).tolist()
+        for a in triggers[:-20: 5]:
+            parses.append(substring_bytes.phrases_from(t, a, triggers, p))
+            texts.append(b"".join([x[:-6] for x in parses[-1][:-1]] + parses[-1][-1:]))
+    dictionary = sorted({x for parse in parses for x in parse})
+    order, common = substring_bytes.phrase_array(dictionary)
+    assert order.tolist() == list(range(len(dictionary)))
+    rank = {x: i for i, x in enumerate(dictionary)}
+    order, got = substring_bytes.parse_array([[rank[x] for x in parse] for parse in parses], np.array([len(x) for x in dictionary]), common, 6)
+    assert [texts[i] for i in order] == sorted(texts)
+    for i, j, c in zip(order, order[1:], got[1:].tolist()):
+        same = next((k for k, (x, y) in enumerate(zip(texts[i], texts[j])) if x != y), None)
+        assert c > 1 << 60 if same is None else c == same
