@@ -17,18 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import effective_cost, signal_score, spread_fraction
 from ..functions.reasons import passes
-from ..operators.admission import flag_duplicates
-from ..operators.asof import as_of_join
+from ..operators.asof import as_of_join, fill_forward
 from ..operators.fold import ordered_fold
 from ..operators.gates import SafeguardConfig
 from ..operators.ledger import daily_realized_pnl
 from ..operators.quality import LiveLimits, account_rules, live_account_rules, live_quote_rules, live_symbol_rules, quote_rules, spec_rules
-from ..operators.ranking import OpportunityPolicy, Tie, net_edge, rank_opportunities
+from ..operators.ranking import RANKED_BY, OpportunityPolicy, Tie, net_edge
 from ..operators.series import join_keys
 from ..session import interim
 
@@ -255,36 +254,49 @@ def walk_rows(
     policy: OpportunityPolicy = OpportunityPolicy(), limits: LiveLimits = LiveLimits(), tie: Tie = Tie(), quote_tie: str | None = None,
     last: bool = True,
 ) -> DataFrame:
-    """The rows that an account's :class:`Book` walks through, stored; see :func:`run_cycles` for the tables."""
+    """The rows that an account's :class:`Book` walks through, dealt by account; see :func:`run_cycles` for the tables.
+
+    Plans are shuffled by account to meet their cycle and their duplicates, by symbol to meet their quote and specification
+    (where they are stored), and by account to be ranked and walked. Symbols are marked only where a position may be open.
+    """
     sound = accounts.withColumn("sound", passes(account_rules())).withColumn("account_ts", c("ts"))
     cyc = as_of_join(
         cycles.select(*KEYS, "ts", "regime", "equity_peak_usd", "daily_pnl_usd", "orders_last_minute", "kill_switch"), sound, ("account_id",),
         available="ts", values=("balance", "equity", "free_margin", "account_ts", "sound"))
     doubt = F.when(F.coalesce("sound", F.lit(False)), live_account_rules("ts", limits, "account_ts")).otherwise(F.array(F.lit("ACCOUNT_DATA_UNAVAILABLE")))
-    cyc = interim(cyc.withColumn("gate", doubt))
-    own = join_keys(plans, cyc.select(*KEYS, c("ts").alias("now"), c("regime").alias("cycle_regime"), c("gate").alias("doubt")), KEYS, "left")
-    own = own.withColumn("_late", c("now").isNull())
-    own = flag_duplicates(own, journal, ("_late", "now", "cycle_id", tie.column), scope=("account_id",)).drop("_late")
-    own = interim(own)
-
-    # A symbol is marked from the cycle after the first that could open it, or from the start where it is held.
-    could = own.where(~c("duplicate") & c("now").isNotNull()).select("account_id", "symbol", "now")
-    if positions is not None:
-        could = could.unionByName(positions.select("account_id", "symbol", F.lit(None).cast("timestamp").alias("now")))
-    since = could.groupBy("account_id", "symbol").agg(F.min(F.coalesce(F.unix_micros("now"), F.lit(FIRST))).alias("since"))
-    marked = join_keys(since, cyc.select(*KEYS, "ts"), ["account_id"]).where(F.unix_micros("ts") >= c("since")).select(*KEYS, "symbol", "ts")
-    asked = marked.select("symbol", "ts").unionByName(own.select("symbol", c("now").alias("ts"))).where("ts IS NOT NULL").distinct()
-    seen = quotes.withColumn("sound", passes(quote_rules())).withColumn("quote_ts", c("ts"))
-    known = as_of_join(asked, seen, ("symbol",), available="ts", values=("bid", "ask", "quote_ts", "sound"), tie=quote_tie)
-    known = interim(known.where("sound").drop("sound"))
-
-    mark_gate = F.when(c("bid").isNull(), F.array(F.lit("MARKET_DATA_UNAVAILABLE"))).otherwise(live_quote_rules("ts", limits, "quote_ts"))
-    marks = join_keys(marked, known, ["symbol", "ts"], "left").withColumn("gate", mark_gate)
-    rows = join_keys(own, known.withColumnRenamed("ts", "now"), ["symbol", "now"], "left")
-    rows = join_keys(rows, specs.where(passes(spec_rules())).withColumn("_spec", F.lit(True)), ["symbol"], "left")
+    along = Window.partitionBy("account_id").orderBy("ts", "cycle_id")
+    cyc = cyc.withColumn("gate", doubt).withColumn("moment", F.struct("ts", "cycle_id", (F.size("gate") == 0).alias("free")))
+    cyc = interim(cyc.withColumns({"after": F.lead("moment").over(along), "first": F.row_number().over(along) == 1}).drop(
+        "balance", "free_margin", "account_ts", "sound"))
+
+    # A plan's cycle comes first of its (account, cycle); both windows lie within an account, which is one task of the walk too.
+    beside = cyc.select(*KEYS, F.struct(
+        c("ts").alias("now"), c("regime").alias("cycle_regime"), c("gate").alias("doubt"), c("kill_switch").alias("kill"), "after").alias("_cycle"))
+    own = plans.withColumn("_plan", F.lit(True)).unionByName(beside, allowMissingColumns=True).repartition("account_id")
+    inside = Window.partitionBy(*KEYS).orderBy(c("_plan").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("_cycle", F.first("_cycle", True).over(inside)).where("_plan").select(*plans.columns, "_cycle.*")
+    uses = Window.partitionBy("account_id", "decision_id").orderBy(c("now").isNull(), "now", "cycle_id", tie.column)
+    own = own.withColumn("duplicate", F.rank().over(uses) > 1)
+    if journal is not None:
+        seen = journal.select("account_id", "decision_id").distinct().withColumn("_seen", F.lit(True))
+        own = join_keys(own, seen, ["account_id", "decision_id"], "left")
+        own = own.withColumn("duplicate", c("duplicate") | F.coalesce("_seen", F.lit(False))).drop("_seen")
+
+    # Per symbol: the specification, which holds at any time, then quotes and plans in order of time.
+    seen = quotes.withColumn("sound", passes(quote_rules())).select(
+        "symbol", c("ts").alias("_at"), F.lit(1).alias("_kind"), F.struct("bid", "ask", c("ts").alias("quote_ts"), "sound").alias("_quote"),
+        (c(quote_tie) if quote_tie else F.struct("bid", "ask")).alias("_tie"))
+    spec = specs.where(passes(spec_rules())).select("symbol", F.lit(0).alias("_kind"), F.struct(live_symbol_rules().alias("off")).alias("_spec"))
+    wanted = dict.fromkeys((
+        *KEYS, "now", "after", "kill", "doubt", "duplicate", "cycle_regime", "market_regime", *[x for x in PLAN_FIELDS if x in plans.columns],
+        *[x for x in CARRIED if x in plans.columns], tie.column, "downside_risk", "correlation_penalty", "uncertainty"))
+    asked = own.select(*wanted, c("now").alias("_at"), F.lit(2).alias("_kind"))
+    both = asked.unionByName(seen, allowMissingColumns=True).unionByName(spec, allowMissingColumns=True).withColumn("_plan", c("_kind") == 2)
+    rows = fill_forward(both, ["symbol"], ("_at", "_kind", "_tie"), ("_quote", "_spec"), "_plan", spread=("account_id", tie.column))
+    rows = rows.withColumns({x: F.when(c("_quote.sound"), c(f"_quote.{x}")) for x in ("bid", "ask", "quote_ts")})
     none = F.array().cast("array<string>")
     market = F.when(c("bid").isNull() | c("_spec").isNull(), F.array(F.lit("MARKET_DATA_UNAVAILABLE"))).otherwise(
-        F.concat(live_quote_rules("now", limits, "quote_ts"), live_symbol_rules()))
+        F.concat(live_quote_rules("now", limits, "quote_ts"), c("_spec.off")))
     rows = rows.withColumn("gate", F.when(c("duplicate"), F.array(F.lit("DUPLICATE_DECISION_ID"))).when(
         c("now").isNull(), F.array(F.lit("ACCOUNT_DATA_UNAVAILABLE"))).when(F.size("doubt") > 0, c("doubt")).when(F.size(market) > 0, market))
     rows = rows.withColumn("regime", F.coalesce("market_regime", "cycle_regime"))
@@ -292,25 +304,18 @@ def walk_rows(
     rows = rows.withColumn("expected_cost", priced).withColumn("net_edge", net_edge(policy))
     below = c("gate").isNull() & ~F.coalesce(c("net_edge") > policy.minimum_net_edge, F.lit(False))
     few = F.array(F.lit("BELOW_MINIMUM_NET_EDGE"))
-    rows = interim(rows.withColumn("gate", F.when(below, few).otherwise(c("gate"))).select(
-        *KEYS, "now", "gate", c("quote_ts"), *[x for x in PLAN_FIELDS if x not in ("gate", "quote_at")], *[x for x in CARRIED if x != "rank"],
-        "downside_risk", "correlation_penalty", "uncertainty"))
-    open_ended = OpportunityPolicy(policy.risk_penalty, policy.correlation_penalty, policy.uncertainty_penalty, policy.minimum_net_edge)
-    ranked = rank_opportunities(rows.where("gate IS NULL"), KEYS, open_ended, tie=tie)
-    over = c("rank") > policy.max_opportunities if policy.max_opportunities else F.lit(False)
-    ranked = ranked.withColumn("gate", F.when(over, few).otherwise(none))
-    refused = rows.where("gate IS NOT NULL").withColumn("rank", F.lit(None).cast("bigint"))
-    ready = ranked.unionByName(refused.select(*ranked.columns))
+    rows = rows.withColumn("gate", F.when(below, few).otherwise(c("gate")))
 
     moment = F.unix_micros("ts")
+    marks = _marks(cyc, rows, positions, seen, limits)
     parts = [
         cyc.select(*KEYS, moment.alias("at"), F.lit(CYCLE).alias("kind"), F.unix_date(F.to_date("ts")).alias("day"), "equity", "kill_switch",
                    F.coalesce("orders_last_minute", F.lit(0)).alias("orders_last_minute"), "daily_pnl_usd", "equity_peak_usd", "gate"),
-        marks.select(*KEYS, moment.alias("at"), F.lit(MARK).alias("kind"), "symbol", "bid", F.unix_micros("quote_ts").alias("quote_at"), "gate"),
-        ready.select(*KEYS, F.coalesce(F.unix_micros("now"), F.lit(LATEST)).alias("at"), F.lit(PLAN).alias("kind"), c("rank").alias("seq"),
-                     F.unix_micros("quote_ts").alias("quote_at"), *[x for x in PLAN_FIELDS if x != "quote_at"], *CARRIED),
+        marks.select(*KEYS, moment.alias("at"), F.lit(MARK).alias("kind"), "symbol", "bid", F.unix_micros("quote_ts").alias("quote_at"), none.alias("gate")),
+        rows.select(*dict.fromkeys((*KEYS, *[x for x in PLAN_FIELDS if x != "quote_at"], *[x for x in CARRIED if x != "rank"], tie.column)),
+                    F.coalesce(F.unix_micros("now"), F.lit(LATEST)).alias("at"), F.lit(PLAN).alias("kind"), F.unix_micros("quote_ts").alias("quote_at")),
     ]
-    names = cyc.select("account_id").unionByName(own.select("account_id"))
+    names = cyc.select("account_id").unionByName(rows.select("account_id"))
     if states is not None:
         parts.append(states.select("account_id", F.lit(FIRST).alias("at"), F.lit(STATE).alias("kind"), "base_equity_usd", "realized_pnl_usd",
                                    c("equity_peak_usd").alias("peak_usd")))
@@ -324,15 +329,56 @@ def walk_rows(
         names = names.unionByName(positions.select("account_id"))
     if last:
         parts.append(names.distinct().select("account_id", F.lit(LATEST).alias("at"), F.lit(END).alias("kind")))
+    tied = {"_tie": rows.schema[tie.column].dataType.simpleString()}
     types = {"account_id": cycles.schema["account_id"].dataType.simpleString(), **ROW_TYPES}
+    parts[2] = parts[2].withColumn("_tie", c(tie.column))
 
     def shaped(part: DataFrame) -> DataFrame:
-        return part.select(*[(c(x) if x in part.columns else F.lit(None)).cast(t).alias(x) for x, t in types.items()])
+        return part.select(*[(c(x) if x in part.columns else F.lit(None)).cast(t).alias(x) for x, t in (types | tied).items()])
 
     out = shaped(parts[0])
     for part in parts[1:]:
         out = out.unionByName(shaped(part))
-    return interim(out)
+    free = (c("kind") == PLAN) & c("gate").isNull()
+    ranks = Window.partitionBy(*KEYS, "kind", c("gate").isNull()).orderBy(*[F.desc(x) for x in RANKED_BY], F.asc("_tie"))
+    out = out.repartition("account_id").withColumn("rank", F.when(free, F.row_number().over(ranks)).cast("bigint"))
+    over = c("rank") > policy.max_opportunities if policy.max_opportunities else F.lit(False)
+    return out.withColumns({
+        "seq": F.when(c("kind") == PLAN, c("rank")).otherwise(c("seq")), "gate": F.when(free, F.when(over, few).otherwise(none)).otherwise(c("gate")),
+    }).select(*types)
+
+
+#: By how much of its price a barrier known before the walk may differ from the one that the walk computes.
+SLACK = 1e-12
+
+
+def _marks(cyc: DataFrame, rows: DataFrame, positions: DataFrame | None, seen: DataFrame, limits: LiveLimits) -> DataFrame:
+    """Quotes of symbols in the cycles in which a position may be open; no row where there is none to be used.
+
+    A plan that no gate stops may open a position, whose barriers are known but for rounding. It is marked in the cycle after;
+    where the quote there closes it for sure it needs no more. What may stay open is marked in all later cycles.
+    """
+    share = c("risk_fraction") / c("notional_fraction")
+    held = rows.where(c("gate").isNull() & c("after").isNotNull() & ~F.coalesce("kill", F.lit(False))).select(
+        "account_id", "symbol", "after.*", (c("ask") * (1 - share - SLACK)).alias("low"), (c("ask") * (1 + c("reward_risk") * share) * (1 + SLACK)).alias("high"))
+    if positions is not None:
+        first = cyc.where("first").select("account_id", "moment.*")
+        held = held.unionByName(join_keys(positions.select("account_id", "symbol", c("stop_loss").alias("low"), c("take_profit").alias("high")), first, ["account_id"]))
+
+    def quoted(asked: DataFrame) -> DataFrame:
+        asked = asked.where("ts IS NOT NULL").withColumns({"_at": c("ts"), "_kind": F.lit(2)})
+        both = asked.unionByName(seen, allowMissingColumns=True).withColumn("_ask", c("_kind") == 2)
+        known = fill_forward(both, ["symbol"], ("_at", "_kind", "_tie"), ("_quote",), "_ask", spread=("account_id",))
+        known = known.select(*asked.drop("_at", "_kind").columns, "_quote.*")
+        usable = F.coalesce(c("sound") & (F.size(live_quote_rules("ts", limits, "quote_ts")) == 0), F.lit(False))
+        return known.withColumn("usable", usable)
+
+    next_ones = quoted(held)
+    closed = c("usable") & c("free") & ((c("bid") <= c("low")) | (c("bid") >= c("high")))
+    since = next_ones.where(~F.coalesce(closed, F.lit(False))).groupBy("account_id", "symbol").agg(F.min(F.struct("ts", "cycle_id")).alias("since"))
+    later = join_keys(since, cyc.select(*KEYS, "ts"), ["account_id"]).where(F.struct("ts", "cycle_id") > c("since"))
+    marked = [x.where("usable").select(*KEYS, "ts", "symbol", "bid", "quote_ts") for x in (next_ones, quoted(later.select(*KEYS, "ts", "symbol")))]
+    return marked[0].unionByName(marked[1])
 
 
 def walker(safeguard: SafeguardConfig) -> Callable:
@@ -409,4 +455,4 @@ def run_cycles(
     rows = walk_rows(cycles, accounts, quotes, specs, plans, positions, states, history, journal, policy, limits, tie, quote_tie)
     types = {"account_id": rows.schema["account_id"].dataType.simpleString(), **WALK_TYPES}
     ddl = ", ".join(f"{x} {t}" for x, t in types.items())
-    return split_walk(interim(ordered_fold(rows, ["account_id"], ORDER, walker(safeguard), ddl)))
+    return split_walk(interim(ordered_fold(rows, ["account_id"], ORDER, walker(safeguard), ddl, dealt=True)))

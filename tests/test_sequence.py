@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from marketloom.operators.gates import SafeguardConfig
 from marketloom.operators.quality import LiveLimits
 from marketloom.plans import cycle as CY
-from marketloom.plans.sequence import Book, run_cycles, split_walk, walk_rows
+from marketloom.operators.asof import as_of_join
+from marketloom.plans.sequence import MARK, Book, run_cycles, split_walk, walk_rows
 from marketloom.session import cut, shared_dir
 from marketloom.streaming.books import book_stream
 
@@ -156,3 +157,30 @@ def test_book_adds_positions_as_it_opened_them():
         book.held[str(i)] = ["X", 0.3, 0.1, 1.0, 1.0, 0.5, 2.0, 0]
     assert book._sums() == (risk, gross)
     assert risk != 1.0 and gross != 3.0
+
+
+def test_symbols_are_marked_while_a_position_may_be_open(spark):
+    """X leaves its barriers at once, Y never does, nothing can open Z: what is marked follows from that."""
+    cycles, accounts, _, specs, plans = desk(spark)
+    row = plans.where("decision_id = 'a00'").first().asDict()
+    own = [{**row, "decision_id": s, "ordinal": i, "symbol": s, "expected_return": gain, "risk_fraction": 0.003}
+           for i, (s, gain) in enumerate([("X", 0.02), ("Y", 0.02), ("Z", 0.0)])]
+    prices = [(s, p, p * 1.0001, START + timedelta(minutes=5 * k)) for k in range(4) for s, p in (("X", 1.0 + k), ("Y", 1.0), ("Z", 1.0))]
+    quotes = spark.createDataFrame(prices, "symbol string, bid double, ask double, ts timestamp")
+    tables = (cycles, accounts, quotes, specs, spark.createDataFrame(own, PLAN))
+    marks = walk_rows(*tables, limits=LIMITS).where(F.col("kind") == MARK)
+    assert told(marks, "cycle_id", "symbol", "bid") == [("k1", "X", 2.0), ("k1", "Y", 1.0), ("k2", "Y", 1.0), ("k3", "Y", 1.0)]
+    out = run_cycles(*tables, limits=LIMITS, safeguard=SAFE)
+    assert told(out.events, "event_id", "price") == [("X:CLOSE", 2.0), ("X:OPEN", 1.0001), ("Y:OPEN", 1.0001)]
+
+
+def test_observations_pass_from_piece_to_piece(spark):
+    """One key holds all rows, so every piece but the first takes over what an earlier one knew."""
+    start = datetime(2024, 1, 1)
+    seen = [("k", start + timedelta(seconds=100 * i), float(i)) for i in range(3)] + [(None, start, -1.0)]
+    asked = [("k", start + timedelta(seconds=s), i) for i, s in enumerate([-1, 0, 50, *[150] * 200, 199, 200, 10_000])] + [(None, start, 1), ("l", start, 2)]
+    out = as_of_join(spark.createDataFrame(asked, "symbol string, ts timestamp, id int"),
+                     spark.createDataFrame(seen, "symbol string, available_time timestamp, value double"))
+    def known(symbol, ts):
+        return max(((t, v) for s, t, v in seen if s == symbol and t <= ts), default=(None, None))[1]
+    assert told(out, "symbol", "ts", "id", "value") == sorted(((s, t, i, known(s, t)) for s, t, i in asked), key=str)
