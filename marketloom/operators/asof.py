@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import interim
 from .fold import BatchStarts, ddl_of
+from .series import SeriesLayout
 
 
 def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], fill: Sequence[str], keep: str, spread: Sequence[str | Column] = ()) -> DataFrame:
@@ -71,12 +72,14 @@ def as_of_join(
     ts: str = "ts",
     available: str = "available_time",
     values: Sequence[str] = ("value",),
+    layout: SeriesLayout | None = None,
     tie: str | None = None,
 ) -> DataFrame:
     """Attach to each decision row the ``values`` of the latest observation with ``available <= ts``.
 
     Of observations available at one time the one with the largest ``tie`` counts (without ``tie``: with the
-    largest values in column order). Both sides form one series per key (:func:`fill_forward`), shuffled and stored once.
+    largest values in column order). Both sides form one series per key (:func:`fill_forward`), shuffled and stored once;
+    pieces have no blocks, so ``layout`` changes nothing.
     """
     keys, values = list(keys), list(values)
     payload = F.struct(*[F.col(v) for v in values])

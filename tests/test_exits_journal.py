@@ -194,3 +194,72 @@ def test_first_touch_against_a_loop():
         stop[:5] = np.nan
         loop = [next((i for i in range(s, n) if bid[i] <= lo or bid[i] >= hi), n) for s, lo, hi in zip(start, stop, target)]
         assert first_touch(bid, start, stop, target).tolist() == loop
+
+
+class CountingState:
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+class CountingHandle:
+    def __init__(self):
+        self.states = []
+
+    def getValueState(self, *_):
+        self.states.append(CountingState())
+        return self.states[-1]
+
+
+def test_exit_state_is_read_and_written_once_a_batch():
+    """Hundreds of positions and symbols cost the state store as many calls as one."""
+    import pandas as pd
+    from marketloom.streaming.exits import OpenPositions
+
+    positions, quotes = market(n=300, symbols=("HOT", *[f"S{i}-" for i in range(40)]))
+    columns = ["decision_id", "symbol", "stop_loss", "take_profit", "opened_at", "quantity", "entry_price"]
+    held = pd.DataFrame(positions, columns=columns).rename(columns={"opened_at": "at"}).assign(kind=0)
+    ticks = pd.DataFrame(quotes, columns=["symbol", "at", "seq", "bid"]).assign(kind=1)
+    rows = pd.concat([held, ticks], ignore_index=True)
+    rows["at"] = rows["at"].astype("datetime64[us]").astype("int64")
+    processor, handle = OpenPositions(), CountingHandle()
+    processor.init(handle)
+    half = rows["at"].median()
+    out = []
+    for batch in (rows[rows["at"] < half], rows[rows["at"] >= half]):
+        out += list(processor.handleInputRows((1,), iter([batch.sample(frac=1.0, random_state=1)]), None))
+    assert sum(s.calls for s in handle.states) == 3 * len(handle.states)  # one read, two writes
+    got = pd.concat(out)
+    want = brute(positions, quotes)
+    assert len(want) > 50
+    assert dict(zip(got["decision_id"], got["exit_price"])) == {k: v[1] for k, v in want.items()}
+
+
+def test_nothing_late_needs_no_settling(spark):
+    done = spark.createDataFrame([("a", "X", "STOP_LOSS")], "decision_id string, symbol string, exit_reason string")
+    assert settle_late(done, None, None).collect() == done.collect()
+
+
+def test_micro_batches_in_order_of_time_are_several_files(spark, tmp_path):
+    from workloads.live import stream
+
+    rows = spark.range(0, 1000, 1, 4).select(F.col("id"), F.timestamp_seconds((F.col("id") * 7919) % 1000).alias("ts"))
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    seen = []
+    q = stream(spark, str(tmp_path), "orders", "ts").writeStream.foreachBatch(
+        lambda batch, _: seen.append(sorted((r.ts, r.f) for r in batch.select("ts", F.input_file_name().alias("f")).collect()))
+    ).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) == 3 and sum(map(len, seen)) == 1000
+    assert all(a[-1][0] < b[0][0] for a, b in zip(seen, seen[1:]))
+    assert all(len({f for _, f in batch}) == 2 for batch in seen)  # a third of the four shuffle partitions, rounded up
