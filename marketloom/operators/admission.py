@@ -86,6 +86,7 @@ def admit(
     layout: GreedyLayout = GreedyLayout(),
     by: Sequence[str] | None = None,
     tie: Tie = Tie(),
+    dealt: bool = False,
 ) -> DataFrame:
     """Walk ranked intents per cycle; accepted ones use up risk, gross and (paper) order budget.
 
@@ -97,7 +98,7 @@ def admit(
     no later budget can hold and walk the others in order (:func:`fold.greedy`). ``rank`` is unique per cycle.
     With ``by`` rows have no ``rank`` yet: the same pass ranks them by these columns, all descending, then by ``tie``.
     ``extra_ok`` names a boolean column a row also needs to use up budget; ``fail_reason`` is reported
-    where only that is missing.
+    where only that is missing. Rows that are ``dealt`` by keys already are walked where they lie, a cycle in one task.
     """
     fixed = [rule for rule in safeguard_rules(config) if rule[1] not in ORDER_DEPENDENT]
     flagged = ranked.withColumn("_open", passes(reason_codes(fixed)))
@@ -137,7 +138,7 @@ def admit(
 
         return walk
 
-    whole, cut = walk_pieces(flagged, keys, order, make_pass, "_number" if by is None else "rank")
+    whole, cut = walk_pieces(flagged, keys, order, make_pass, "_number" if by is None else "rank", dealt)
     walked = whole.select(*columns)
     if cut is not None:
         walked = walked.unionByName(_admit_cut(interim(cut), keys, config, count_orders, layout).select(*columns))

@@ -184,3 +184,31 @@ def test_observations_pass_from_piece_to_piece(spark):
     def known(symbol, ts):
         return max(((t, v) for s, t, v in seen if s == symbol and t <= ts), default=(None, None))[1]
     assert told(out, "symbol", "ts", "id", "value") == sorted(((s, t, i, known(s, t)) for s, t, i in asked), key=str)
+
+
+def test_crowded_accounts_are_decided_alike(spark, monkeypatch):
+    """Accounts that fit a task are shuffled by symbol and by account and not stored; in pieces they get the same decisions."""
+    cycles, accounts, quotes, specs, plans = desk(spark, cycles=1)
+    row = plans.where("decision_id = 'a00'").first().asDict()
+    odd = [(None, "X", "k0"), (None, "Y", "k0"), ("p", None, "k0"), ("q", "W", "k0"), ("r", "X", "none"), ("s", "X", None), ("a00", "X", "a"), ("t", "X", "k0")]
+    own = [{**row, "decision_id": d, "symbol": s, "cycle_id": k, "ordinal": 100 + i} for i, (d, s, k) in enumerate(odd)]
+    own += [{**row, "account_id": a, "decision_id": "u", "ordinal": 200} for a in ("nobody", None)]
+    plans = plans.unionByName(spark.createDataFrame(own, PLAN))
+    positions = spark.createDataFrame([], "account_id string, decision_id string, symbol string, notional_usd double, estimated_risk_usd double, "
+                                          "quantity double, entry_price double, stop_loss double, take_profit double, opened_at timestamp")
+    states = spark.createDataFrame([], "account_id string, base_equity_usd double, realized_pnl_usd double, equity_peak_usd double, realized_today_usd double")
+    seen = quotes.where(F.col("ts") <= START)
+    books, _ = CY.refresh_books(cycles, accounts, positions, seen, states, LIMITS)
+    journal = spark.createDataFrame([("a", "t"), ("b", "a00")], "account_id string, decision_id string")
+    stored = []
+    monkeypatch.setattr(CY, "interim", lambda df, real=CY.interim: stored.append(df.columns) or real(df))
+    for policy in (CY.OpportunityPolicy(), CY.OpportunityPolicy(max_opportunities=2)):
+        asked = (plans, books, seen, specs, journal, policy, SAFE, LIMITS)
+        stored.clear()
+        calm = CY.shadow_cycle(*asked)
+        assert stored == [["account_id"]]
+        want = told(calm, *calm.columns)
+        assert len(want) == plans.count()
+        assert {"DUPLICATE_DECISION_ID", "ACCOUNT_DATA_UNAVAILABLE", "MARKET_DATA_UNAVAILABLE"} <= {x for r in calm.collect() for x in r.reasons}
+        assert told(CY.shadow_cycle(*asked, crowd=5), *calm.columns) == want  # some accounts in pieces
+        assert told(CY.shadow_cycle(*asked, crowd=0), *calm.columns) == want
