@@ -112,3 +112,19 @@ def test_a_restarted_stream_goes_on_after_its_last_document(spark, folder, tmp_p
     assert run() == ["a.json", "r1", "r2"]  # nothing new, nothing twice
     (folder / "c.json").write_text("{}")
     assert run() == ["a.json", "c.json", "r1", "r2"]
+
+
+def test_delivered_documents_are_stored_once(spark):
+    """Each delivery makes its own documents; they are not stored beside what is delivered."""
+    from marketloom.session import shared_dir
+    from workloads.live import stream_provider_quotes
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(shared_dir(spark).removeprefix("file:")) for f in names if f.endswith(".parquet")}
+
+    sf = "/root/testdata/sf0.01"
+    before = files()
+    quotes = stream_provider_quotes(spark, sf).count()
+    made = [pq.ParquetFile(f) for f in files() - before]
+    documents = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert quotes > 0 and sum(f.metadata.num_rows for f in made if "value" in f.schema_arrow.names) == documents

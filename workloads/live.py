@@ -27,7 +27,7 @@ from marketloom.sources import vendor as SV
 from marketloom.streaming import feeds as FD
 from marketloom.streaming.late import bars_and_late_ticks
 from marketloom.streaming.exits import exit_stream, settle_late
-from marketloom.session import interim, shared_dir
+from marketloom.session import shared_dir
 from marketloom.streaming.sinks import drain, journal_stream
 
 from . import sql
@@ -539,9 +539,9 @@ def stream_late_ticks(spark, sf):
 def stream_provider_quotes(spark, sf):
     """Snapshot documents that arrive in three deliveries, read by one query that is started again after each."""
     base = f"{shared_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
-    docs = interim(snapshot_texts(spark, sf).select(c("snapshot_id").cast("string").alias("snapshot_id"), "value"))
-    for k in range(3):
-        docs.where(F.pmod(F.xxhash64("snapshot_id"), F.lit(3)) == k).write.mode("append").parquet(f"{base}/docs")
+    docs = snapshot_texts(spark, sf).select(c("snapshot_id").cast("string").alias("snapshot_id"), "value")
+    for k in range(3):  # the choice of documents is one of orders and lines, so each delivery makes its own documents only
+        docs.where(F.pmod(F.xxhash64("snapshot_id"), F.lit(3)) == k).write.mode("append").option("compression", "zstd").parquet(f"{base}/docs")
         rows = SN.snapshot_quotes(SN.parse_snapshots(PV.provider_snapshots(spark, f"{base}/docs", stream=True)))
         rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").format("parquet").start(f"{base}/out").awaitTermination()
     out = spark.read.schema(rows.schema).parquet(f"{base}/out")
